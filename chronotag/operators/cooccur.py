@@ -37,13 +37,14 @@ def _bindings(fs: list[Filter]) -> list[list[str]]:
 
 def concurrent(store: Store, fs: list[Filter | str], start: float | None = None, end: float | None = None,
                skip: DataFrame | None = None, time_coordinate: str | None = None, schema: str | None = None,
-               dedupe: bool | None = None) -> DataFrame:
+               dedupe: bool | None = None, with_order: bool = False) -> DataFrame:
     """(start_time, end_time, ids): sets of events, one per filter in order, that overlap.
 
     start_time and end_time are the shared span, limited to [start, end]. Each set of events
-    is returned once: of several orders the one with the smallest ids in filter order. `skip`
-    is a table with a column `ids` of sets to leave out, in any order. `dedupe=None` looks
-    whether any event matches two of the filters, without which no set can come up twice.
+    is returned once: of several orders the first one when the events of each filter are taken by
+    alternative, start, end and id. `skip` is a table with a column `ids` of sets to leave out, in
+    any order. `dedupe=None` looks whether any event matches two of the filters, without which
+    no set can come up twice. `with_order` adds `order`, the sort key of that enumeration.
     """
     fs = [Filter.from_text(f) if isinstance(f, str) else f for f in fs]
     bound = _bindings(fs)
@@ -52,14 +53,17 @@ def concurrent(store: Store, fs: list[Filter | str], start: float | None = None,
 
     def side(i: int) -> DataFrame:
         df = filters.select(store, common.also(fs[i]) if time_coordinate is None else fs[i].also(common))
+        rank = F.struct(_alternative(fs[i]).alias("a"), F.col("start_time").alias("s"), F.col("end_time").alias("e"),
+                        F.col("id").alias("i"))
         df = df.select(F.col("id").alias(f"id{i}"), F.col("start_time").alias(f"s{i}"), F.col("end_time").alias(f"e{i}"),
+                       rank.alias(f"r{i}"),
                        *[T.values(F.col("tags"), n).alias(f"_v{i}_{n}") for n in wanted])
         for n in bound[i]:  # an event with several values of a bound name can join through each of them
             df = df.withColumn(f"{n}@{i}", F.explode(f"_v{i}_{n}"))
         return df
 
     first = side(0)
-    joined = first.select("id0", F.col("s0").alias("s"), F.col("e0").alias("e"),
+    joined = first.select("id0", "r0", F.col("s0").alias("s"), F.col("e0").alias("e"),
                           *[F.get(f"_v0_{n}", F.lit(0)).alias(f"ctx_{n}") for n in wanted])
     for i in range(1, len(fs)):
         right = side(i)
@@ -67,7 +71,7 @@ def concurrent(store: Store, fs: list[Filter | str], start: float | None = None,
         pairs = overlap_join(joined, right, [(f"ctx_{n}", f"{n}@{i}") for n in bound[i]], ("s", "e"), (f"s{i}", f"e{i}"))
         pairs = pairs.where(reduce(lambda a, b: a & b, [F.col(c) != F.col(f"id{i}") for c in ids]))
         joined = pairs.select(
-            *ids, f"id{i}", F.greatest("s", f"s{i}").alias("s"), F.least("e", f"e{i}").alias("e"),
+            *ids, f"id{i}", *[f"r{j}" for j in range(i + 1)], F.greatest("s", f"s{i}").alias("s"), F.least("e", f"e{i}").alias("e"),
             *[(F.col(f"ctx_{n}") if n in bound[i] else
                F.coalesce(F.get(f"_v{i}_{n}", F.lit(0)), F.col(f"ctx_{n}"))).alias(f"ctx_{n}") for n in wanted])
         if i < len(fs) - 1:
@@ -75,18 +79,25 @@ def concurrent(store: Store, fs: list[Filter | str], start: float | None = None,
 
     lo = F.greatest("s", F.lit(float(start))) if start is not None else F.col("s")
     hi = F.least("e", F.lit(float(end))) if end is not None else F.col("e")
-    out = joined.select(lo.alias("start_time"), hi.alias("end_time"),
-                        F.array(*[f"id{i}" for i in range(len(fs))]).alias("ids"))
+    n = range(len(fs))
+    out = joined.select(lo.alias("start_time"), hi.alias("end_time"), F.array(*[f"id{i}" for i in n]).alias("ids"),
+                        F.array(*[f"r{i}" for i in n]).alias("order"))
     if skip is not None:
         seen = skip.select(F.array_sort("ids").alias("_set")).distinct()
         out = out.withColumn("_set", F.array_sort("ids")).join(seen, "_set", "left_anti").drop("_set")
     if dedupe is None:
         dedupe = len(fs) > 1 and _some_event_fits_two(store, fs)
-    if dedupe:
+    if dedupe or any(bound):
         out = (out.groupBy(F.array_sort("ids").alias("_set"))
-               .agg(F.min_by(F.struct("start_time", "end_time", "ids"), "ids").alias("r")).select("r.*"))
-    elif any(bound):
-        out = out.distinct()
+               .agg(F.min_by(F.struct("start_time", "end_time", "ids", "order"), "order").alias("r")).select("r.*"))
+    return out if with_order else out.drop("order")
+
+
+def _alternative(f: Filter) -> Column:
+    """Number of the first alternative of a filter that an event matches."""
+    out = F.lit(len(f.tags or ()))
+    for i, alt in reversed(list(enumerate(f.tags or ()))):
+        out = F.when(T.contains(F.col("tags"), [(n, v or None) for n, v in alt]), F.lit(i)).otherwise(out)
     return out
 
 

@@ -91,8 +91,8 @@ class Filter:
             return F.lit(True)
         test = F.lit(False)
         for pairs in self.tags:
-            if not pairs:  # an event without tags has no rows in the pair table and is never matched
-                continue
+            if not pairs:
+                return F.lit(True)
             test = test | T.contains(tags, [(n, v or None) for n, v in pairs], promoted)
         return test
 

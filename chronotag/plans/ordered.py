@@ -5,8 +5,7 @@ holds a large part of the data. `Ordered` first counts rows per key (one narrow,
 combined pass). Keys below the limit stay whole. The rows of larger keys are range partitioned
 by (key, order), which gives chunks of about equal row counts however the times are spread, and
 the chunk number is pinned by a checkpoint. Every operation then runs a window per (key, chunk)
-and adds what has to be carried over from earlier chunks, which is a table of a few rows per
-chunk.
+and adds what has to be carried over from earlier chunks, which is a table of one row per chunk.
 """
 
 from __future__ import annotations
@@ -91,10 +90,12 @@ class Ordered:
         return Window.partitionBy(*self.keys).orderBy(F.col(_CHUNK).desc() if descending else F.col(_CHUNK))
 
     def _join(self, df: DataFrame, carry: DataFrame) -> DataFrame:
-        renamed = carry.select(*[F.col(k).alias(f"_k_{k}") for k in self._parts()],
-                               *[c for c in carry.columns if c not in self._parts()])
-        cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self._parts()])
-        return df.join(renamed, cond, "left").drop(*[f"_k_{k}" for k in self._parts()])
+        # One row per chunk, so it is broadcast. It is pinned because it is computed from the very
+        # rows it is joined to: unpinned, every further operation would double the plan.
+        carry = carry.select(*[F.col(k).alias(f"_k_{k}") for k in self._parts()],
+                             *[c for c in carry.columns if c not in self._parts()])
+        on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self._parts()]
+        return df.join(F.broadcast(pinned(carry)), on, "left").drop(*[f"_k_{k}" for k in self._parts()])
 
     def select(self, *cols) -> "Ordered":
         named = {c for c in cols if isinstance(c, str)}
@@ -155,7 +156,7 @@ class Ordered:
         tails = self._tails(self.df, n - 1, False, cols)
         copies = tails.select(*self._parts(), F.explode("_carry").alias("r")).select(
             *self._parts(), *[F.col(f"r.`{c}`").alias(c) for c in cols], F.lit(False).alias("_own"))
-        both = self.df.withColumn("_own", F.lit(True)).unionByName(copies)
+        both = self.df.withColumn("_own", F.lit(True)).unionByName(pinned(copies))
         return self._next(both.withColumns({o: c.over(frame) for o, c in outs.items()}).where("_own").drop("_own"))
 
     def regroup(self, *extra: str) -> "Ordered":
