@@ -288,9 +288,11 @@ def smoothing(out: str, x: str, past: float | None, future: float | None) -> Sta
         own = F.floor(F.col("time") / width)
         cells = F.array_distinct(F.array(own, F.floor((F.col("time") + back) / width), F.floor((F.col("time") - ahead) / width)))
         df = o.df.withColumns({"_own": own, "_cells": cells}).withColumn("_cell", F.explode("_cells")).drop("_cells")
-        w = (Window.partitionBy(*o.keys, "_cell").orderBy("time")
-             .rangeBetween(-back if past else 0, ahead if future else 0))
-        df = df.withColumn("_f", F.collect_list(F.struct("time", F.col(x).cast("array<double>").alias("v"), "_n")).over(w))
+        # the window API takes whole numbers only, SQL also fractions
+        parts = ", ".join(f"`{k}`" for k in [*o.keys, "_cell"])
+        df = df.withColumn("_p", F.struct("time", F.col(x).cast("array<double>").alias("v"), "_n"))
+        df = df.withColumn("_f", F.expr(f"collect_list(_p) OVER (PARTITION BY {parts} ORDER BY time "
+                                        f"RANGE BETWEEN {back!r}D PRECEDING AND {ahead!r}D FOLLOWING)")).drop("_p")
         df = df.where(F.col("_cell") == F.col("_own"))
         last = F.element_at("_f", -1)
         beyond = F.when((last["time"] < F.col("time") + ahead) & last["_n"].isNotNull(),
@@ -647,9 +649,8 @@ def external(out: str, x: str, command: list[str]) -> Stage:
         def feed(pdf):
             pdf = pdf.sort_values("time")
             lines = (",".join([str(t), *map(str, v)]) for t, v in zip(pdf["time"], pdf["_x"]))
-            done = subprocess.run(command, input="
-".join(lines) + "
-", capture_output=True, text=True, check=True)
+            text = "".join(f"{line}\n" for line in lines)
+            done = subprocess.run(command, input=text, capture_output=True, text=True, check=True)
             result = pdf.drop(columns=["_x"])
             result[out] = [[float(v) for v in line.split(",")] for line in done.stdout.splitlines()]
             return result

@@ -39,6 +39,8 @@ def keep_newest(samples: DataFrame, n: int) -> DataFrame:
 
 def dimensions(store: Store) -> DataFrame:
     """(id, dim) of every event: the dimension of its samples, null when it is no timeseries."""
+    if store.samples is None:
+        return store.events.select("id", F.lit(None).cast("int").alias("dim"))
     dims = store.samples.groupBy("event_id").agg(F.max(F.size("value")).alias("dim"))
     return store.events.select("id").join(dims, F.col("id") == F.col("event_id"), "left").select("id", "dim")
 

@@ -194,7 +194,7 @@ def export(store: Store, columns: list[Filter | str], start: float | None = None
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "cell"))), lambda c: c["cell"]), "").alias("value"),
                   F.count("dim").alias("n_series")))
     lines = heads.select("order", F.lit(0).alias("kind"), F.lit(0.0).alias("time"), "value")
-    if not tags_only:
+    if not tags_only and store.samples is not None:
         with_data = heads.where(F.col("n_series") > 0).select("group_id", "order")
         body = _body(store, sets.join(with_data.select("group_id"), "group_id", "left_semi"), member, len(fs), timestep, sep, tabs)
         lines = lines.unionByName(body).unionByName(

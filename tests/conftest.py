@@ -10,6 +10,7 @@ def spark():
     s = session("chronotag-tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",

@@ -186,9 +186,13 @@ def sharing_template(spark, folder):
 
 # --- catalogue -------------------------------------------------------------------------------------------
 
+def tag_text(df):
+    return df.withColumn("tags", T.to_text(F.col("tags")))
+
+
 @query(f"WITH {V.EV} SELECT type AS c0, k AS c1, 'k=' || k || ',type=' || type AS tags, count(*) AS n FROM ev GROUP BY type, k")
 def tag_combinations(spark, folder):
-    return catalog.combinations(V.events(spark, folder), ["type", "k"])
+    return tag_text(catalog.combinations(V.events(spark, folder), ["type", "k"]))
 
 
 @query(f"""WITH {V.ORD}, o AS (SELECT ord.*, flag FROM ord JOIN flags USING (id) WHERE status = 'O')
@@ -196,12 +200,12 @@ def tag_combinations(spark, folder):
       CASE WHEN a.priority LIKE '% %' THEN replace(a.priority, ' ', '+') ELSE a.priority END || ',status=O' AS tags, count(*) AS n
     FROM o a JOIN o b ON a.id = b.id AND a.flag < b.flag GROUP BY ALL""")
 def tag_combinations_repeated(spark, folder):
-    return catalog.combinations(V.orders(spark, folder), ["flag", "flag", "priority"], "status=O")
+    return tag_text(catalog.combinations(V.orders(spark, folder), ["flag", "flag", "priority"], "status=O"))
 
 
 @query(f"WITH {V.EV} SELECT usr AS c0, 'type=click,user=' || usr AS tags, count(*) AS n FROM ev WHERE type = 'click' GROUP BY usr")
 def tag_combinations_short(spark, folder):
-    return catalog.combinations_of(V.events(spark, folder), "type=click,user")
+    return tag_text(catalog.combinations_of(V.events(spark, folder), "type=click,user"))
 
 
 @query("SELECT unnest(['cust', 'flag', 'priority', 'status']) AS name")
@@ -233,7 +237,7 @@ def sorted_tagsets(spark, folder):
     # number the rows by the same order
 
     keyed = df.withColumns({"_all": F.lit(0), "_k": F.col("k").cast("int")})
-    return Ordered(keyed, "_all", ["_k", "type"]).row_number("rank").done().drop("_all", "_k")
+    return tag_text(Ordered(keyed, "_all", ["_k", "type"]).row_number("rank").done().drop("_all", "_k"))
 
 
 @query(f"WITH {V.EV} SELECT hash_text AS text FROM (SELECT DISTINCT tags AS hash_text FROM ev)")
@@ -351,7 +355,7 @@ def create_event(spark, folder):
     return V.show_tags(s.events)
 
 
-@query(f"""WITH {V.EV}, r AS (SELECT usr, start_time AS time, 'state=' || type AS info, lag(type) OVER w AS was FROM ev, LATERAL (SELECT type)
+@query(f"""WITH {V.EV}, r AS (SELECT usr, start_time AS time, 'state=' || type AS info, lag(type) OVER w AS was FROM ev
       WINDOW w AS (PARTITION BY usr ORDER BY start_time)),
     s AS (SELECT * FROM r WHERE was IS NULL OR 'state=' || was <> info)
     SELECT usr AS user, info, time AS start_time, coalesce(lead(time) OVER (PARTITION BY usr ORDER BY time), 1.7976931348623157e308) AS end_time FROM s""")
