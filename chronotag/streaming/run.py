@@ -8,6 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from chronotag.plans.durable import ensure_checkpoint_dir
 
@@ -69,7 +70,7 @@ def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    schema = stream.schema.add("batch", "int")
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
     return spark.read.schema(schema).parquet(out)
 
 

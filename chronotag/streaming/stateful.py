@@ -47,7 +47,8 @@ class _States(_Keyed):
         current = self.open.get() if self.open.exists() else None
         info, start = (current[0], current[1]) if current else (None, None)
         closed = []
-        for now, time in zip(*(_ordered(rows, ["time"])[c] for c in ("info", "time"))):
+        df = _ordered(rows, ["time"])
+        for now, time in zip(df["info"], df["time"]):
             if info is not None and set(T.parse(now)) <= set(T.parse(info)):
                 continue  # the open state says the same or more
             if info is not None:

@@ -1 +1,263 @@
+"""Feature jobs over co-occurring series, groups, stored results, training, audits."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chronotag.functions import tags as T
+from chronotag.model import Store
+from chronotag.operators import features as X
+from chronotag.operators import filters, jobs, learners
+from chronotag.operators.features import Chain, Observations
+from chronotag.plans.ordered import Ordered
+from workload import views as V
+from workload.events import DAY, HOUR, store
+from workload.features import doubles
+from workload.registry import query
+
+# click and view series of the same user, and the time they share
+PAIRS = f"""{V.TYPED}, {V.NEAR}, inst AS (SELECT a.id AS ia, b.id AS ib, a.user_id, greatest(a.start_time, b.start_time) AS lo, least(a.end_time, b.end_time) AS hi
+    FROM ser a JOIN ser b ON a.user_id = b.user_id AND a.type = 'click' AND b.type = 'view' AND a.start_time <= b.end_time AND b.start_time <= a.end_time)"""
+STEPS = """tm AS (SELECT *, unnest(list_transform(range(CAST(floor((hi - s * ceil(lo / s)) / s) AS BIGINT) + 1), lambda i: s * ceil(lo / s) + i * s)) AS t
+    FROM (SELECT *, 21600.0::DOUBLE AS s FROM inst))"""
+
+
+def at(name, column, alias):
+    """Join the samples next to a time: the newest before it, or the first."""
+    return f"""{name} AS (SELECT q.*, a.time AS {alias}_at FROM {column[0]} q ASOF LEFT JOIN smp a ON q.{column[1]} = a.event_id AND q.t >= a.time)"""
+
+
+VALUES = f"""{at('qa', ('tm', 'ia'), 'a')}, {at('qb', ('qa', 'ib'), 'b')},
+    val AS (SELECT q.user_id, q.ia, q.ib, q.lo, q.hi, q.t, {V.value_sql('q.t', 'v', 'na')} AS av, {V.value_sql('q.t', 'w', 'na')} AS aw,
+      {V.value_sql('q.t', 'v', 'nb')} AS bv, {V.value_sql('q.t', 'w', 'nb')} AS bw
+      FROM qb q JOIN near na ON na.event_id = q.ia AND na.time = coalesce(q.a_at, na.first_time) JOIN near nb ON nb.event_id = q.ib AND nb.time = coalesce(q.b_at, nb.first_time)),
+    gap AS (SELECT *, CAST(CAST(bv AS FLOAT) - CAST(av AS FLOAT) AS DOUBLE) AS gv, CAST(CAST(bw AS FLOAT) - CAST(aw AS FLOAT) AS DOUBLE) AS gw FROM val),
+    dist AS (SELECT *, CAST(CAST(sqrt(gv * gv + gw * gw) AS FLOAT) AS DOUBLE) AS d FROM gap)"""
+
+INPUTS = {"a": "type=click,user", "b": "type=view,user="}
+
+
+def pair_job(spark, folder, chain, timestep=6 * HOUR, groups=None):
+    return jobs.batch(V.typed_series(spark, folder), INPUTS, chain, groups, timestep=timestep, strict=False)
+
+
+@query(f"""WITH {PAIRS}, {STEPS}, {VALUES} SELECT ia || ',' || ib AS instance_id, t AS time, av AS a_0, aw AS a_1, bv AS b_0, bw AS b_1, d,
+    CAST(CAST(1.0::DOUBLE / CAST(CAST(t - lag(t) OVER w AS FLOAT) AS DOUBLE) AS FLOAT) * (CAST(d AS FLOAT) - CAST(lag(d) OVER w AS FLOAT)) AS DOUBLE) AS closing
+    FROM dist WINDOW w AS (PARTITION BY ia, ib ORDER BY t)""")
+def batch_features(spark, folder):
+    obs, _ = pair_job(spark, folder, Chain(X.distance("d", "a", "b"), X.rate("closing", "d")))
+    return doubles(V.flat(obs.df().select("instance_id", "time", "a", "b", "d", "closing"), "a", "b"), "d", "closing")
+
+
+@query(f"""WITH {PAIRS}, tm AS (SELECT inst.*, s.time AS t FROM inst JOIN smp s ON s.event_id = ia AND s.time BETWEEN lo AND hi), {VALUES}
+    SELECT ia || ',' || ib AS instance_id, count(*) AS n, round(sum(d), 2) AS total FROM dist GROUP BY ia, ib""")
+def batch_at_sample_times(spark, folder):
+    obs, _ = pair_job(spark, folder, Chain(X.distance("d", "a", "b")), None)
+    return obs.df().groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("d", F.lit(0)).cast("double")), 2).alias("total"))
+
+
+@query(f"""WITH {PAIRS}, ti AS (SELECT *, {V.T0} + 10 * 86400 AS ts, {V.T0} + 11 * 86400 AS te FROM inst WHERE lo <= {V.T0} + 9 * 86400 AND hi >= {V.T0} + 12 * 86400),
+    j AS (SELECT ia || ',' || ib AS instance_id, lo, hi, ts, te, s.time, ts - 43200 AS f, te + 21600 AS l FROM ti JOIN smp s ON s.event_id = ia AND s.time BETWEEN lo AND hi),
+    e AS (SELECT instance_id, max(CASE WHEN time <= f THEN time END) AS b, min(CASE WHEN time > l THEN time END) AS a FROM j GROUP BY 1),
+    k AS (SELECT j.* FROM j JOIN e USING (instance_id) WHERE time > f AND time <= l OR time = b OR time = a)
+    SELECT instance_id, time FROM k UNION ALL SELECT ia || ',' || ib, ts FROM ti WHERE NOT EXISTS (FROM k WHERE k.instance_id = ia || ',' || ib AND time BETWEEN ts AND te)""")
+def observation_times(spark, folder):
+    s, t0 = V.typed_series(spark, folder), V.t0(spark, folder)
+    inst = jobs.instances(s, INPUTS).where((F.col("start") <= t0 + 9 * DAY) & (F.col("end") >= t0 + 12 * DAY))
+    return jobs.observation_times(inst, s.samples, None, t0 + 10 * DAY, t0 + 11 * DAY, 12 * HOUR, 6 * HOUR)
+
+
+@query(f"""WITH {PAIRS}, {STEPS}, {VALUES}, g AS (SELECT *, d <= 30 AS open FROM dist), e AS (SELECT *, lag(open) OVER s AS po, lag(t) OVER s AS pt, lead(t) OVER s AS nt
+      FROM g WINDOW s AS (PARTITION BY ia, ib ORDER BY t)),
+    r AS (SELECT *, sum(CASE WHEN open AND NOT coalesce(po, false) THEN 1 ELSE 0 END) OVER (PARTITION BY ia, ib ORDER BY t ROWS UNBOUNDED PRECEDING) AS seg FROM e)
+    SELECT min((t + coalesce(pt, lo)) / 2) AS start_time, max((t + coalesce(nt, hi)) / 2) AS end_time,
+      'a.ID=' || ia || ',b.ID=' || ib || ',model=near,type=result,user=' || user_id AS tags FROM r WHERE open GROUP BY user_id, ia, ib, seg""")
+def stored_results(spark, folder):
+    # an event for every time that a user's click and view series run close to each other
+    obs, _ = pair_job(spark, folder, Chain(X.distance("d", "a", "b"), X.between("d", None, 30.0)))
+    made = jobs.create_events(obs, jobs.result_tags("near", ["a", "b"], "user=a.user"))
+    s = jobs.store_events(Store(V.typed_series(spark, folder).events.limit(0)), made)
+    return V.show_tags(s.events).drop("id")
+
+
+@query(f"""WITH {PAIRS}, {STEPS}, {VALUES} SELECT min(lo) AS start_time, max(hi) AS end_time, 'type=gap,user=' || user_id AS tags, count(*) AS n, round(sum(d), 2) AS total
+    FROM dist GROUP BY user_id, ia, ib""")
+def stored_series(spark, folder):
+    obs, _ = pair_job(spark, folder, Chain(X.distance("d", "a", "b")))
+    ev, smp = jobs.create_timeseries(obs, "type=gap,user=a.user", "d")
+    base = V.typed_series(spark, folder)
+    s = jobs.store_timeseries(base.with_(events=base.events.limit(0), samples=base.samples.limit(0)), ev, smp, obs.rows.keys)
+    n = s.samples.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("value", F.lit(0)).cast("double")), 2).alias("total"))
+    return V.show_tags(s.events).join(n, F.col("id") == F.col("event_id")).drop("id", "event_id")
+
+
+@query(f"""WITH {PAIRS} SELECT lo AS start_time, hi AS end_time, 'a.ID=' || ia || ',b.ID=' || ib || ',model=pairs,set=first,type=result' AS tags FROM inst
+    UNION ALL SELECT greatest(a.start_time, b.start_time), least(a.end_time, b.end_time), 'a.ID=' || a.id || ',b.ID=' || b.id || ',model=pairs,set=second,type=result'
+      FROM ser a JOIN ser b ON a.user_id = b.user_id AND a.type = 'click' AND b.type IN ('signup') AND a.start_time <= b.end_time AND b.start_time <= a.end_time""")
+def predict_problem_sets(spark, folder):
+    m = jobs.Model("pairs", ["a", "b"], Chain(X.distance("d", "a", "b")), timestep=DAY / 8)
+    s = V.typed_series(spark, folder)
+    # the second set finds the first one's instances again and leaves them out
+    sets = [{"inputs": ["type=click,user", "type=view,user="], "result_tags": "set=first"},
+            {"inputs": ["type=click,user", "type=view,user=;type=signup,user="], "result_tags": "set=second"}]
+    out, _ = jobs.predict(s, m, sets, delete_old=True)
+    return V.show_tags(out.events.where(T.has_pair(F.col("tags"), "model", "pairs"))).drop("id")
+
+
+@query(f"""WITH {PAIRS}, res AS (SELECT lo AS s, ia, ib FROM inst) SELECT 'a' AS input, ia AS id, min(s) AS first_result, count(*) AS n FROM res GROUP BY ia
+    UNION ALL SELECT 'b', ib, min(s), count(*) FROM res GROUP BY ib""")
+def prediction_inputs(spark, folder):
+    s = V.typed_series(spark, folder)
+    obs, _ = pair_job(spark, folder, Chain(), None)
+    made = jobs.create_events(obs, jobs.result_tags("near", ["a", "b"])).withColumn("id", F.monotonically_increasing_id())
+    res = made.select("id", F.col("start_time").alias("result_start"), "tags")
+    found = jobs.prediction_inputs(res, s.events, ["a", "b"])
+    starts = res.select(F.col("id").alias("rid"), "result_start")
+    return (found.join(starts, F.col("result_id") == F.col("rid")).groupBy("input", "id")
+            .agg(F.min("result_start").alias("first_result"), F.count(F.lit(1)).alias("n")))
+
+
+# --- groups ---------------------------------------------------------------------------------------------
+
+# the mean value of every type as the position of a member that stays where it is
+MEMBERS = f"""{V.RAW}, mem AS (SELECT list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) * 10 + j.range AS member_id,
+      CAST(round(avg(value), 2) * (j.range + 1) * 0.5 AS FLOAT) AS p FROM raw, range(3) j GROUP BY event_type, j.range),
+    o AS (SELECT user_id AS instance_id, t AS time, CAST(value AS FLOAT) AS v FROM raw)"""
+
+
+def mover_and_members(spark, folder):
+    r = V.raw(spark, folder)
+    code = F.array_position(F.array(*[F.lit(t) for t in V.TYPES]), F.col("event_type"))
+    means = r.groupBy(code.alias("c")).agg(F.round(F.avg("value"), 2).alias("m"))
+    mem = means.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(
+        (F.col("c") * 10 + F.col("j")).alias("member_id"), F.array((F.col("m") * (F.col("j") + 1) * 0.5).cast("float")).alias("value"))
+    # fifteen members, whatever the size of the tables
+    group = V.observations(spark, folder).select("instance_id", "time").join(F.broadcast(mem), F.lit(True))
+    df = V.observations(spark, folder).withColumn("mover_id", F.lit(-1).cast("bigint"))
+    return Observations.of(df, {"levels": group})
+
+
+@query(f"""WITH {MEMBERS}, r AS (SELECT *, row_number() OVER (PARTITION BY instance_id, time ORDER BY sqrt(CAST(p - v AS DOUBLE) * CAST(p - v AS DOUBLE)), member_id) AS rk FROM o, mem)
+    SELECT instance_id, time, CAST(max(CASE WHEN rk = 1 THEN p END) AS DOUBLE) AS "near-1", CAST(max(CASE WHEN rk = 2 THEN p END) AS DOUBLE) AS "near-2"
+    FROM r WHERE rk <= 2 GROUP BY ALL""")
+def group_nearest(spark, folder):
+    obs = X.nearest("near", "v", "levels", 2).apply(mover_and_members(spark, folder))
+    return doubles(obs.df().select("instance_id", "time", "near-1", "near-2").withColumnsRenamed({"near-1": "a", "near-2": "b"}), "a", "b").withColumnsRenamed(
+        {"a": "near-1", "b": "near-2"})
+
+
+@query(f"""WITH {MEMBERS}, r AS (SELECT *, row_number() OVER (PARTITION BY instance_id, time ORDER BY sqrt(CAST(p - v AS DOUBLE) * CAST(p - v AS DOUBLE)), member_id) AS rk FROM o, mem),
+    f AS (SELECT instance_id, time, member_id AS m, lag(member_id) OVER w AS pm, lag(time) OVER w AS pt FROM r WHERE rk = 1 WINDOW w AS (PARTITION BY instance_id ORDER BY time)),
+    g AS (SELECT *, sum(CASE WHEN pm IS NOT NULL AND pm <> m THEN 1 ELSE 0 END) OVER (PARTITION BY instance_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS part FROM f),
+    s AS (SELECT instance_id, part, min(time) AS a, count(*) AS n FROM g GROUP BY ALL)
+    SELECT instance_id, CAST(part AS BIGINT) AS membership, a AS start_time, coalesce(lead(a) OVER (PARTITION BY instance_id ORDER BY part), (SELECT max(time) FROM o WHERE o.instance_id = s.instance_id)) AS end_time, n FROM s""")
+def group_nearest_split(spark, folder):
+    obs = X.nearest("near", "v", "levels", 1, split=True).apply(mover_and_members(spark, folder))
+    return obs.df().groupBy("instance_id", "membership").agg(F.min("start").alias("start_time"), F.max("end").alias("end_time"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {MEMBERS}, near AS (SELECT instance_id, time, v, list(member_id ORDER BY abs(CAST(p - v AS DOUBLE)), member_id) FILTER (abs(CAST(p - v AS DOUBLE)) <= 1.0) AS m FROM o, mem GROUP BY ALL),
+    s AS (SELECT *, last_value(m[1] IGNORE NULLS) OVER w AS f, max(CASE WHEN m[1] IS NOT NULL THEN time END) OVER w AS lft, count(m[1]) OVER w AS leg FROM near
+      WINDOW w AS (PARTITION BY instance_id ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT *, list_filter(m, lambda x: x <> f)[1] AS to_ FROM s WHERE f IS NOT NULL),
+    a AS (SELECT *, row_number() OVER (PARTITION BY instance_id, leg ORDER BY time) AS k FROM t WHERE to_ IS NOT NULL AND time - lft <= 86400.0),
+    trips AS (SELECT * FROM a WHERE k = 1 AND time - lft >= 600.0)
+    SELECT instance_id, lft AS start_time, time AS end_time, f AS from_id, to_ AS to_id,
+      (SELECT count(*) FROM o WHERE o.instance_id = trips.instance_id AND o.time BETWEEN lft AND trips.time) AS n FROM trips""")
+def from_to(spark, folder):
+    obs = X.from_to("v", "levels", "levels", 1.0, min_duration=600.0, max_duration=DAY).apply(mover_and_members(spark, folder))
+    return obs.df().groupBy("instance_id", "trip").agg(
+        F.min("start").alias("start_time"), F.max("end").alias("end_time"), F.min("from_id").alias("from_id"), F.min("to_id").alias("to_id"),
+        F.count(F.lit(1)).alias("n")).drop("trip")
+
+
+@query(f"""WITH {PAIRS}, tm AS (SELECT *, unnest(list_transform(range(CAST(floor((hi - s * ceil(lo / s)) / s) AS BIGINT) + 1), lambda i: s * ceil(lo / s) + i * s)) AS t
+      FROM (SELECT *, 432000.0::DOUBLE AS s FROM inst)), sp AS (SELECT ia, ib, min(t) AS ta, max(t) AS tz FROM tm GROUP BY ALL),
+    mm AS (SELECT tm.ia, tm.ib, tm.t, m.id AS mid FROM tm JOIN ser m ON m.type = 'purchase' AND tm.t BETWEEN m.start_time AND m.end_time),
+    {at('qm', ('mm', 'mid'), 'm')}, {at('qa', ('qm', 'ia'), 'a')},
+    x AS (SELECT q.ia, q.ib, q.t, q.mid, {V.value_sql('q.t', 'v', 'nm')} AS mv, {V.value_sql('q.t', 'w', 'nm')} AS mw, {V.value_sql('q.t', 'v', 'na')} AS av, {V.value_sql('q.t', 'w', 'na')} AS aw
+      FROM qa q JOIN near nm ON nm.event_id = q.mid AND nm.time = coalesce(q.m_at, nm.first_time) JOIN near na ON na.event_id = q.ia AND na.time = coalesce(q.a_at, na.first_time)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY ia, ib, t ORDER BY (mv - av) * (mv - av) + (mw - aw) * (mw - aw), mid) AS k FROM x)
+    SELECT ia || ',' || ib AS instance_id, t AS time, mv AS near_0, mw AS near_1 FROM r WHERE k = 1""")
+def batch_with_group(spark, folder):
+    # the purchase series nearest to the click series, every five days
+    obs, _ = pair_job(spark, folder, Chain(X.nearest("near", "a", "purchases")), 5 * DAY, {"purchases": "type=purchase"})
+    return V.flat(obs.df().where(F.col("near").isNotNull()).select("instance_id", "time", "near"), "near")
+
+
+# --- training and audits -----------------------------------------------------------------------------------
+
+@query(f"""WITH {PAIRS}, {STEPS}, {VALUES}, ex AS (SELECT *, row_number() OVER (ORDER BY ia, ib) AS z FROM dist)
+    SELECT (SELECT count(*) FROM dist WHERE user_id <> 4) AS n""")
+def training_examples(spark, folder):
+    m = jobs.Model("near", ["a", "b"], Chain(X.distance("d", "a", "b"), X.constant("score", [1.0])))
+    obs, _ = pair_job(spark, folder, m.training)
+    data, events = jobs.add_training(None, obs, m, "good", 1000)
+    gone = events.where(T.has_pair(F.col("tags"), "a.ID", "41")).select("id").first()[0]
+    return jobs.n_examples(jobs.delete_training(data, gone))
+
+
+@query(f"""WITH {PAIRS}, {STEPS}, {VALUES}, f AS (SELECT ia || ',' || ib AS i, t, [av, aw] AS x, d AS y FROM dist),
+    q AS (SELECT id, [CAST(v AS DOUBLE), CAST(w AS DOUBLE)] AS x FROM (SELECT DISTINCT ON (event_id) event_id AS id, v, w FROM smp ORDER BY event_id, time)),
+    e AS (SELECT q.id, y, row_number() OVER (PARTITION BY q.id ORDER BY (f.x[1] - q.x[1]) * (f.x[1] - q.x[1]) + (f.x[2] - q.x[2]) * (f.x[2] - q.x[2]), f.i, f.t) AS k FROM q, f)
+    SELECT id AS query_id, round(avg(y), 5) AS prediction FROM e WHERE k <= 3 GROUP BY id""")
+def predict_from_training(spark, folder):
+    m = jobs.Model("near", ["a"], Chain(X.distance("d", "a", "b")))
+    obs, _ = pair_job(spark, folder, m.training)
+    rows = obs.df().select("instance_id", "time", F.lit(1.0).cast("float").alias("weight"), "a", "d").withColumn("_all", F.lit(0))
+    data = Ordered(rows, "_all", ["instance_id", "time"]).row_number("train_id").done().drop("_all")
+    train = data.select("train_id", F.col("a").alias("x"), F.get("d", F.lit(0)).cast("double").alias("y"))
+    firsts = V.typed_series(spark, folder).samples.groupBy(F.col("event_id").alias("query_id")).agg(F.min_by("value", "time").alias("x"))
+    out = learners.knn_predict(firsts, train, 2, k=3, scale=False)
+    return out.withColumn("prediction", F.round("prediction", 5))
+
+
+@query(f"""WITH {V.EV} SELECT id, start_time, end_time, tags FROM ev WHERE type = 'error' AND k = '5' AND start_time >= {V.T0} + 86400 + (1e-3 + 1e-8)
+    ORDER BY start_time, end_time, id LIMIT 1""")
+def next_flag(spark, folder):
+    # errors with k=5 stand for a model's results
+    s = store(spark, folder)
+    flags = filters.select(s, "type=error,k=5")
+    marked = flags.withColumn("tags", T.add(T.remove(F.col("tags"), T.lit_tags("type")), T.lit_tags("model=m,type=result")))
+    hit = jobs.next_flag(Store(marked.drop("tag:type", "tag:user")), "m", V.t0(spark, folder) + DAY)
+    back = T.set_(T.remove(F.col("tags"), T.lit_tags("model")), T.lit_tags("type=error"))
+    return V.show_tags(hit.withColumn("tags", back))
+
+
+@query(f"""WITH {V.TYPED}, {V.NEAR}, lab AS (SELECT event_id AS label_id, user_id, user_id * 10 + 2 AS tid, t, 'view' AS label FROM raw WHERE event_type = 'error'),
+    here AS (SELECT lab.*, CAST(s.v AS DOUBLE) AS x, CAST(s.w AS DOUBLE) AS y FROM lab JOIN smp s ON s.event_id = tid AND s.time = t),
+    cand AS (SELECT h.*, e.id AS eid FROM here h JOIN ser e ON e.type = 'view' AND h.t BETWEEN e.start_time AND e.end_time),
+    {at('qc', ('cand', 'eid'), 'c')},
+    ok AS (SELECT DISTINCT label_id FROM (SELECT q.label_id, q.x, q.y, {V.value_sql('q.t', 'v', 'n')} AS ex, {V.value_sql('q.t', 'w', 'n')} AS ey
+      FROM qc q JOIN near n ON n.event_id = q.eid AND n.time = coalesce(q.c_at, n.first_time)) WHERE sqrt((ex - x) * (ex - x) + (ey - y) * (ey - y)) <= 3.0)
+    SELECT label_id, user_id AS track_id, label, t AS time FROM lab WHERE label_id NOT IN (FROM ok)""")
+def wrong_labels(spark, folder):
+    s = V.typed_series(spark, folder)
+    r = V.raw(spark, folder)
+    labels = r.where(F.col("event_type") == "error").select(F.col("event_id").alias("label_id"), F.col("user_id").alias("track_id"),
+                                                            F.lit("View").alias("label"), F.col("t").alias("time"))
+    kind, user = T.value(F.col("tags"), "type"), T.value(F.col("tags"), "user").cast("bigint")
+    tracks = s.events.where(kind == "error").select(user.alias("track_id"), F.col("id").alias("event_id"))
+    entities = s.events.select(F.col("id").alias("event_id"), kind.alias("type"), "start_time", "end_time")
+    return jobs.wrong_labels(s, labels, tracks, entities, within=3.0).withColumn("label", F.lower("label"))
+
+
+@query(f"WITH {V.EV} SELECT id, usr AS track_id, start_time, CAST(floor(end_time - start_time) AS BIGINT) AS seconds FROM ev WHERE type = 'view' AND end_time - start_time > 30")
+def late_labels(spark, folder):
+    s = store(spark, folder)
+    views = filters.select(s, "type=view")
+    as_tracks = views.withColumn("tags", T.make(trackLabel=F.lit("unlabeled"), trackID=T.value(F.col("tags"), "user")))
+    return jobs.late_labels(Store(as_tracks.drop("tag:type", "tag:user")))
+
+
+@query()
+def two_entity_features(spark, folder):
+    obs, _ = pair_job(spark, folder, jobs.two_entity_features("a", "b", sigma=6 * HOUR))
+    names = ["Range", "Closure_Rate", "Angle_Off", "Aspect_A", "Aspect_B"]
+    return doubles(obs.df().select("instance_id", "time", *names), *names)
+
+
+@query()
+def following_features(spark, folder):
+    obs, _ = pair_job(spark, folder, jobs.following_features("a", "b"))
+    return V.flat(obs.df().select("instance_id", "time", "MyRelativePosition", "MyNextRelativePosition"), "MyRelativePosition", "MyNextRelativePosition")

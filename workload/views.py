@@ -135,6 +135,7 @@ TYPED = RAW + """, codes AS (SELECT *, user_id * 10 + CASE event_type WHEN 'clic
 T0 = "(SELECT min(t) FROM raw)"
 # samples with their neighbours, for values at any time
 NEAR = """near AS (SELECT event_id, time, v, lag(time) OVER s AS t1, lag(v) OVER s AS v1, lead(time) OVER s AS t2, lead(v) OVER s AS v2,
+    w, lag(w) OVER s AS w1, lead(w) OVER s AS w2,
     min(time) OVER (PARTITION BY event_id) AS first_time FROM smp WINDOW s AS (PARTITION BY event_id ORDER BY time))"""
 
 
