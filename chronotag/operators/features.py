@@ -21,6 +21,7 @@ from chronotag.functions import tags as T
 from chronotag.functions import vectors as V
 from chronotag.operators.series import in_box
 from chronotag.plans.ordered import Ordered
+from chronotag.plans.sequential import per_group
 
 
 @dataclass(frozen=True)
@@ -32,14 +33,15 @@ class Observations:
     groups: dict[str, DataFrame] = field(default_factory=dict)
 
     @staticmethod
-    def of(df: DataFrame, groups: dict[str, DataFrame] | None = None, limit: int | None = None) -> "Observations":
+    def of(df: DataFrame, groups: dict[str, DataFrame] | None = None, limit: int | None = None,
+           counted: DataFrame | None = None) -> "Observations":
         """Needs instance_id and time; start and end default to the first and last time."""
         if "start" not in df.columns or "end" not in df.columns:
             span = df.groupBy("instance_id").agg(F.min("time").alias("_a"), F.max("time").alias("_z"))
             df = df.join(span, "instance_id")
             df = df.withColumns({c: F.col(x) for c, x in (("start", "_a"), ("end", "_z")) if c not in df.columns})
             df = df.drop("_a", "_z")
-        return Observations(Ordered(df, "instance_id", "time", limit), groups or {})
+        return Observations(Ordered(df, "instance_id", "time", limit, counted), groups or {})
 
     def with_rows(self, rows: Ordered) -> "Observations":
         return replace(self, rows=rows)
@@ -208,7 +210,10 @@ def turn_rate(out: str, x: str) -> Stage:
             return (F.get(later, F.lit(i)) - F.get(earlier, F.lit(i))).cast("double")
         p, q, r = F.col("_b"), F.col("_a.x"), F.col(x)
         ax, ay, bx, by = d(0, q, p), d(1, q, p), d(0, r, q), d(1, r, q)
-        theta = F.atan2(ax * by - ay * bx, ax * bx + ay * by)
+        cross, along = ax * by - ay * bx, ax * bx + ay * by
+        # Spark's atan2 drops the sign of a zero, which tells the side of an exact reversal
+        left = (along < 0) & (cross.cast("string") == "-0.0")
+        theta = F.when(left, F.lit(-math.pi)).otherwise(F.atan2(cross, along))
         val = F.when(F.col("_rn") >= 3, F.array((theta / (F.col("time") - F.col("_a.time"))).cast("float")))
         o = o.with_columns(_w=val).lead(1, _w1=F.col("_w")).lead(2, _w2=F.col("_w"))
         chosen = F.when(F.col("_rn") == 1, F.col("_w2")).when(F.col("_rn") == 2, F.col("_w1")).otherwise(F.col("_w"))
@@ -646,13 +651,11 @@ def external(out: str, x: str, command: list[str]) -> Stage:
         kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
         schema = ", ".join(f"`{k}` {kinds[k]}" for k in o.keys) + f", time double, `{out}` array<float>"
 
-        def feed(pdf):
-            pdf = pdf.sort_values("time")
-            lines = (",".join([str(t), *map(str, v)]) for t, v in zip(pdf["time"], pdf["_x"]))
+        def feed(c):
+            lines = (",".join([str(t), *map(str, v)]) for t, v in zip(c["time"], c["_x"]))
             text = "".join(f"{line}\n" for line in lines)
             done = subprocess.run(command, input=text, capture_output=True, text=True, check=True)
-            result = pdf.drop(columns=["_x"])
-            result[out] = [[float(v) for v in line.split(",")] for line in done.stdout.splitlines()]
-            return result
-        return _with(o, slim.groupBy(*o.keys).applyInPandas(feed, schema), [out])
+            key = tuple(c[k][0] for k in o.keys)
+            return [(*key, t, [float(v) for v in line.split(",")]) for t, line in zip(c["time"], done.stdout.splitlines())]
+        return _with(o, per_group(slim, o.keys, ["time"], feed, schema), [out])
     return _rows([out], run, warmup=None, cooldown=None)

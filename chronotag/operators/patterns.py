@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotag.plans.ordered import Ordered
+from chronotag.plans.sequential import per_group
 
 # Patterns travel with the tasks, so their size is limited.
 MAX_PATTERN_SAMPLES = 1_000_000
 
+WINDOWS = ("event_id bigint, pattern string, pattern_no int, start_pos bigint, end_pos bigint, "
+           "start_time double, end_time double, error double, length int, scale double")
+
 
 def rates(ratio: float, steps: int) -> list[float]:
     """1, and `steps` faster and slower rates up to `ratio`."""
@@ -125,25 +129,19 @@ def search(samples: DataFrame, patterns: list[tuple[str, np.ndarray]], warp: flo
     slices = F.array_distinct(F.array(F.floor(pos / size), F.floor((pos + longest - 1) / size)))
     cut = numbered.withColumn("_pos", pos).withColumn("_slice", F.explode(slices))
 
-    def find(pdf):
-        pdf = pdf.sort_values("_pos")
-        first, number = int(pdf["_pos"].iloc[0]), int(pdf["_slice"].iloc[0])
-        time = pdf["time"].to_numpy()
-        values = np.stack(pdf["value"].to_numpy()).astype(float)
+    def find(c):
+        first, number = int(c["_pos"][0]), int(c["_slice"][0])
+        time, values = c["time"], np.stack(c["value"]).astype(float)
         rows = []
         for no, (name, p) in enumerate(patterns):
             n = len(p)
             for end, error, scale in _search(values, name, p, band(n), max_error):
                 if (first + end) // size == number:  # windows ending in the overlap belong to the slice before
-                    rows.append((name, no, first + end - n + 1, first + end, time[end - n + 1], time[end], error, n, scale))
-        out = pd.DataFrame(rows, columns=["pattern", "pattern_no", "start_pos", "end_pos", "start_time", "end_time",
-                                          "error", "length", "scale"])
-        out.insert(0, "event_id", pdf["event_id"].iloc[0])
-        return out
+                    rows.append((c["event_id"][0], name, no, first + end - n + 1, first + end, time[end - n + 1], time[end],
+                                 error, n, scale))
+        return rows
 
-    return cut.groupBy("event_id", "_slice").applyInPandas(find, (
-        "event_id bigint, pattern string, pattern_no int, start_pos bigint, end_pos bigint, "
-        "start_time double, end_time double, error double, length int, scale double"))
+    return per_group(cut, ["event_id", "_slice"], ["_pos"], find, WINDOWS)
 
 
 def best_matches(found: DataFrame) -> DataFrame:
@@ -157,10 +155,10 @@ def best_matches(found: DataFrame) -> DataFrame:
     o = Ordered(found, "event_id", ["start_pos", "end_pos", "pattern_no"]).running_max(inclusive=False, _reach=F.col("end_pos"))
     fresh = F.col("_reach").isNull() | (F.col("start_pos") > F.col("_reach"))
     islands = o.running_sum(_island=fresh.cast("bigint")).drop("_reach").done()
-    columns = found.columns
+    columns = ["event_id", "pattern", "pattern_no", "start_pos", "end_pos", "start_time", "end_time", "error", "length", "scale"]
 
-    def resolve(pdf):
-        rows = pdf.sort_values(["end_pos", "pattern_no"]).to_dict("records")
+    def resolve(c):
+        rows = [dict(zip(columns, r)) for r in zip(*(c[x] for x in columns))]
         considered = []
         for r in rows:
             r["_rate"] = r["error"] / r["length"]
@@ -180,11 +178,11 @@ def best_matches(found: DataFrame) -> DataFrame:
                     break
                 if other["start_pos"] <= best["end_pos"] and other["_rate"] < best["_rate"]:
                     best = other
-            kept.append(best)
+            kept.append(tuple(best[x] for x in columns))
             considered = [m for m in considered if m["end_pos"] > best["end_pos"] or m["end_pos"] < best["start_pos"]]
-        return pd.DataFrame(kept, columns=columns)
+        return kept
 
-    return islands.groupBy("event_id", "_island").applyInPandas(resolve, found.schema)
+    return per_group(islands, ["event_id", "_island"], ["end_pos", "pattern_no"], resolve, WINDOWS)
 
 
 def match(samples: DataFrame, patterns: list[tuple[str, np.ndarray]], warp: float, max_error: float | None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from chronotag.operators.catalog import combination_columns
 from chronotag.operators.events import shift
 from chronotag.plans.bounded import small_side
 from chronotag.plans.ordered import Ordered
+from chronotag.plans.sequential import per_group
 
 ORDER = ["start_time", "end_time", "id"]
 
@@ -158,21 +158,18 @@ def regex(seq: DataFrame, keys: list[str], tag: str, pattern: str, groups: tuple
     schema = ", ".join(f"{k} {fields[k]}" for k in keys) + (
         ", match bigint, `group` int, start_time double, end_time double, first bigint, last bigint, n bigint")
 
-    def matches(pdf):
-        pdf = pdf.sort_values(ORDER, kind="stable")
-        ends = pdf["text"].str.len().cumsum().to_numpy()
-        start, end = pdf["start_time"].to_numpy(), pdf["end_time"].to_numpy()
+    def matches(c):
+        lengths = np.fromiter(map(len, c["text"]), dtype=np.int64, count=len(c["text"]))
+        ends = lengths.cumsum()
+        key = tuple(c[k][0] for k in keys)
         rows = []
-        for number, m in enumerate(compiled.finditer("".join(pdf["text"]))):
+        for number, m in enumerate(compiled.finditer("".join(c["text"]))):
             for g in groups:
                 if m.start(g) < 0 or m.end(g) == m.start(g):
                     continue  # the group took no part, or matched nothing
                 a = int(np.searchsorted(ends, m.start(g), side="right"))
                 b = int(np.searchsorted(ends, m.end(g) - 1, side="right"))
-                rows.append((number, g, start[a], end[b], a, b, b - a + 1))
-        out = pd.DataFrame(rows, columns=["match", "group", "start_time", "end_time", "first", "last", "n"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+                rows.append((*key, number, g, c["start_time"][a], c["end_time"][b], a, b, b - a + 1))
+        return rows
 
-    return slim.groupBy(*keys).applyInPandas(matches, schema)
+    return per_group(slim, list(keys), ORDER, matches, schema)

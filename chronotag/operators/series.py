@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from chronotag.operators import filters, timecoord
 from chronotag.operators.filters import Filter
 from chronotag.plans.asof import asof, linear, previous
 from chronotag.plans.ordered import Ordered
+from chronotag.plans.sequential import per_group
 
 
 # --- finding and reading --------------------------------------------------------------------
@@ -244,48 +244,45 @@ def decimate(samples: DataFrame, min_delta: float, cell: float | None = None) ->
     width = float(cell or 1024 * min_delta)
     times = samples.select("event_id", F.floor(F.col("time") / F.lit(width)).alias("_cell"), "time")
 
-    def chains(pdf):
-        t = np.sort(pdf["time"].to_numpy())
+    def chains(c):
+        t = c["time"]
         after = _first_allowed(t, t, min_delta)
         last = np.arange(len(t))
         for i in range(len(t) - 1, -1, -1):
             if after[i] < len(t):
                 last[i] = last[after[i]]
         n = min(len(t), int(np.searchsorted(t, t[0] + min_delta, side="right")) + 1)
-        return pd.DataFrame({"event_id": pdf["event_id"].iloc[0], "_cell": pdf["_cell"].iloc[0],
-                             "entry": t[:n], "leave": t[last[:n]]})
+        return [(c["event_id"][0], c["_cell"][0], t[i], t[last[i]]) for i in range(n)]
 
-    table = times.groupBy("event_id", "_cell").applyInPandas(
-        chains, "event_id bigint, _cell bigint, entry double, leave double")
+    table = per_group(times, ["event_id", "_cell"], ["time"], chains, "event_id bigint, _cell bigint, entry double, leave double")
     bounds = times.groupBy("event_id", "_cell").agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
     runs = Ordered(bounds, "event_id", "_cell").lag(_hi=F.col("hi"))
     fresh = F.col("_hi").isNull() | (F.col("lo") - F.col("_hi") >= F.lit(float(min_delta)))
     runs = runs.running_sum(_run=fresh.cast("bigint")).done().select("event_id", "_cell", "_run")
 
-    def walk(pdf):
-        cells, befores, last = [], [], -np.inf
-        for c, part in pdf.sort_values(["_cell", "entry"]).groupby("_cell", sort=True):
-            cells.append(c)
-            befores.append(last)
-            entry = part["entry"].to_numpy()
-            i = int(_first_allowed(entry, last, min_delta))
-            if i < len(entry):
-                last = part["leave"].to_numpy()[i]
-        return pd.DataFrame({"event_id": pdf["event_id"].iloc[0], "_cell": cells, "before": befores})
-
-    begin = (table.join(runs, ["event_id", "_cell"]).groupBy("event_id", "_run")
-             .applyInPandas(walk, "event_id bigint, _cell bigint, before double"))
-
-    def keep(pdf):
-        t = np.sort(pdf["time"].to_numpy())
-        kept, i = [], int(_first_allowed(t, pdf["before"].iloc[0], min_delta))
+    def walk(c):
+        out, last = [], -np.inf
+        edges = [0, *(np.flatnonzero(np.diff(c["_cell"])) + 1), len(c["_cell"])]
+        for a, b in zip(edges, edges[1:]):
+            out.append((c["event_id"][0], c["_cell"][a], last))
+            i = int(_first_allowed(c["entry"][a:b], last, min_delta))
+            if i < b - a:
+                last = c["leave"][a + i]
+        return out
+
+    begin = per_group(table.join(runs, ["event_id", "_cell"]), ["event_id", "_run"], ["_cell", "entry"], walk,
+                      "event_id bigint, _cell bigint, before double")
+
+    def keep(c):
+        t = c["time"]
+        kept, i = [], int(_first_allowed(t, c["before"][0], min_delta))
         while i < len(t):
-            kept.append(t[i])
+            kept.append((c["event_id"][0], t[i]))
             i = int(_first_allowed(t, t[i], min_delta))
-        return pd.DataFrame({"event_id": pdf["event_id"].iloc[0], "time": np.array(kept, dtype=float)})
+        return kept
 
-    chosen = (times.join(begin, ["event_id", "_cell"]).groupBy("event_id", "_cell")
-              .applyInPandas(keep, "event_id bigint, time double"))
+    chosen = per_group(times.join(begin, ["event_id", "_cell"]), ["event_id", "_cell"], ["time"], keep,
+                       "event_id bigint, time double")
     return samples.join(chosen, ["event_id", "time"], "left_semi")
 
 

@@ -36,15 +36,17 @@ class Ordered:
     """Rows of `df` in `order` inside each of `keys`.
 
     Operations return a new Ordered with extra columns; `done()` gives the DataFrame. `order`
-    must be a total order inside a key (end it with an id when times can repeat).
+    must be a total order inside a key (end it with an id when times can repeat). Rows per key
+    are counted in `counted`, by default `df` itself; give it a cheaper table with at least as
+    many rows per key when `df` takes work to compute.
     """
 
-    def __init__(self, df: DataFrame, keys, order, limit: int | None = None):
+    def __init__(self, df: DataFrame, keys, order, limit: int | None = None, counted: DataFrame | None = None):
         self.keys = [keys] if isinstance(keys, str) else list(keys)
         self.order = [order] if isinstance(order, str) else list(order)
         self.split = False
         limit = limit or max_rows(df)
-        hot = hot_keys(df, self.keys, limit)
+        hot = hot_keys(df if counted is None else counted, self.keys, limit)
         total = hot.agg(F.sum("_n")).first()[0]
         if total:
             self.split = True

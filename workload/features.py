@@ -54,7 +54,7 @@ def speed(spark, folder):
 
 @query(f"""WITH {OBS}, d AS (SELECT *, CAST(v - pv AS DOUBLE) AS bx, CAST(w - pw AS DOUBLE) AS by_, lag(v - pv) OVER s::DOUBLE AS ax, lag(w - pw) OVER s::DOUBLE AS ay
       FROM o WINDOW s AS (PARTITION BY instance_id ORDER BY time)),
-    r AS (SELECT *, CASE WHEN rn >= 3 THEN atan2(ax * by_ - ay * bx, ax * bx + ay * by_) / (time - pt) END AS r FROM d WHERE n >= 3)
+    r AS (SELECT *, CASE WHEN rn >= 3 THEN CAST(CAST(atan2(ax * by_ - ay * bx, ax * bx + ay * by_) / (time - pt) AS FLOAT) AS DOUBLE) END AS r FROM d WHERE n >= 3)
     SELECT instance_id, time, round(coalesce(r, first_value(r IGNORE NULLS) OVER (PARTITION BY instance_id ORDER BY time ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)), 6) AS r FROM r"""
        .replace("lag(v - pv) OVER s::DOUBLE", "CAST(lag(v - pv) OVER s AS DOUBLE)").replace("lag(w - pw) OVER s::DOUBLE", "CAST(lag(w - pw) OVER s AS DOUBLE)"))
 def turn_rate(spark, folder):
@@ -85,7 +85,7 @@ def gauss(sd):
 
 @query(f"""WITH {OBS}, j AS (SELECT x.instance_id, x.time, b.v, CASE WHEN b.time <= x.time THEN {gauss(10800.0)} ELSE {gauss(3600.0)} END AS k
       FROM o x JOIN o b ON x.instance_id = b.instance_id AND b.time >= x.time - 32400.0 AND (b.time <= x.time + 10800.0 OR (b.pt < x.time + 10800.0 AND b.pt >= x.time)))
-    SELECT instance_id, time, round(sum(k * v) / sum(k), 3) AS s FROM j GROUP BY ALL""")
+    SELECT instance_id, time, round(CAST(CAST(sum(k * v) / sum(k) AS FLOAT) AS DOUBLE), 3) AS s FROM j GROUP BY ALL""")
 def smooth(spark, folder):
     return rounded(run(spark, folder, X.smoothing("s", "v", 3 * HOUR, HOUR), keep=["s"]), 3, "s")
 
@@ -251,7 +251,7 @@ def cpa(spark, folder):
 @query(f"""WITH {OBS}, d AS (SELECT instance_id, time, CAST(v AS DOUBLE) AS x, CAST(w AS DOUBLE) AS y, CAST(pv AS DOUBLE) AS px, CAST(pw AS DOUBLE) AS py,
       CAST(v - pv AS DOUBLE) AS hx, CAST(w - pw AS DOUBLE) AS hy FROM o WHERE rn > 1 AND (v <> pv OR w <> pw)),
     u AS (SELECT *, hx / sqrt(hx * hx + hy * hy) AS c, hy / sqrt(hx * hx + hy * hy) AS s FROM d)
-    SELECT instance_id, time, round(CAST(CAST(c * (x - px) + s * (y - py) AS FLOAT) AS DOUBLE), 3) AS ahead, 0.0::DOUBLE AS aside, round(x, 2) AS back_0, round(y, 2) AS back_1 FROM u""")
+    SELECT instance_id, time, round(CAST(CAST(c * hx + s * hy AS FLOAT) AS DOUBLE), 3) AS ahead, 0.0::DOUBLE AS aside, round(x, 2) AS back_0, round(y, 2) AS back_1 FROM u""")
 def relative_position(spark, folder):
     o = Observations.of(V.observations(spark, folder)).rows.lag(p=F.col("x"))
     o = o.with_columns(h=W.difference(F.col("x"), F.col("p")))
