@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,35 +188,49 @@ def match_saved(events: DataFrame, saved: DataFrame) -> DataFrame:
     pair (on the name for wildcards), and an alternative matches when every need of it was met.
     Filters without tags meet the events through an interval join.
     """
-    parts = saved.select("filter_id", F.split("text", ";").alias("p"))
-    shape = parts.select(
+    split = saved.select("filter_id", F.split("text", ";").alias("p"))
+    shape = split.select(
         "filter_id", _field("start").cast("double").alias("lo"), _field("end").cast("double").alias("hi"),
         F.transform(F.split(_field("ids"), ","), lambda s: s.cast("bigint")).alias("ids"),
         F.posexplode_outer(F.filter("p", lambda s: (s != "") & ~F.contains(s, F.lit(":")))).alias("alt", "alt_text"))
-    needs = (shape.where(F.col("alt_text").isNotNull())
-             .withColumn("need", T.from_text(F.col("alt_text"))).drop("alt_text")
-             .withColumn("n_need", F.size("need")).withColumn("w", F.explode("need")).drop("need")
-             .withColumn("w_name", F.col("w.name")).withColumn("w_value", F.col("w.value")).drop("w"))
-    pairs = events.select("id", "start_time", "end_time", F.explode("tags").alias("t"))
-    # a wildcard is met once however many values the name has
-    names = events.select("id", "start_time", "end_time", F.explode(T.names(F.col("tags"))).alias("t_name"))
-    exact = pairs.join(small_side(needs.where(F.col("w_value").isNotNull())),
-                       (F.col("t.name") == F.col("w_name")) & (F.col("t.value") == F.col("w_value"))).drop("t")
-    wild = names.join(small_side(needs.where(F.col("w_value").isNull())), F.col("t_name") == F.col("w_name")).drop("t_name")
-    met = (exact.unionByName(wild)
-           .where((F.col("lo").isNull() | (F.col("end_time") >= F.col("lo")))
-                  & (F.col("hi").isNull() | (F.col("start_time") <= F.col("hi")))
-                  & (F.col("ids").isNull() | F.array_contains("ids", F.col("id"))))
-           .groupBy("filter_id", "alt", "id", "n_need").agg(F.count(F.lit(1)).alias("n_met"))
-           .where(F.col("n_met") == F.col("n_need")).select("filter_id", "id"))
-    untagged = shape.where(F.col("alt_text").isNull()).select(
+    shape = shape.withColumn("need", T.from_text(F.coalesce("alt_text", F.lit(""))))
+    # which kinds of filter there are: the others need no join
+    untagged_, timed_ = F.col("alt_text").isNull(), F.col("ids").isNull()
+    has = shape.agg(F.bool_or(untagged_ & timed_).alias("spans"), F.bool_or(untagged_ & ~timed_).alias("ids"),
+                    F.bool_or(~untagged_ & F.exists("need", lambda w: w["value"].isNotNull())).alias("pairs"),
+                    F.bool_or(~untagged_ & F.exists("need", lambda w: w["value"].isNull())).alias("names")).first()
+    parts = []
+    needs = (shape.where(~untagged_).drop("alt_text").withColumn("n_need", F.size("need"))
+             .withColumn("w", F.explode("need")).drop("need")
+             .withColumns({"w_name": F.col("w.name"), "w_value": F.col("w.value")}).drop("w"))
+    met = []
+    if has["pairs"]:
+        pairs = events.select("id", "start_time", "end_time", F.explode("tags").alias("t"))
+        met.append(pairs.join(small_side(needs.where(F.col("w_value").isNotNull())),
+                              (F.col("t.name") == F.col("w_name")) & (F.col("t.value") == F.col("w_value"))).drop("t"))
+    if has["names"]:
+        # a wildcard is met once however many values the name has
+        names = events.select("id", "start_time", "end_time", F.explode(T.names(F.col("tags"))).alias("t_name"))
+        met.append(names.join(small_side(needs.where(F.col("w_value").isNull())), F.col("t_name") == F.col("w_name")).drop("t_name"))
+    if met:
+        parts.append(reduce(DataFrame.unionByName, met)
+                     .where((F.col("lo").isNull() | (F.col("end_time") >= F.col("lo")))
+                            & (F.col("hi").isNull() | (F.col("start_time") <= F.col("hi")))
+                            & (F.col("ids").isNull() | F.array_contains("ids", F.col("id"))))
+                     .groupBy("filter_id", "alt", "id", "n_need").agg(F.count(F.lit(1)).alias("n_met"))
+                     .where(F.col("n_met") == F.col("n_need")).select("filter_id", "id"))
+    untagged = shape.where(untagged_).select(
         "filter_id", F.coalesce("lo", F.lit(-MAX_TIME)).alias("lo"), F.coalesce("hi", F.lit(MAX_TIME)).alias("hi"), "ids")
     spans = events.select("id", "start_time", "end_time")
-    timed = overlap_join(spans, untagged.where(F.col("ids").isNull()).drop("ids"), [], ("start_time", "end_time"), ("lo", "hi"))
-    picked = (untagged.select("filter_id", "lo", "hi", F.explode("ids").alias("id")).join(spans, "id")
-              .where((F.col("end_time") >= F.col("lo")) & (F.col("start_time") <= F.col("hi"))))
-    return (met.unionByName(timed.select("filter_id", "id")).unionByName(picked.select("filter_id", "id"))
-            .distinct())
+    if has["spans"]:
+        timed = untagged.where(F.col("ids").isNull()).drop("ids")
+        parts.append(overlap_join(spans, timed, [], ("start_time", "end_time"), ("lo", "hi")).select("filter_id", "id"))
+    if has["ids"]:
+        picked = untagged.select("filter_id", "lo", "hi", F.explode("ids").alias("id")).join(spans, "id")
+        parts.append(picked.where((F.col("end_time") >= F.col("lo")) & (F.col("start_time") <= F.col("hi"))).select("filter_id", "id"))
+    if not parts:
+        return saved.select("filter_id", F.lit(0).cast("bigint").alias("id")).limit(0)
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def _field(name: str) -> Column:

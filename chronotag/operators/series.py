@@ -246,8 +246,8 @@ def decimate(samples: DataFrame, min_delta: float, cell: float | None = None) ->
 
     def chains(c):
         t = c["time"]
-        after = _first_allowed(t, t, min_delta)
-        last = np.arange(len(t))
+        after = _first_allowed(t, t, min_delta).tolist()
+        last = list(range(len(t)))
         for i in range(len(t) - 1, -1, -1):
             if after[i] < len(t):
                 last[i] = last[after[i]]
@@ -274,11 +274,12 @@ def decimate(samples: DataFrame, min_delta: float, cell: float | None = None) ->
                       "event_id bigint, _cell bigint, before double")
 
     def keep(c):
-        t = c["time"]
+        t, event = c["time"], c["event_id"][0]
+        after = _first_allowed(t, t, min_delta).tolist()
         kept, i = [], int(_first_allowed(t, c["before"][0], min_delta))
         while i < len(t):
-            kept.append((c["event_id"][0], t[i]))
-            i = int(_first_allowed(t, t[i], min_delta))
+            kept.append((event, t[i]))
+            i = after[i]
         return kept
 
     chosen = per_group(times.join(begin, ["event_id", "_cell"]), ["event_id", "_cell"], ["time"], keep,

@@ -142,7 +142,7 @@ def cooccur_3(spark, folder):
     a.id AS id0, b.id AS id1 FROM ord a JOIN ord b ON a.cust = b.cust AND a.start_time <= b.end_time AND b.start_time <= a.end_time
     WHERE a.status = 'O' AND b.status = 'F'""")
 def cooccur_bound(spark, folder):
-    return pairs(cooccur.concurrent(Store(V.orders(spark, folder)), ["status=O,cust", "status=F,cust="]), 2)
+    return pairs(cooccur.concurrent(Store(V.orders(spark, folder, with_flags=False)), ["status=O,cust", "status=F,cust="]), 2)
 
 
 @query(f"""WITH {V.EV}, e AS (SELECT *, CASE type WHEN 'click' THEN 0 ELSE 1 END AS a FROM ev WHERE type IN ('click', 'error'))

@@ -32,10 +32,14 @@ def events(spark, folder) -> DataFrame:
                     F.col("event_type").alias("tag:type"), user.alias("tag:user"))
 
 
-def orders(spark, folder) -> DataFrame:
+def orders(spark, folder, with_flags: bool = True) -> DataFrame:
     """Orders as events of 30 days, tagged with customer, priority, status and, possibly several
     times, the return flags of their items."""
     o = table(spark, folder, "orders")
+    if not with_flags:
+        start = epoch_seconds(o, "o_orderdate")
+        return o.select(F.col("o_orderkey").alias("id"), start.alias("start_time"), (start + 30 * 86400).alias("end_time"),
+                        T.make(cust=F.col("o_custkey").cast("string"), priority=F.col("o_orderpriority"), status=F.col("o_orderstatus")).alias("tags"))
     items = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("flags"))
     o = o.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     flags = F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda f: F.struct(F.lit("flag").alias("name"), f.alias("value")))
