@@ -8,10 +8,15 @@ from chronotag.model import session
 @pytest.fixture(scope="session")
 def spark():
     s = session("chronotag-tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "4",
+        # a few rows per query: compiling each plan would take most of the time
+        "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        "spark.sql.shuffle.partitions": "2",
+        "spark.default.parallelism": "2",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",  # short runs: compile quickly
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
     })
