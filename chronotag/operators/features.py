@@ -651,11 +651,13 @@ def external(out: str, x: str, command: list[str]) -> Stage:
         kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
         schema = ", ".join(f"`{k}` {kinds[k]}" for k in o.keys) + f", time double, `{out}` array<float>"
 
+        keys = list(o.keys)
+
         def feed(c):
             lines = (",".join([str(t), *map(str, v)]) for t, v in zip(c["time"], c["_x"]))
             text = "".join(f"{line}\n" for line in lines)
             done = subprocess.run(command, input=text, capture_output=True, text=True, check=True)
-            key = tuple(c[k][0] for k in o.keys)
+            key = tuple(c[k][0] for k in keys)
             return [(*key, t, [float(v) for v in line.split(",")]) for t, line in zip(c["time"], done.stdout.splitlines())]
         return _with(o, per_group(slim, o.keys, ["time"], feed, schema), [out])
     return _rows([out], run, warmup=None, cooldown=None)
