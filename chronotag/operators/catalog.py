@@ -144,6 +144,11 @@ def tagset_dictionary(events: DataFrame) -> DataFrame:
     return text.select(F.xxhash64("text").alias("tagset_id"), "text")
 
 
+def exact(events: DataFrame, tags: str) -> DataFrame:
+    """Events whose tagset is exactly the given one."""
+    return events.where(T.to_text(F.col("tags")) == F.lit(T.text_of(T.parse(tags))))
+
+
 def stats(store: Store) -> DataFrame:
     """One row of counts over all tables."""
     text = T.to_text(F.col("tags"))

@@ -181,6 +181,13 @@ def find(store: Store, *filters: Filter | str) -> DataFrame:
     return select(store, *filters).orderBy("start_time", "end_time", "id")
 
 
+def find_attached(store: Store, schema: str, *filters: Filter | str) -> DataFrame:
+    """Matching events with what they own in a schema: adds schema_name and table_name."""
+    links = store.attachments.where(F.col("schema_name") == schema)
+    return (select(store, *filters).join(links, F.col("id") == F.col("event_id")).drop("event_id")
+            .orderBy("start_time", "end_time", "id"))
+
+
 def match_saved(events: DataFrame, saved: DataFrame) -> DataFrame:
     """(filter_id, id) pairs for a table of saved filters (filter_id, text) and all events.
 
