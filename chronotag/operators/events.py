@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from chronotag.model import EVENT_COLUMNS, MAX_TIME, Store
 from chronotag.operators import filters
 from chronotag.operators.filters import Filter
 from chronotag.plans.ordered import Ordered
+from chronotag.plans.sequential import per_group
 
 
 # --- creating ------------------------------------------------------------------------------
@@ -240,3 +242,76 @@ def state_changes(reports: DataFrame, keys: list[str], info: str = "info", time:
         return out.select(*keys, info, "start_time", F.coalesce("_until", F.lit(MAX_TIME)).alias("end_time"))
     ends = reports.groupBy(*keys).agg(end.alias("_end"))
     return (out.join(ends, keys).select(*keys, info, "start_time", F.coalesce("_until", "_end").alias("end_time")))
+
+
+def state_changes_partial(reports: DataFrame, keys: list[str], info: str = "info", time: str = "time",
+                          rows_per_cell: int = 20_000) -> DataFrame:
+    """As `state_changes`, where a report may leave out tags of the open state and so continues it.
+
+    What a report means depends on the state that is open, so a key is cut into cells of rows in
+    order. Within a cell only the first report of each different state can be the one that ends
+    an earlier state; each of these is followed to the state it leaves behind. Walking that
+    table, a few rows per cell, tells every cell which state it begins with.
+    """
+    o = Ordered(reports.select(*keys, F.col(time).alias("_t"), F.col(info).alias("_i")), keys, ["_t", "_i"])
+    cells = o.row_number("_n").done().withColumn("_cell", F.floor((F.col("_n") - 1) / rows_per_cell)).drop("_n")
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def says_no_more(now, state):
+        return state is not None and now <= state
+
+    def leaves(c):
+        said = [frozenset(T.parse(i)) for i in c["_i"]]
+        exits: dict[int, int] = {}
+
+        def follow(r):
+            """Row whose state is open at the end when the state of row r opens there."""
+            path = []
+            while r not in exits:
+                path.append(r)
+                after = next((j for j in range(r + 1, len(said)) if not said[j] <= said[r]), None)
+                if after is None:
+                    exits[r] = r
+                    break
+                r = after
+            for p in path:
+                exits[p] = exits[r]
+            return exits[path[0] if path else r]
+
+        firsts = dict.fromkeys(said)
+        rows, key = [], tuple(c[k][0] for k in keys)
+        for r, state in enumerate(said):
+            if state in firsts:
+                del firsts[state]
+                rows.append((*key, c["_cell"][0], r, c["_i"][r], c["_i"][follow(r)]))
+        return rows
+
+    table = per_group(cells, [*keys, "_cell"], ["_t", "_i"], leaves, f"{head}, _cell bigint, _r bigint, _i string, _left string")
+
+    def walk(c):
+        rows, key, state, known = [], tuple(c[k][0] for k in keys), None, None
+        edges = [0, *(np.flatnonzero(np.diff(c["_cell"])) + 1), len(c["_cell"])]
+        for a, b in zip(edges, edges[1:]):
+            rows.append((*key, c["_cell"][a], state))
+            hit = next((j for j in range(a, b) if not says_no_more(frozenset(T.parse(c["_i"][j])), known)), None)
+            if hit is not None:
+                state = c["_left"][hit]
+                known = frozenset(T.parse(state))
+        return rows
+
+    begin = per_group(table, keys, ["_cell", "_r"], walk, f"{head}, _cell bigint, _open string")
+
+    def starts(c):
+        rows, key = [], tuple(c[k][0] for k in keys)
+        known = frozenset(T.parse(c["_open"][0])) if c["_open"][0] is not None else None
+        for t, i in zip(c["_t"], c["_i"]):
+            now = frozenset(T.parse(i))
+            if not says_no_more(now, known):
+                known = now
+                rows.append((*key, t, i))
+        return rows
+
+    begun = per_group(cells.join(begin, [*keys, "_cell"]), [*keys, "_cell"], ["_t", "_i"], starts, f"{head}, start_time double, `{info}` string")
+    return (Ordered(begun, keys, ["start_time", info]).lead(_until=F.col("start_time")).done()
+            .select(*keys, info, "start_time", F.coalesce("_until", F.lit(MAX_TIME)).alias("end_time")))

@@ -126,28 +126,28 @@ class Ordered:
         return self._shift(n, True, outs)
 
     def _tails(self, df: DataFrame, n: int, descending: bool, cols: list[str]) -> DataFrame:
-        """Per chunk the n rows before it, nearest first, as `_carry`."""
+        """Per chunk the n rows before it, nearest first, as `__carry`."""
         back = F.row_number().over(self.window(not descending))
-        tail = (df.where(F.col(_CHUNK) > 0).withColumn("_back", back).where(F.col("_back") <= n)
+        tail = (df.where(F.col(_CHUNK) > 0).withColumn("__back", back).where(F.col("__back") <= n)
                 .groupBy(*self._parts())
-                .agg(F.sort_array(F.collect_list(F.struct("_back", F.struct(*cols).alias("row")))).alias("_tail")))
+                .agg(F.sort_array(F.collect_list(F.struct("__back", F.struct(*cols).alias("row")))).alias("__tail")))
         # every chunk holds at least one row, so n rows are found in the n chunks before
         earlier = self._chunks(descending).rowsBetween(-n, -1)
-        carry = F.flatten(F.reverse(F.collect_list("_tail").over(earlier)))
-        return tail.withColumn("_carry", F.transform(F.slice(carry, 1, n), lambda t: t["row"])).drop("_tail")
+        carry = F.flatten(F.reverse(F.collect_list("__tail").over(earlier)))
+        return tail.withColumn("__carry", F.transform(F.slice(carry, 1, n), lambda t: t["row"])).drop("__tail")
 
     def _shift(self, n: int, descending: bool, outs: dict) -> "Ordered":
         w = self.window(descending)
         if not self.split:
             return self._next(self.df.withColumns({o: F.lag(c, n).over(w) for o, c in outs.items()}))
-        kept = [f"_v_{o}" for o in outs]
+        kept = [f"__v_{o}" for o in outs]
         df = self.df.withColumns(dict(zip(kept, outs.values())))
         tails = self._tails(df, n, descending, kept)
-        df = df.withColumns({"_rn": F.row_number().over(w), **{o: F.lag(f"_v_{o}", n).over(w) for o in outs}})
+        df = df.withColumns({"__rn": F.row_number().over(w), **{o: F.lag(f"__v_{o}", n).over(w) for o in outs}})
         df = self._join(df, tails)
-        borrowed = F.get(F.col("_carry"), F.lit(n) - F.col("_rn"))
-        df = df.withColumns({o: F.when(F.col("_rn") > n, F.col(o)).otherwise(borrowed[f"_v_{o}"]) for o in outs})
-        return self._next(df.drop("_rn", "_carry", *kept))
+        borrowed = F.get(F.col("__carry"), F.lit(n) - F.col("__rn"))
+        df = df.withColumns({o: F.when(F.col("__rn") > n, F.col(o)).otherwise(borrowed[f"__v_{o}"]) for o in outs})
+        return self._next(df.drop("__rn", "__carry", *kept))
 
     def last_rows(self, n: int, **outs) -> "Ordered":
         """Aggregates over the row and the n-1 rows before it, e.g. mean=F.avg('x')."""
@@ -156,7 +156,7 @@ class Ordered:
             return self._next(self.df.withColumns({o: c.over(frame) for o, c in outs.items()}))
         cols = [c for c in self.df.columns if c not in self._parts()]
         tails = self._tails(self.df, n - 1, False, cols)
-        copies = tails.select(*self._parts(), F.explode("_carry").alias("r")).select(
+        copies = tails.select(*self._parts(), F.explode("__carry").alias("r")).select(
             *self._parts(), *[F.col(f"r.`{c}`").alias(c) for c in cols], F.lit(False).alias("_own"))
         both = self.df.withColumn("_own", F.lit(True)).unionByName(pinned(copies))
         return self._next(both.withColumns({o: c.over(frame) for o, c in outs.items()}).where("_own").drop("_own"))
@@ -199,21 +199,21 @@ class Ordered:
 
         if not self.split:
             return self._next(self.df.withColumns({o: call(inner, c).over(frame) for o, c in outs.items()}))
-        df = self.df.withColumns({f"_v_{o}": c for o, c in outs.items()})
+        df = self.df.withColumns({f"__v_{o}": c for o, c in outs.items()})
         hot = df.where(F.col(_CHUNK) > 0)
         if inner is F.last:
             # a plain last() has no order in a group, so the chunk's newest non-null row is taken
             # (nulls are skipped because max_by ignores a null ordering)
             pick = F.min_by if descending else F.max_by
             totals = hot.groupBy(*self._parts()).agg(*[
-                pick(F.col(f"_v_{o}"), F.when(F.col(f"_v_{o}").isNotNull(), F.struct(*self.order))).alias(f"_t_{o}")
+                pick(F.col(f"__v_{o}"), F.when(F.col(f"__v_{o}").isNotNull(), F.struct(*self.order))).alias(f"__t_{o}")
                 for o in outs])
         else:
-            totals = hot.groupBy(*self._parts()).agg(*[inner(f"_v_{o}").alias(f"_t_{o}") for o in outs])
+            totals = hot.groupBy(*self._parts()).agg(*[inner(f"__v_{o}").alias(f"__t_{o}") for o in outs])
         earlier = self._chunks(descending).rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.withColumns({f"_t_{o}": call(outer, F.col(f"_t_{o}")).over(earlier) for o in outs})
-        df = df.withColumns({o: call(inner, F.col(f"_v_{o}")).over(frame) for o in outs})
+        carry = totals.withColumns({f"__t_{o}": call(outer, F.col(f"__t_{o}")).over(earlier) for o in outs})
+        df = df.withColumns({o: call(inner, F.col(f"__v_{o}")).over(frame) for o in outs})
         df = self._join(df, carry)
-        df = df.withColumns({o: combine(F.col(f"_t_{o}"), F.col(o)) for o in outs})
-        return self._next(df.drop(*[f"_v_{o}" for o in outs], *[f"_t_{o}" for o in outs]))
+        df = df.withColumns({o: combine(F.col(f"__t_{o}"), F.col(o)) for o in outs})
+        return self._next(df.drop(*[f"__v_{o}" for o in outs], *[f"__t_{o}" for o in outs]))
 

@@ -1,5 +1,7 @@
 """Tags, filters, events, co-occurrence, catalogue and coordinates on small literal tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +266,24 @@ def test_state_sequence(spark):
     assert got == [(10.0, 30.0, "city=ABQ"), (30.0, 40.0, "city=LA"), (40.0, 50.0, "city=SLC"), (50.0, 100.0, "city=ABQ")]
 
 
+@pytest.mark.parametrize("size", [3, 7, 1000])
+def test_state_sequence_with_partial_reports(spark, size):
+    rnd = random.Random(11)
+    states = ["a=1", "a=1,b=1", "a=1,b=1,c=1", "b=1", "a=2", "a=2,b=1", "c=1"]
+    rows = [(k, float(t), rnd.choice(states)) for k in "xy" for t in range(80)]
+    want = []
+    for k in "xy":
+        open_ = None
+        for _, t, i in [r for r in rows if r[0] == k]:
+            if open_ is None or not set(T.parse(i)) <= set(T.parse(open_[1])):
+                if open_:
+                    want.append((k, open_[1], open_[0], t))
+                open_ = (t, i)
+        want.append((k, open_[1], open_[0], MAX_TIME))
+    df = spark.createDataFrame(rows, "k string, time double, info string")
+    assert sorted(map(tuple, E.state_changes_partial(df, ["k"], rows_per_cell=size).collect())) == sorted(want)
+
+
 def test_blobs(spark, sets):
     s, new = attachments.create_with_blob(sets, 1.0, 2.0, "pic=1", "images", b"abc")
     assert bytes(attachments.get_blob(s, new, "images").first()["data"]) == b"abc"
