@@ -591,6 +591,8 @@ def from_to(mover: str, from_group: str, to_group: str, threshold: float, mover_
     """
     def run(obs: Observations) -> Observations:
         keys = obs.rows.keys
+        # read three times here, and the legs twice below: computed once each
+        obs = obs.with_rows(obs.rows.pinned())
         touch = nearest_members(obs, from_group, mover, 1, max_distance=threshold, exclude=mover_id)
         # the two nearest suffice: at most one of them is the member the trip came from
         reach = nearest_members(obs, to_group, mover, 2, max_distance=threshold, exclude=mover_id)
@@ -603,7 +605,7 @@ def from_to(mover: str, from_group: str, to_group: str, threshold: float, mover_
         o = o.running_sum(inclusive=False, _leg=F.col("_f").isNotNull().cast("bigint"))
         to = F.get(F.filter("_reach", lambda m: m["member_id"] != F.col("_since.from_id")), F.lit(0))
         took = F.col("time") - F.col("_since.left")
-        o = o.with_columns(_to=to, _took=took)
+        o = o.with_columns(_to=to, _took=took).pinned()
         arrive = F.col("_since").isNotNull() & F.col("_to").isNotNull()
         if max_duration is not None:
             arrive = arrive & (F.col("_took") <= F.lit(float(max_duration)))

@@ -13,6 +13,7 @@ from chronotag.operators import events as E
 from chronotag.operators import filters, timecoord
 from chronotag.operators.filters import Filter
 from chronotag.plans.asof import asof, linear, previous
+from chronotag.plans.durable import pinned
 from chronotag.plans.ordered import Ordered
 from chronotag.plans.sequential import per_group
 
@@ -305,7 +306,8 @@ def add_samples(store: Store, new: DataFrame, min_delta: float | None = None, mo
                .groupBy("event_id").agg(F.max_by(F.struct("time", "value"), "time").alias("l"))
                .select("event_id", "l.time", "l.value"))
         kept = decimate(old.unionByName(new), min_delta)
-        new = kept.join(old.select("event_id", "time"), ["event_id", "time"], "left_anti")
+        # pinned, because stores are built up by many calls and the plan would grow with each
+        new = pinned(kept.join(old.select("event_id", "time"), ["event_id", "time"], "left_anti"))
     out = store.with_(samples=store.samples.unionByName(new.select("event_id", "time", F.col("value").cast("array<float>"))))
     if move_end:
         last = new.groupBy(F.col("event_id").alias("id")).agg(F.max("time").alias("_last"))

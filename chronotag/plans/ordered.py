@@ -114,6 +114,10 @@ class Ordered:
     def drop(self, *cols) -> "Ordered":
         return self._next(self.df.drop(*cols))
 
+    def pinned(self) -> "Ordered":
+        """The same rows, computed once and kept in the checkpoint folder."""
+        return self._next(pinned(self.df))
+
     def done(self) -> DataFrame:
         return self.df.drop(_CHUNK)
 
