@@ -80,7 +80,9 @@ def epoch_seconds(df: DataFrame, name: str):
     """Seconds since 1970 as a double, whatever kind of timestamp the column is."""
     kind = dict(df.dtypes)[name]
     if kind == "timestamp_ntz":
-        micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{name}`)")
+        # by parts, because a cast to an instant would read the clock time in the session's zone
+        micros = F.expr(f"unix_date(date(`{name}`)) * 86400000000L + hour(`{name}`) * 3600000000L + minute(`{name}`) * 60000000L "
+                        f"+ bigint(extract(SECOND FROM `{name}`) * 1000000)")
     else:
         micros = F.unix_micros(F.col(name))
     return micros.cast("double") / F.lit(1e6)
