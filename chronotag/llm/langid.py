@@ -139,3 +139,17 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None, sharp
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(best, pa.string()), pa.array(top, pa.float64())], [*names, "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
+
+
+def keep(docs: DataFrame, model: Model, languages: list[str] | None = None) -> DataFrame:
+    """`docs` with a predicted language among `languages` (any learned one if not given), in place: all columns, no shuffle."""
+    wanted = np.array([not languages or x in languages for x in model.languages], bool)
+
+    def run(batches):
+        for b in batches:
+            if model.weights is not None and b.num_rows:
+                best = np.concatenate([(x @ model.weights).argmax(1) for x in unit(b.column("text"))])
+                yield b.filter(pa.array(wanted[best]))
+
+    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)
