@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronotag.llm import decontam, jaccard, langid, licenses, mixing, quality, rules, shards, urls
+from chronotag.llm import decontam, jaccard, langid, licenses, mixing, quality, rules, shards, suffixes, urls
 from chronotag.llm.common import table
 
 QUERIES: dict = {}
@@ -67,3 +67,8 @@ ORACLES["op9_license_scan"] = licenses.SQL
 @query
 def op5_ngram_jaccard(spark, folder):
     return jaccard.groups(table(spark, folder, "documents"), k=4, percent=85)
+
+
+@query
+def op10_suffix_dedup(spark, folder):
+    return suffixes.digests(table(spark, folder, "documents"))
