@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronotag.plans.durable import pinned
 
-__all__ = ["bounded_ids", "held_out", "keep_broadcast", "pinned", "running", "table", "word_count"]
+__all__ = ["bounded_ids", "held_out", "keep_broadcast", "pinned", "running", "table", "tidy", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of ids (8 bytes each) up to which a set of ids is sent to every executor; beyond it Spark shuffles.
@@ -18,6 +20,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files that led up to what is pinned by now; it works when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents kept from learning; a null id is held out as well."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
