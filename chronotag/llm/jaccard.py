@@ -1,9 +1,8 @@
 """Operator 5, n-gram Jaccard join: rare-first prefixes with length, positional and suffix filters.
 
-1. Counts of all shingles by hash bucket (one pass, summed by Spark) fix one order of all shingles, rare ones first. The order
-   decides about speed only; any order gives the same links.
-2. A second pass gives every document its set's size, a fingerprint of the set, its prefix in that order (size - ceil(t * size) + 1
-   shingles: two sets that link share one of these) and a histogram of its shingles. Equal sets are one class from here on.
+1. One pass gives every document its set's size and a fingerprint of the set, equal sets being one class from here on. Counts of all shingles
+   by hash bucket, summed by Spark, fix one order of all shingles, rare ones first. The order decides about speed only; any order gives the same links.
+2. A second pass gives every class its prefix in that order (size - ceil(t * size) + 1 shingles: two sets that link share one of these) and a histogram.
 3. Classes that share a prefix shingle meet on it. First each meets the class that has the shingle furthest in front (a pair per
    entry, never all pairs of a group); length, positional and suffix filters leave the pairs to verify, once each, on the whole sets.
    Then classes that share a prefix shingle and are not yet connected meet, by the same filters, so that no link between components is missed.
@@ -22,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotag.llm import arrays as A
-from chronotag.llm.common import keep_broadcast, pinned
+from chronotag.llm.common import keep_broadcast, pinned, tidy
 from chronotag.llm.components import components
 
-BUCKET_BITS = 17
-PARTS = 16
+BUCKET_BITS, CHUNKS = 17, 64
+PARTS = 64
+#: Bytes of a shingle's hash in the final comparison of two sets.
+ITEM = 6
 
 
 def shingles(buf, offsets, k):
@@ -61,54 +62,65 @@ def _bucket(hashes):
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Documents with a shingle in each bucket, over all documents; 2**BUCKET_BITS numbers at any size of the input."""
-    def count(batches):
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for b in batches:
-            for _, buf, offsets in A.pieces(b.column("text")):
-                hashes, owner = shingles(buf, offsets, k)
-                keys = A.in_text(hashes, owner)
-                _, first = np.unique(keys, return_index=True)
-                total += np.bincount(_bucket(hashes[first]), minlength=1 << BUCKET_BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
-
-    out = np.zeros(1 << BUCKET_BITS, np.uint64)
-    for r in docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
-    return out
-
-
-def _described(batch, k, percent, counts, whole):
-    """Per text: size, fingerprint, prefix (or the whole sorted set), histogram."""
-    for row, buf, offsets in A.pieces(batch):
-        n = len(offsets) - 1
-        hashes, owner = shingles(buf, offsets, k)
-        hashes, owner = distinct(hashes, owner, counts[_bucket(hashes)] if not whole else np.zeros(len(hashes), np.uint64))
-        size = np.bincount(owner, minlength=n)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        running = np.concatenate([[np.uint64(0)], np.cumsum(A.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))])
-        key = A.mix(running[begin[1:]] - running[begin[:-1]] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-        length = size if whole else np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
-        inside = np.arange(len(hashes)) - np.repeat(begin[:-1], size) < np.repeat(length, size)
-        kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(hashes[inside].view(np.int64)))
-        histogram = np.zeros((n, PARTS), np.int64)
-        np.add.at(histogram, (owner, (hashes & np.uint64(PARTS - 1)).astype(np.int64)), 1)
-        yield row, n, size, key, kept, histogram
-
-
-def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, key (fingerprint of the set), n, prefix and parts of every document."""
-    counts, kind = frequencies(docs, k), dict(docs.dtypes)["doc_id"]
+def _sized(buf, offsets, k, counts):
+    """Distinct shingles of the texts in order of `counts` (of hash alone without), their text, sizes, and set fingerprints."""
+    hashes, owner = shingles(buf, offsets, k)
+    hashes, owner = distinct(hashes, owner, counts[_bucket(hashes)] if counts is not None else np.zeros(len(hashes), np.uint64))
+    size = np.bincount(owner, minlength=len(offsets) - 1)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    running = np.concatenate([[np.uint64(0)], np.cumsum(A.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))])
+    key = A.mix(running[begin[1:]] - running[begin[:-1]] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return hashes, owner, size, begin, key
+
 
+def survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """One pass: (doc_id, key, n) of every document, key being the fingerprint of its set; and in how many documents the shingles
+    of each hash bucket occur, 2**BUCKET_BITS numbers at any size of the input, summed by Spark."""
+    kind, wide = dict(docs.dtypes)["doc_id"], 1 << BUCKET_BITS
+
+    def run(batches):
+        total, names = np.zeros(wide, np.int64), ["doc_id", "key", "n", "chunk", "counts"]
+        ids = pa.null()
+        for b in batches:
+            ids = b.schema.field("doc_id").type
+            for row, buf, offsets in A.pieces(b.column("text")):
+                hashes, _, size, _, key = _sized(buf, offsets, k, None)
+                total += np.bincount(_bucket(hashes), minlength=wide)
+                m = len(size)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, m), pa.array(key), pa.array(size), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64()))], names)
+        if total.any():
+            parts = total.reshape(CHUNKS, -1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, ids), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(list(parts), pa.list_(pa.int64()))], names)
+
+    rows = pinned(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, chunk int, counts array<long>"))
+    sums = rows.where("chunk is not null").select("chunk", F.posexplode("counts").alias("at", "n")).groupBy("chunk", "at").agg(F.sum("n").alias("n"))
+    counts = np.zeros((CHUNKS, wide // CHUNKS), np.uint64)
+    for r in sums.where("n > 0").collect():
+        counts[r.chunk, r.at] = r.n
+    return rows.where("chunk is null").select("doc_id", "key", "n"), counts.reshape(-1)
+
+
+def _of_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id and text of one document of each class in `members`. Rows that repeat a doc_id come along; they do no harm."""
+    ids = pinned(members.groupBy("key").agg(F.min("doc_id").alias("_only")).select("_only").distinct())
+    return docs.select("doc_id", "text").join(keep_broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_only")), "left_semi")
+
+
+def describe(docs: DataFrame, members: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
+    """key, n, prefix and parts (a histogram of the set) of every class."""
     def run(batches):
         for b in batches:
-            for row, n, size, key, prefix, histogram in _described(b.column("text"), k, percent, counts, False):
-                parts = pa.FixedSizeListArray.from_arrays(pa.array(histogram.reshape(-1).astype(np.int32)), PARTS).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, n), pa.array(key), pa.array(size), prefix, parts], ["doc_id", "key", "n", "prefix", "parts"])
+            for _, buf, offsets in A.pieces(b.column("text")):
+                hashes, owner, size, begin, key = _sized(buf, offsets, k, counts)
+                length = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+                inside = np.arange(len(hashes)) - np.repeat(begin[:-1], size) < np.repeat(length, size)
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(hashes[inside].view(np.int64)))
+                parts = np.zeros((len(size), PARTS), np.int32)
+                np.add.at(parts, (owner, (hashes & np.uint64(PARTS - 1)).astype(np.int64)), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(size), prefix, pa.array(list(parts), pa.list_(pa.int32()))], ["key", "n", "prefix", "parts"])
 
-    return pinned(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, prefix array<long>, parts array<int>"))
+    rows = _of_classes(docs, members.where("n > 0")).select("text")
+    return pinned(rows.mapInArrow(run, "key long, n long, prefix array<long>, parts array<int>").where("n > 0"))
 
 
 def _enough(overlap: Column, x: Column, y: Column, percent: int) -> Column:
@@ -122,60 +134,71 @@ def _possible(percent: int) -> Column:
     return fits & _enough(F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")), F.col("n"), F.col("m"), percent)
 
 
-def _verify(pairs: DataFrame, described: DataFrame, meta: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _common() -> Column:
+    """The most shingles two sets can share by their histograms, and so by what follows their prefixes."""
+    return F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
+
+
+def _verify(pairs: DataFrame, members: DataFrame, meta: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link: suffix filter on histograms, then the whole sets, once for each pair."""
     side = lambda c: meta.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"parts_{c}"))
-    common = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
-    pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_enough(common, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_enough(_common(), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     pairs = pinned(pairs)
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    chosen = described.join(needed, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    rows = docs.select("doc_id", "text").join(keep_broadcast(pinned(chosen)), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches):
         for b in batches:
-            for _, _, _, key, whole, _ in _described(b.column("text"), k, percent, None, True):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([np.sort(x).tobytes() for x in np.split(whole.values.to_numpy(), whole.offsets.to_numpy()[1:-1])], pa.binary())], ["key", "items"])
+            for _, buf, offsets in A.pieces(b.column("text")):
+                hashes, _, _, begin, key = _sized(buf, offsets, k, None)
+                items = hashes.view(np.uint8).reshape(-1, 8)[:, 8 - ITEM:]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([items[i:j].tobytes() for i, j in zip(begin, begin[1:])], pa.binary())], ["key", "items"])
 
-    sets = rows.mapInArrow(run, "key long, items binary").join(needed, "key", "left_semi").dropDuplicates(["key"])
-    sets = pinned(sets)
+    sets = _of_classes(docs, members.join(needed, "key", "left_semi")).select("text").mapInArrow(run, "key long, items binary")
     both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b"))
 
+    def items(cell):
+        out = np.zeros((len(cell) // ITEM, 8), np.uint8)
+        out[:, :ITEM] = np.frombuffer(cell, np.uint8).reshape(-1, ITEM)
+        return out.view(np.uint64).reshape(-1)
+
     def check(batches):
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"))):
-                x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
+                x, y = items(x.as_py()), items(y.as_py())
+                shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, key, n; links between classes: a, b). Links connect all classes whose sets are similar enough."""
-    described = describe(docs, k, percent)
-    classes = described.where("n > 0").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "parts")])
-    entries = classes.select("key", "n", F.posexplode("prefix").alias("p", "gram"))
+    members, counts = survey(docs, k)
+    classes = describe(docs, members, counts, k, percent)
+    entries = classes.select("key", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("p", "gram"))
     shared = entries.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1").select("gram")
     live = pinned(entries.join(shared, "gram"))
-    meta = described.join(live.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
-    meta = pinned(meta)
-    # each class with the one that has the shared shingle furthest in front
-    front = F.shiftleft(F.col("p").cast("long"), 40) + F.col("key").bitwiseAND((1 << 40) - 1)
-    hubs = live.groupBy("gram").agg(F.min_by("key", front).alias("hub"), F.min("p").alias("q"))
+    tidy(docs.sparkSession)
+    meta = pinned(classes.select("key", "n", "parts").join(live.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    # each class with one that has the shared shingle far in front; ties by key, so that a group's shingles choose the same one
+    front = F.shiftleft(F.shiftright("p", 2).cast("long"), 40) + F.col("key").bitwiseAND((1 << 40) - 1)
+    hubs = live.groupBy("gram").agg(F.min_by("key", front).alias("hub"), F.min_by("p", front).alias("q"))
     pairs = live.join(hubs, "gram").where("key <> hub").join(meta.select(F.col("key").alias("hub"), F.col("n").alias("m")), "hub").where(_possible(percent))
-    near = pinned(_verify(pairs.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")), described, meta, docs, k, percent))
+    near = pinned(_verify(pairs.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")), members, meta, docs, k, percent))
+    tidy(docs.sparkSession)
     # what the first links have not connected meets within each shared shingle
     placed = live.join(components(near).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
-    left = pinned(placed.join(mixed, "gram"))
-    other = left.select("gram", F.col("key").alias("key2"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("component").alias("component2"))
-    rest = left.join(other, "gram").where((F.col("component") < F.col("component2")) & _possible(percent))
-    more = _verify(rest.select(F.greatest("key", "key2").alias("a"), F.least("key", "key2").alias("b")), described, meta, docs, k, percent)
-    return described.select("doc_id", "key", "n"), pinned(near.union(more))
+    left = pinned(placed.join(mixed, "gram").join(meta.select("key", F.col("parts").alias("parts_a")), "key"))
+    other = left.select("gram", F.col("key").alias("key2"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("component").alias("component2"), F.col("parts_a").alias("parts_b"))
+    rest = left.join(other, "gram").where((F.col("component") < F.col("component2")) & _possible(percent) & _enough(_common(), F.col("n"), F.col("m"), percent))
+    more = _verify(rest.select(F.greatest("key", "key2").alias("a"), F.least("key", "key2").alias("b")), members, meta, docs, k, percent)
+    found = pinned(near.union(more))
+    tidy(docs.sparkSession)
+    return members, found
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
