@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotag.llm import arrays as A
-from chronotag.llm.common import held_out, pinned
+from chronotag.llm.common import held_out, keep_broadcast, pinned
 
 UNKNOWN = "und"
 SYMBOLS = 32
@@ -75,7 +75,7 @@ def _sample(docs: DataFrame, per_language: int) -> DataFrame:
     known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    some = known.select("doc_id", "lang").join(sizes, "lang").where(spread * F.col("n") < 3 * per_language)  # thins large languages before the window
+    some = known.select("doc_id", "lang").join(keep_broadcast(pinned(sizes)), "lang").where(spread * F.col("n") < 3 * per_language)  # thins large languages before the window
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     some = some.dropDuplicates(["doc_id", "lang"]).withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language)
     some = some.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "place")
