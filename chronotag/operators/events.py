@@ -127,10 +127,8 @@ def neighbours(events: DataFrame, probes: DataFrame, keys: list[str], delta: flo
 # --- changing ------------------------------------------------------------------------------
 
 def _retag(store: Store, f: Filter, change) -> Store:
-    ev = store.events
-    hit = filters.matches(ev, f)
-    plain = [c for c in ev.columns if c.startswith("tag:")]
-    new = ev.withColumn("tags", F.when(hit, change(F.col("tags"))).otherwise(F.col("tags")))
+    plain = [c for c in store.events.columns if c.startswith("tag:")]
+    new = filters.hits(store, f).withColumn("tags", F.when(F.col("_hit"), change(F.col("tags"))).otherwise(F.col("tags"))).drop("_hit")
     # tags may have moved away from their plain columns, so these are derived again
     for c in plain:
         new = new.withColumn(c, T.value(F.col("tags"), c[4:]))
@@ -155,13 +153,15 @@ def remove_tags(store: Store, f: Filter, tags: str) -> Store:
 
 def set_times(store: Store, f: Filter, start: float | None = None, end: float | None = None) -> Store:
     """Move start or end of matching events; their samples outside the new span are dropped."""
-    ev = store.events
-    hit = filters.matches(ev, f)
+    return _move(store, filters.hits(store, f), start, end)
 
+
+def _move(store: Store, ev: DataFrame, start: float | None, end: float | None) -> Store:
+    """New times for the events whose column `_hit` says so."""
     def moved(col, to):
-        return F.when(hit, F.lit(float(to))).otherwise(F.col(col)) if to is not None else F.col(col)
+        return F.when(F.col("_hit"), F.lit(float(to))).otherwise(F.col(col)) if to is not None else F.col(col)
 
-    new = ev.withColumns({"start_time": moved("start_time", start), "end_time": moved("end_time", end)})
+    new = ev.withColumns({"start_time": moved("start_time", start), "end_time": moved("end_time", end)}).drop("_hit")
     out = {"events": new}
     outside = (F.lit(False) if start is None else F.col("time") < F.lit(float(start))) | (
         F.lit(False) if end is None else F.col("time") > F.lit(float(end)))
@@ -169,7 +169,7 @@ def set_times(store: Store, f: Filter, start: float | None = None, end: float |
         table = getattr(store, name)
         if table is None:
             continue
-        changed = ev.where(hit).select(F.col("id").alias("event_id"))
+        changed = ev.where("_hit").select(F.col("id").alias("event_id"))
         # only rows outside the span are looked up among the changed events
         lost = table.where(outside).join(changed, "event_id", "left_anti")
         out[name] = table.where(~outside | F.col("time").isNull()).unionByName(lost)
@@ -198,13 +198,13 @@ def shift(events: DataFrame, by: Column | float) -> DataFrame:
 def truncate(store: Store, f: Filter, time: float, keep: str) -> Store:
     """Cut matching events at `time`, keeping what is 'before' or 'after'; the rest is deleted."""
     gone = F.col("start_time") > time if keep == "before" else F.col("end_time") < time
-    hit = filters.matches(store.events, f)
-    doomed = store.events.where(hit & gone).select("id")
+    ev = filters.hits(store, f)
+    doomed = ev.where(F.col("_hit") & gone).select("id")
     kept = delete_ids(store, doomed)
-    span = Filter(start=time) if keep == "before" else Filter(end=time)
     # events entirely on the kept side are not touched
-    crossing = f.also(span)
-    return set_times(kept, crossing, **({"end": time} if keep == "before" else {"start": time}))
+    crossing = F.col("end_time") >= time if keep == "before" else F.col("start_time") <= time
+    left = ev.where(~(F.col("_hit") & gone)).withColumn("_hit", F.col("_hit") & crossing)
+    return _move(kept, left, *((None, time) if keep == "before" else (time, None)))
 
 
 # --- deleting ------------------------------------------------------------------------------

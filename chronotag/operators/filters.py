@@ -141,13 +141,31 @@ def promoted(df: DataFrame) -> dict[str, Column]:
 
 
 def matches(df: DataFrame, f: Filter) -> Column:
-    """Tag, time and id conditions as one predicate, for batch and streams alike."""
+    """Tag, time and id conditions as one predicate, for batch and streams alike. Schema and time
+    coordinate need other tables and raise here; `hits` tests every kind of condition."""
+    untestable(f)
     test = f.tag_test(F.col("tags"), promoted(df)) & f.time_test(F.col("start_time"), F.col("end_time"))
     if f.ids is not None:
         test = test & F.col("id").isin(*f.ids)
     return test
 
 
+def untestable(f: Filter) -> None:
+    """Raise on conditions that an event alone does not decide."""
+    for field in ("schema", "time_coordinate"):
+        if getattr(f, field) is not None:
+            raise ValueError(f"a filter by {field} needs the store")
+
+
+def hits(store: Store, f: Filter, name: str = "_hit") -> DataFrame:
+    """All events with a column saying whether the filter finds them, by the same rules as `select`."""
+    ev = store.events
+    if f.schema is None and f.time_coordinate is None and len(f.ids or ()) <= MAX_INLINE_IDS:
+        return ev.withColumn(name, F.coalesce(matches(ev, f), F.lit(False)))
+    found = select(store, f).select("id").distinct().withColumn(name, F.lit(True))
+    return ev.join(found, "id", "left").select(*[F.col(f"`{c}`") for c in ev.columns], F.coalesce(name, F.lit(False)).alias(name))
+
+
 def select(store: Store, *filters: Filter | str) -> DataFrame:
     """Events matching all filters, unordered."""
     f = Filter()
@@ -160,6 +178,7 @@ def select(store: Store, *filters: Filter | str) -> DataFrame:
         f = replace(f, ids=None)
     if f.schema is not None:
         df = df.join(with_schema(store, f.schema), "id", "left_semi")
+        f = replace(f, schema=None)
     if f.time_coordinate is None:
         return df.where(matches(df, f))
     # convert first, then filter on the converted times
@@ -188,26 +207,34 @@ def find_attached(store: Store, schema: str, *filters: Filter | str) -> DataFram
             .orderBy("start_time", "end_time", "id"))
 
 
-def match_saved(events: DataFrame, saved: DataFrame) -> DataFrame:
+def match_saved(events: DataFrame, saved: DataFrame, store: Store | None = None) -> DataFrame:
     """(filter_id, id) pairs for a table of saved filters (filter_id, text) and all events.
 
+    Filters with a `Schema:` need the store that has the samples and attachments. A time coordinate
+    or an unknown field raises.
+
     Each alternative of each filter becomes rows of needed pairs; events and needs meet on the
     pair (on the name for wildcards), and an alternative matches when every need of it was met.
     Filters without tags meet the events through an interval join.
     """
     split = saved.select("filter_id", F.split("text", ";").alias("p"))
+    strange = F.exists("p", lambda s: F.contains(s, F.lit(":")) & ~F.lower(F.substring_index(s, ":", 1)).isin("ids", "schema", "start", "end"))
     shape = split.select(
-        "filter_id", _field("start").cast("double").alias("lo"), _field("end").cast("double").alias("hi"),
+        "filter_id", strange.alias("strange"), _field("schema").alias("schema"), _field("start").cast("double").alias("lo"), _field("end").cast("double").alias("hi"),
         F.transform(F.split(_field("ids"), ","), lambda s: s.cast("bigint")).alias("ids"),
         F.posexplode_outer(F.filter("p", lambda s: (s != "") & ~F.contains(s, F.lit(":")))).alias("alt", "alt_text"))
     shape = shape.withColumn("need", T.from_text(F.coalesce("alt_text", F.lit(""))))
     # which kinds of filter there are: the others need no join
     untagged_, timed_ = F.col("alt_text").isNull(), F.col("ids").isNull()
-    has = shape.agg(F.bool_or(untagged_ & timed_).alias("spans"), F.bool_or(untagged_ & ~timed_).alias("ids"),
+    has = shape.agg(F.bool_or("strange").alias("strange"), F.bool_or(F.col("schema").isNotNull()).alias("schema"), F.bool_or(untagged_ & timed_).alias("spans"), F.bool_or(untagged_ & ~timed_).alias("ids"),
                     F.bool_or(~untagged_ & F.exists("need", lambda w: w["value"].isNotNull())).alias("pairs"),
                     F.bool_or(~untagged_ & F.exists("need", lambda w: w["value"].isNull())).alias("names")).first()
+    if has["strange"]:
+        raise ValueError("saved filters may have IDs, Schema, Start, End and tags only")
+    if has["schema"] and store is None:
+        raise ValueError("saved filters with a schema need the store")
     parts = []
-    needs = (shape.where(~untagged_).drop("alt_text").withColumn("n_need", F.size("need"))
+    needs = (shape.where(~untagged_).drop("alt_text", "strange", "schema").withColumn("n_need", F.size("need"))
              .withColumn("w", F.explode("need")).drop("need")
              .withColumns({"w_name": F.col("w.name"), "w_value": F.col("w.value")}).drop("w"))
     met = []
@@ -237,7 +264,17 @@ def match_saved(events: DataFrame, saved: DataFrame) -> DataFrame:
         parts.append(picked.where((F.col("end_time") >= F.col("lo")) & (F.col("start_time") <= F.col("hi"))).select("filter_id", "id"))
     if not parts:
         return saved.select("filter_id", F.lit(0).cast("bigint").alias("id")).limit(0)
-    return reduce(DataFrame.unionByName, parts).distinct()
+    out = reduce(DataFrame.unionByName, parts).distinct()
+    if not has["schema"]:
+        return out
+    owned = [df for df in (
+        store.samples.select(F.col("event_id").alias("id"), F.lit("timeseries").alias("schema")) if store.samples is not None else None,
+        store.attachments.where("schema_name <> 'timeseries'").select(F.col("event_id").alias("id"), F.col("schema_name").alias("schema"))
+        if store.attachments is not None else None) if df is not None]
+    asked = shape.where(F.col("schema").isNotNull()).select("filter_id", "schema").distinct()
+    owned = reduce(DataFrame.unionByName, owned).distinct()
+    return out.join(asked, "filter_id", "left_anti").unionByName(
+        out.join(asked, "filter_id").join(owned, ["id", "schema"], "left_semi").select("filter_id", "id"))
 
 
 def _field(name: str) -> Column:

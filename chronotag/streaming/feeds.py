@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotag.operators.filters import Filter, matches
+from chronotag.operators.filters import Filter, matches, untestable
 
 EVENT = "struct<id:bigint,start_time:double,end_time:double,tags:array<struct<name:string,value:string>>>"
 CHANGES = f"seq bigint, op string, before {EVENT}, after {EVENT}"
 
 
 def _fits(event: str, f: Filter) -> Column:
+    untestable(f)
     e = F.col(event)
     test = f.tag_test(e["tags"]) & f.time_test(e["start_time"], e["end_time"])
     if f.ids is not None:

@@ -27,9 +27,11 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def read_table(spark: SparkSession, folder: str, file_name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet table as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{file_name}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_name)
+    """A Parquet table, one file or a folder of files, as a stream of its files."""
+    table = spark.read.parquet(f"{folder}/{file_name}")
+    one_file = all(f.rstrip("/").endswith(f"/{file_name}") for f in table.inputFiles())
+    reader = spark.readStream.schema(table.schema)
+    reader, folder = (reader.option("pathGlobFilter", file_name), folder) if one_file else (reader, f"{folder}/{file_name}")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)

@@ -328,3 +328,32 @@ def test_store_is_written_and_read(spark, sets, tmp_path):
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "GreaterThanOrEqual(end_time,3.0)" in plan and "LessThanOrEqual(start_time,4.0)" in plan
     assert "ReadSchema: struct<id:bigint,start_time:double,end_time:double>" in plan
+
+
+def test_updates_and_find_agree_on_every_kind_of_filter(spark):
+    from chronotag.operators import filters
+    ev = tagged(spark, [(i, float(10 * i), float(10 * i + 5), f"kind={i % 2},timeCoordinate={'a' if i < 4 else 'UTC'}") for i in range(8)])
+    store = Store(ev, samples=spark.createDataFrame([(1, 11.0, [1.0]), (6, 61.0, [2.0])], "event_id long, time double, value array<float>"),
+                  attachments=spark.createDataFrame([(2, "img", "t"), (5, "img", "t")], "event_id long, schema_name string, table_name string"))
+    for f in (filters.by_schema("img"), filters.by_schema("timeseries"), filters.by_schema("img").also(filters.by_tags("kind=1")),
+              filters.by_time(20, 40), filters.by_ids(3, 99), filters.by_ids(*range(5, 2000))):
+        want = {r.id for r in filters.select(store, f).collect()}
+        assert want
+        changed = E.set_tags(store, f, "x=9").events
+        assert {r.id for r in changed.where(F.exists("tags", lambda t: t["name"] == "x")).collect()} == want
+        assert {r.id for r in E.set_end(store, f, 99.5).events.where("end_time = 99.5").collect()} == want
+        cut = E.truncate(store, f, 52.0, "before")
+        assert {r.id for r in cut.events.collect()} == {i for i in range(8) if i not in want or 10 * i <= 52}
+    with pytest.raises(ValueError):
+        filters.matches(ev, filters.by_schema("img"))
+    saved = spark.createDataFrame([(1, "Schema:img;kind=1"), (2, "Schema:timeseries"), (3, "kind=1;Start:60")], "filter_id long, text string")
+    assert {(r.filter_id, r.id) for r in filters.match_saved(ev, saved, store).collect()} == {(1, 5), (2, 1), (2, 6), (3, 7)}
+    for wrong in ("timeCoordinate:a;kind=1", "Nonsense:1"):
+        with pytest.raises(ValueError):
+            filters.match_saved(ev, spark.createDataFrame([(1, wrong)], "filter_id long, text string"), store)
+
+
+def test_streams_read_folders_of_files(spark, tmp_path):
+    from chronotag.streaming import run
+    spark.range(30).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert run.replay(run.read_table(spark, str(tmp_path), "events.parquet", 1)).count() == 30

@@ -129,10 +129,12 @@ def mover_and_members(spark, folder):
     r = V.raw(spark, folder)
     code = F.array_position(F.array(*[F.lit(t) for t in V.TYPES]), F.col("event_type"))
     means = r.groupBy(code.alias("c")).agg(F.round(F.avg("value"), 2).alias("m"))
-    # three members per type, whatever the size of the tables
-    mem = F.array(*[F.struct(F.lit(int(r["c"]) * 10 + j).cast("bigint").alias("member_id"), F.array(F.lit(r["m"] * (j + 1) * 0.5).cast("float")).alias("value"))
-                    for r in means.limit(100).collect() for j in range(3)])
-    group = V.observations(spark, folder).select("instance_id", "time", F.explode(mem).alias("m")).select("instance_id", "time", "m.member_id", "m.value")
+    # three members per type: a column of one row with all of them, joined to every observation
+    mem = F.flatten(F.collect_list(F.array(*[F.struct((F.col("c") * 10 + j).cast("bigint").alias("member_id"), F.array((F.col("m") * (j + 1) * 0.5).cast("float")).alias("value"))
+                                             for j in range(3)])))
+    mem = means.agg(mem.alias("members")).withColumn("one", F.lit(1))
+    group = (V.observations(spark, folder).select("instance_id", "time", F.lit(1).alias("one")).join(F.broadcast(mem), "one")
+             .select("instance_id", "time", F.explode("members").alias("m")).select("instance_id", "time", "m.member_id", "m.value"))
     df = V.observations(spark, folder).withColumn("mover_id", F.lit(-1).cast("bigint"))
     return Observations.of(df, {"levels": group})
 

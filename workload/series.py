@@ -25,12 +25,13 @@ ASOF = """look AS (SELECT p.*, a.time AS at FROM probe p ASOF LEFT JOIN smp a ON
 
 
 def probes(spark, folder):
-    # four times per type: a handful, whatever the size of the tables
-    lasts = V.raw(spark, folder).groupBy("event_type").agg(F.max("t").alias("t")).limit(100).collect()
-    asked = F.array(*[F.struct((F.lit(r["t"]) + F.lit(float(d)) * F.lit(1234.5)).alias("time"), F.lit(r["event_type"]).alias("what"))
-                      for r in lasts for d in (-1000, 0, -3, 5)])
+    # four times per type: a column of one row with all types, joined to every series
+    lasts = V.raw(spark, folder).groupBy("event_type").agg(F.max("t").alias("t"))
+    lasts = lasts.agg(F.collect_list(F.struct("event_type", "t")).alias("lasts")).withColumn("one", F.lit(1))
     s = V.user_series(spark, folder)
-    return s, s.events.select(F.col("id").alias("event_id"), F.explode(asked).alias("p")).select("event_id", "p.time", "p.what")
+    p = (s.events.select(F.col("id").alias("event_id"), F.lit(1).alias("one")).join(F.broadcast(lasts), "one")
+         .select("event_id", F.explode("lasts").alias("l")).select("event_id", "l.*", F.explode(F.array(*[F.lit(float(d)) for d in (-1000, 0, -3, 5)])).alias("d")))
+    return s, p.select("event_id", (F.col("t") + F.col("d") * F.lit(1234.5)).alias("time"), F.col("event_type").alias("what"))
 
 
 @query(f"WITH {V.SERIES}, {V.NEAR}, {PROBES}, {ASOF} SELECT event_id, asked AS time, what, CAST(v AS DOUBLE) AS value FROM n")
