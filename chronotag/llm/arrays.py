@@ -43,7 +43,7 @@ def table(members):
     return out
 
 
-def pieces(column, limit=1 << 20):
+def pieces(column, limit=1 << 19):
     """Cut an Arrow string column into (first row, bytes, offsets) of about `limit` bytes; a text is never cut."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

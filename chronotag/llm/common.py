@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronotag.plans.durable import pinned
 
-__all__ = ["bounded_ids", "held_out", "keep_broadcast", "pinned", "running", "table", "tidy", "word_count"]
+__all__ = ["bounded_ids", "held_out", "keep_broadcast", "pinned", "running", "small_batches", "table", "tidy", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of ids (8 bytes each) up to which a set of ids is sent to every executor; beyond it Spark shuffles.
@@ -26,6 +27,18 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of few rows for the jobs that run inside: rows here hold whole texts or sets. The caller's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents kept from learning; a null id is held out as well."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))

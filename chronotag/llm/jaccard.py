@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotag.llm import arrays as A
-from chronotag.llm.common import keep_broadcast, pinned, tidy
+from chronotag.llm.common import keep_broadcast, pinned, small_batches, tidy
 from chronotag.llm.components import components
 
 BUCKET_BITS, CHUNKS = 17, 64
@@ -176,6 +176,11 @@ def _verify(pairs: DataFrame, members: DataFrame, meta: DataFrame, docs: DataFra
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, key, n; links between classes: a, b). Links connect all classes whose sets are similar enough."""
+    with small_batches(docs.sparkSession):
+        return _join(docs, k, percent)
+
+
+def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     members, counts = survey(docs, k)
     classes = describe(docs, members, counts, k, percent)
     entries = classes.select("key", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("p", "gram"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotag.llm import arrays as A
-from chronotag.llm.common import keep_broadcast, pinned, tidy
+from chronotag.llm.common import keep_broadcast, pinned, small_batches, tidy
 
 LENGTH, GRAM = 50, 20
 SIDE = 15
@@ -329,7 +329,9 @@ def spans_of(packed, size) -> np.ndarray:
 def _each(docs: DataFrame, carry: list[str], fn, schema: str) -> tuple[DataFrame, DataFrame]:
     """Documents that lose bytes, through `fn` (text bytes, spans); and the others, as they are."""
     rows = _keyed(docs)
-    found = removed(rows.select("_id", "_mark", "_text")).select(F.col("id").alias("_of"), F.col("mark").alias("_as"), F.col("spans").alias("_spans"))
+    with small_batches(docs.sparkSession):
+        found = removed(rows.select("_id", "_mark", "_text"))
+    found = found.select(F.col("id").alias("_of"), F.col("mark").alias("_as"), F.col("spans").alias("_spans"))
     tidy(docs.sparkSession)
     ids = pinned(found.select(F.col("_of").alias("_only")).distinct())
     some = _only(rows, ids, "left_semi").join(found, (F.col("_id") == F.col("_of")) & (F.col("_mark") == F.col("_as")), "left")
