@@ -34,7 +34,7 @@ LENGTH, GRAM = 50, 20
 SIDE = 15
 PIECE = 2 << 20
 NO_ID = (1 << 63) - 1
-RUN = np.dtype([("key", "<u8"), ("anchor", "<u4"), ("left", "<u2"), ("right", "<u2"), ("more", "u1"), ("side", "u1"), ("doc", "<u2"), ("at", "<u4")])
+RUN = np.dtype([("key", "<u8"), ("anchor", "<u2"), ("left", "<u2"), ("right", "<u2"), ("more", "u1"), ("side", "u1"), ("doc", "<u2"), ("at", "<u4")])
 ROW = "id long, mark long, kind int, spans binary"
 PACKED = "bucket int, ids binary, marks binary, n int, columns binary"
 
@@ -72,7 +72,7 @@ def runs(buf, offsets):
         return out, np.zeros(0, np.uint64)
     gram = A.spans(sums, at, at + GRAM)
     out["key"] = A.spans(sums, first, last + LENGTH)
-    out["anchor"] = (gram & np.uint64(0xFFFFFF)).astype(np.uint32)
+    out["anchor"] = (gram & np.uint64(0xFFFF)).astype(np.uint16)  # with the side codes, 32 bits tell edges apart inside a hash range
     # a window reaches SIDE bytes beyond its anchor on one side at least; 0 stands for no window on that side
     left, right = first <= at - SIDE, last > at - SIDE
     for name, has, a, b in (("left", left, at - SIDE, at + GRAM), ("right", right, at, at + GRAM + SIDE)):
