@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotag.plans.durable import pinned
 from chronotag.plans.ordered import Ordered
 from chronotag.plans.sequential import per_group
 
@@ -147,72 +150,80 @@ def search(samples: DataFrame, patterns: list[tuple[str, np.ndarray]], warp: flo
 def best_matches(found: DataFrame) -> DataFrame:
     """Windows of `search` without those that overlap a better one.
 
-    Windows count in order of their end (then of their pattern). One is considered only when it
-    is better than every considered one it reaches back to; of these, repeatedly the first that
-    no later overlapping one beats is a match and removes what overlaps it. Only windows that
-    overlap, directly or through others, influence each other, so each such island is one group.
+    Windows count in order of their end (then of their pattern). A candidate is a window that no earlier overlapping
+    candidate equals or betters, so a later candidate is always better than those it overlaps. A match is a
+    candidate that no later match overlaps.
     """
-    o = Ordered(found, "event_id", ["start_pos", "end_pos", "pattern_no"]).running_max(inclusive=False, _reach=F.col("end_pos"))
-    fresh = F.col("_reach").isNull() | (F.col("start_pos") > F.col("_reach"))
-    islands = o.running_sum(_island=fresh.cast("bigint")).drop("_reach").done()
-    columns = ["event_id", "pattern", "pattern_no", "start_pos", "end_pos", "start_time", "end_time", "error", "length", "scale"]
-
-    def resolve(c):
-        rows = [dict(zip(columns, r)) for r in zip(*(c[x] for x in columns))]
-        considered = []
-        for r in rows:
-            r["_rate"] = r["error"] / r["length"]
-            lowest = float("inf")
-            for m in reversed(considered):
-                if m["end_pos"] < r["start_pos"]:
-                    break
-                lowest = min(lowest, m["_rate"])
-            if r["_rate"] < lowest:
-                considered.append(r)
-        longest = max(r["length"] for r in rows)
-        kept = []
-        while considered:
-            best = considered[0]
-            for other in considered[1:]:
-                if other["end_pos"] > best["end_pos"] + longest:
-                    break
-                if other["start_pos"] <= best["end_pos"] and other["_rate"] < best["_rate"]:
-                    best = other
-            kept.append(tuple(best[x] for x in columns))
-            considered = [m for m in considered if m["end_pos"] > best["end_pos"] or m["end_pos"] < best["start_pos"]]
-        return kept
-
-    return per_group(islands, ["event_id", "_island"], ["end_pos", "pattern_no"], resolve, WINDOWS)
+    rows = pinned(found.withColumn("_id", F.struct("event_id", "end_pos", "pattern_no")))
+    longest = rows.agg(F.coalesce(F.max("length"), F.lit(1))).first()[0]
+    pairs = pinned(_overlapping(rows, longest))
+    candidates = _unbeaten(rows.select("_id"), pairs.where("earlier_rate <= later_rate").select(F.col("later").alias("loser"), F.col("earlier").alias("winner")))
+    among = pairs.join(candidates.withColumnRenamed("_id", "earlier"), "earlier", "left_semi").join(candidates.withColumnRenamed("_id", "later"), "later", "left_semi")
+    matches = _unbeaten(candidates, among.select(F.col("earlier").alias("loser"), F.col("later").alias("winner")))
+    return rows.join(matches, "_id", "left_semi").drop("_id")
+
+
+def _overlapping(rows: DataFrame, longest: int) -> DataFrame:
+    """(earlier, later, earlier_rate, later_rate) of overlapping windows of a series. The earlier one ends inside the later one, so it
+    is met in one of the two cells, as wide as the longest window, that the later one lies in."""
+    rate = F.col("error") / F.col("length")
+    cell = lambda pos: F.floor(F.col(pos) / longest)
+    ends = rows.select("event_id", cell("end_pos").alias("cell"), F.col("end_pos").alias("_end"), F.col("_id").alias("earlier"), rate.alias("earlier_rate"))
+    spans = rows.select("event_id", F.explode(F.array_distinct(F.array(cell("start_pos"), cell("end_pos")))).alias("cell"), "start_pos", F.col("_id").alias("later"), rate.alias("later_rate"))
+    return spans.join(ends, ["event_id", "cell"]).where((F.col("_end") >= F.col("start_pos")) & (F.col("earlier") < F.col("later"))).drop("event_id", "cell", "start_pos", "_end")
+
+
+def _unbeaten(rows: DataFrame, beaten: DataFrame) -> DataFrame:
+    """The ids (_id) that no chosen one beats, by rounds: who has no winner left is chosen, whom a chosen one beats is out, and
+    who is out beats no one any more. `beaten` (loser, winner) has no cycles."""
+    chosen, rest, beaten = [], rows, pinned(beaten)
+    while True:
+        free = pinned(rest.join(beaten, F.col("_id") == F.col("loser"), "left_anti"))
+        chosen.append(free)
+        lost = pinned(beaten.join(free, F.col("winner") == F.col("_id"), "left_semi").select(F.col("loser").alias("_out")).distinct())
+        beaten = pinned(beaten.join(lost, F.col("loser") == F.col("_out"), "left_anti").join(lost, F.col("winner") == F.col("_out"), "left_anti"))
+        rest = rest.join(free, "_id", "left_anti").join(lost, F.col("_id") == F.col("_out"), "left_anti")
+        if rest.isEmpty():
+            return reduce(DataFrame.union, chosen)
+        rest = pinned(rest)
 
 
 def match(samples: DataFrame, patterns: list[tuple[str, np.ndarray]], warp: float, max_error: float | None) -> DataFrame:
     return best_matches(search(samples, patterns, warp, max_error))
 
 
+def _aligned(a: np.ndarray, b: np.ndarray):
+    """Distance and path of the best alignment. Cells on one anti-diagonal do not depend on each other, so a diagonal is computed at once:
+    `total[s + 2, i + 1]` is the least sum up to element i of a and s - i of b, infinite outside."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return (0.0 if n == m else float("inf")), [], []
+    total = np.full((n + m + 1, n + 1), np.inf)
+    total[0, 0] = 0.0
+
+    def ways(s, i):
+        """Sums before a step of both, of a alone, of b alone; the first of equal ones is taken."""
+        return np.stack([total[s, i], total[s + 1, i], total[s + 1, i + 1]])
+
+    for s in range(n + m - 1):
+        i = np.arange(max(0, s - m + 1), min(n - 1, s) + 1)
+        total[s + 2, i + 1] = ways(s, i).min(axis=0) + np.abs(a[i] - b[s - i])
+    path = [(n - 1, m - 1)]
+    while path[-1] != (0, 0):
+        i, j = path[-1]
+        back = ((1, 1), (1, 0), (0, 1))[int(ways(i + j, i).argmin())]
+        path.append((i - back[0], j - back[1]))
+    i, j = zip(*reversed(path))
+    return float(total[-1, -1]), list(i), list(j)
+
+
 def align(pairs: DataFrame) -> DataFrame:
     """(pair_id, distance, a_index, b_index): best alignment of two sequences (pair_id, a, b) by
     absolute difference, each element matched at least once, with the path."""
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for pid, a, b in zip(pdf["pair_id"], pdf["a"], pdf["b"]):
-                cost = np.full((len(a) + 1, len(b) + 1), np.inf)
-                cost[0, 0] = 0.0
-                move = np.zeros((len(a), len(b)), dtype=np.int8)
-                for i in range(1, len(a) + 1):
-                    for j in range(1, len(b) + 1):
-                        options = (cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
-                        k = min(range(3), key=options.__getitem__)  # both, a alone, b alone
-                        move[i - 1, j - 1] = k
-                        cost[i, j] = options[k] + abs(a[i - 1] - b[j - 1])
-                i, j, ai, bi = len(a) - 1, len(b) - 1, [], []
-                while i >= 0 and j >= 0:
-                    ai.append(i)
-                    bi.append(j)
-                    k = move[i, j]
-                    i, j = (i - 1 if k != 2 else i), (j - 1 if k != 1 else j)
-                rows.append((pid, float(cost[-1, -1]), ai[::-1], bi[::-1]))
+            rows = [(pid, *_aligned(np.asarray(a, float), np.asarray(b, float))) for pid, a, b in zip(pdf["pair_id"], pdf["a"], pdf["b"])]
             yield pd.DataFrame(rows, columns=["pair_id", "distance", "a_index", "b_index"])
 
     return pairs.select("pair_id", "a", "b").mapInPandas(

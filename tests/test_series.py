@@ -237,6 +237,30 @@ def test_slices_of_a_series_give_the_same_windows(spark):
     assert sorted(plain) == windows(32)
     best = patterns.best_matches(patterns.search(smp, shape, 0.25, 0.06)).orderBy("start_pos").collect()
     assert all(a["end_pos"] < b["start_pos"] for a, b in zip(best, best[1:]))
+    assert best
+
+
+def test_best_matches_follow_the_rule(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for e in (1, 2):
+        for no, length in enumerate((4, 7)):
+            rows += [(e, f"p{no}", no, i, i + length - 1, float(i), float(i + length - 1), float(rng.integers(1, 6) * length), length, 1.0)
+                     for i in range(60) if rng.random() < 0.6]
+    got = patterns.best_matches(spark.createDataFrame(rows, patterns.WINDOWS)).collect()
+    want = []
+    for e in (1, 2):
+        own = sorted((r[4], r[2], r[3], r[7] / r[8]) for r in rows if r[0] == e)
+        candidates, matches = [], []
+        for r in own:
+            if all(m[0] < r[2] or m[3] > r[3] for m in candidates):
+                candidates.append(r)
+        for r in reversed(candidates):
+            if all(r[0] < m[2] for m in matches):
+                matches.append(r)
+        want += [(e, m[0], m[1]) for m in matches]
+    assert sorted((r["event_id"], r["end_pos"], r["pattern_no"]) for r in got) == sorted(want) and len(want) > 6
+    assert patterns.best_matches(spark.createDataFrame([], patterns.WINDOWS)).count() == 0
 
 
 def test_alignment(spark):
@@ -245,6 +269,22 @@ def test_alignment(spark):
     assert got[1]["distance"] == 0.0 and got[1]["a_index"] == [0, 0, 1, 2] and got[2]["distance"] == 1.0
 
 
+def test_alignment_is_the_cheapest_path():
+    from functools import lru_cache
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        a, b = (rng.integers(0, 5, rng.integers(1, 9)).astype(float) for _ in range(2))
+
+        @lru_cache(None)
+        def least(i, j):
+            before = [least(x, y) for x, y in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if x >= 0 and y >= 0]
+            return abs(a[i] - b[j]) + min(before, default=0.0)
+        distance, ai, bi = patterns._aligned(a, b)
+        assert distance == least(len(a) - 1, len(b) - 1) == sum(abs(a[i] - b[j]) for i, j in zip(ai, bi))
+        steps = {(x2 - x1, y2 - y1) for x1, x2, y1, y2 in zip(ai, ai[1:], bi, bi[1:])}
+        assert steps <= {(1, 1), (1, 0), (0, 1)} and (ai[0], bi[0], ai[-1], bi[-1]) == (0, 0, len(a) - 1, len(b) - 1)
+
+
 # --- learners -------------------------------------------------------------------------------------------------------
 
 def test_neighbours_in_slices(spark):
