@@ -180,28 +180,28 @@ def nearest_embedding(spark, folder):
             .select("vec_id", "label", F.round("d", 9).alias("dist")))
 
 
-EMB = """e AS (SELECT vec_id, label, embedding[1:8] AS x FROM embeddings), s AS (SELECT i.range + 1 AS i, avg(CAST(x[i.range + 1] AS DOUBLE)) AS m,
-      sqrt(var_samp(CAST(x[i.range + 1] AS DOUBLE)) + 1e-5) AS s FROM e, range(8) i GROUP BY 1),
+EMB = """e AS (SELECT vec_id, label, embedding AS x FROM embeddings), s AS (SELECT i.range + 1 AS i, avg(CAST(x[i.range + 1] AS DOUBLE)) AS m,
+      sqrt(var_samp(CAST(x[i.range + 1] AS DOUBLE)) + 1e-5) AS s FROM e, range(64) i GROUP BY 1),
     z AS (SELECT vec_id, any_value(label) AS label, list((CAST(x[i] AS DOUBLE) - m) / s ORDER BY i) AS z FROM e, s GROUP BY vec_id)"""
 
 
-@query(f"""WITH {EMB}, d AS (SELECT a.vec_id AS query_id, b.vec_id AS train_id, b.label, list_sum(list_transform(range(1, 9),
+@query(f"""WITH {EMB}, d AS (SELECT a.vec_id AS query_id, b.vec_id AS train_id, b.label, list_sum(list_transform(range(1, 65),
       lambda i: (a.z[i] - b.z[i]) * (a.z[i] - b.z[i]))) AS d2 FROM z a, z b),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, train_id) AS rn FROM d)
     SELECT query_id, round(avg(label), 9) AS prediction FROM r WHERE rn <= 5 GROUP BY query_id""")
 def knn_predict(spark, folder):
-    e = V.table(spark, folder, "embeddings").withColumn("x", F.slice("embedding", 1, 8))
+    e = V.table(spark, folder, "embeddings").withColumnRenamed("embedding", "x")
     train = e.select(F.col("vec_id").alias("train_id"), "x", F.col("label").cast("double").alias("y"))
-    out = learners.knn_predict(e.select(F.col("vec_id").alias("query_id"), "x"), train, 8, query_rows=200, train_rows=300)
+    out = learners.knn_predict(e.select(F.col("vec_id").alias("query_id"), "x"), train, 64, query_rows=200, train_rows=300)
     return out.withColumn("prediction", F.round("prediction", 9))
 
 
-@query(f"""WITH {V.RAW}, tr AS (SELECT event_type, k, arg_max(value, event_id) AS y FROM raw WHERE user_id <= 5 GROUP BY ALL)
+@query(f"""WITH {V.RAW}, tr AS (SELECT event_type, k, arg_max(value, event_id) AS y FROM raw GROUP BY ALL)
     SELECT event_id AS query_id, y AS prediction FROM raw LEFT JOIN tr USING (event_type, k)""")
 def lookup_predict(spark, folder):
     r = V.raw(spark, folder).withColumn("x", F.array((F.array_position(F.array(*[F.lit(t) for t in V.TYPES]), F.col("event_type"))).cast("float"),
                                                      F.col("k").cast("float")))
-    train = r.where(F.col("user_id") <= 5).select(F.col("event_id").alias("train_id"), "x", F.col("value").alias("y"))
+    train = r.select(F.col("event_id").alias("train_id"), "x", F.col("value").alias("y"))
     return learners.lookup_predict(r.select(F.col("event_id").alias("query_id"), "x"), train)
 
 

@@ -20,11 +20,6 @@ def live(spark, folder):
                      F.get_json_object("props", "$.k").alias("k"))
 
 
-def ticks(t, place: int):
-    """A sequence number in order of time."""
-    return (F.round(t * 1e6).cast("bigint") * 10 + place).alias("seq")
-
-
 @query(f"""WITH {V.EV}, c AS (SELECT *, id % 3 AS op, CASE WHEN id % 2 = 0 THEN 'click' ELSE type END AS was FROM ev)
     SELECT id, CASE op WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE CASE WHEN type = 'click' AND was = 'click' THEN 'modified' WHEN type = 'click' THEN 'added' ELSE 'removed' END END AS change,
     op < 2 AS whole FROM c WHERE CASE op WHEN 0 THEN type = 'click' WHEN 1 THEN was = 'click' ELSE type = 'click' OR was = 'click' END""")
@@ -70,10 +65,10 @@ def online_state_changes(spark, folder):
     return run.replay(stateful.state_sequence(r)).drop("batch")
 
 
-@query(f"""WITH {V.RAW}, s AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY (event_id * 7919) % 1000003 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM raw)
+@query(f"""WITH {V.RAW}, s AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY xor(event_id::BIGINT, 5461) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM raw)
     SELECT user_id AS event_id, t AS time FROM s WHERE m IS NULL OR t >= m""")
 def samples_in_order(spark, folder):
-    r = live(spark, folder).select(((F.col("event_id") * 7919) % 1000003).alias("seq"), F.col("user_id").alias("event_id"), F.col("t").alias("time"),
+    r = live(spark, folder).select(F.col("event_id").cast("bigint").bitwiseXOR(F.lit(5461).cast("bigint")).alias("seq"), F.col("user_id").alias("event_id"), F.col("t").alias("time"),
                                    F.array(F.col("value").cast("float")).alias("value"))
     return run.replay(stateful.in_order(r)).select("event_id", "time")
 
