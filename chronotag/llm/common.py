@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronotag.plans.durable import pinned
+from chronotag.plans.durable import ensure_checkpoint_dir, pinned
 
-__all__ = ["bounded_ids", "held_out", "keep_broadcast", "pinned", "running", "small_batches", "table", "tidy", "word_count"]
+__all__ = ["bounded_ids", "held_out", "keep_broadcast", "pinned", "running", "small_batches", "table", "tidy", "word_count", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of ids (8 bytes each) up to which a set of ids is sent to every executor; beyond it Spark shuffles.
@@ -21,6 +22,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of `df`, computed once and kept as compressed columns in the checkpoint folder: smaller than `pinned` where
+    rows hold small numbers and repeated keys. Column names must differ."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files that led up to what is pinned by now; it works when the driver collects garbage."""
     gc.collect()

@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotag.llm import arrays as A
-from chronotag.llm.common import keep_broadcast, pinned, small_batches, tidy
+from chronotag.llm.common import keep_broadcast, pinned, small_batches, tidy, written
 from chronotag.llm.components import components
 
 BUCKET_BITS, CHUNKS = 17, 64
 PARTS = 64
 #: Bytes of a shingle's hash in the final comparison of two sets.
 ITEM = 6
+#: Pairs of one class that are compared in one piece; a class with more meets its partners in several.
+PIECE = 2000
 
 
 def shingles(buf, offsets, k):
@@ -92,7 +94,7 @@ def survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             parts = total.reshape(CHUNKS, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, ids), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(list(parts), pa.list_(pa.int64()))], names)
 
-    rows = pinned(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, chunk int, counts array<long>"))
+    rows = written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, chunk int, counts array<long>"))
     sums = rows.where("chunk is not null").select("chunk", F.posexplode("counts").alias("at", "n")).groupBy("chunk", "at").agg(F.sum("n").alias("n"))
     counts = np.zeros((CHUNKS, wide // CHUNKS), np.uint64)
     for r in sums.where("n > 0").collect():
@@ -120,7 +122,7 @@ def describe(docs: DataFrame, members: DataFrame, counts: np.ndarray, k: int, pe
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(size), prefix, pa.array(list(parts), pa.list_(pa.int32()))], ["key", "n", "prefix", "parts"])
 
     rows = _of_classes(docs, members.where("n > 0")).select("text")
-    return pinned(rows.mapInArrow(run, "key long, n long, prefix array<long>, parts array<int>").where("n > 0"))
+    return written(rows.mapInArrow(run, "key long, n long, prefix array<long>, parts array<int>").where("n > 0"))
 
 
 def _enough(overlap: Column, x: Column, y: Column, percent: int) -> Column:
@@ -140,11 +142,17 @@ def _common() -> Column:
 
 
 def _verify(pairs: DataFrame, members: DataFrame, meta: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link: suffix filter on histograms, then the whole sets, once for each pair."""
+    """The pairs (a, b) of classes that link: suffix filter on histograms, then the whole sets, once for each pair.
+
+    The set of a travels to b once per pair, from where it is made if the pairs are few enough to be sent there.
+    The set of b travels once for every PIECE partners."""
     side = lambda c: meta.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"parts_{c}"))
-    pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_enough(_common(), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    pairs = pinned(pairs)
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    once = pairs.groupBy(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).agg(F.min("b").alias("b"))
+    once = once.select((F.when(F.col("b") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))).alias("a"), "b")
+    once = written(once.join(side("a"), "a").join(side("b"), "b").where(_enough(_common(), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
+    crowded = written(once.groupBy("b").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).where("pieces > 1"))
+    once = once.join(keep_broadcast(crowded), "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), "pieces"), F.lit(0)).alias("piece"))
+    ends = written(once.select("b", "piece").distinct())
 
     def run(batches):
         for b in batches:
@@ -153,9 +161,13 @@ def _verify(pairs: DataFrame, members: DataFrame, meta: DataFrame, docs: DataFra
                 items = hashes.view(np.uint8).reshape(-1, 8)[:, 8 - ITEM:]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([items[i:j].tobytes() for i, j in zip(begin, begin[1:])], pa.binary())], ["key", "items"])
 
-    sets = _of_classes(docs, members.join(needed, "key", "left_semi")).select("text").mapInArrow(run, "key long, items binary")
-    both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
-            .join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b"))
+    def sets(wanted, c, name):
+        """The sets of the classes in column `c` of `wanted`, with its columns."""
+        own = _of_classes(docs, members.join(keep_broadcast(wanted.select(F.col(c).alias("key")).distinct()), "key", "left_semi"))
+        own = own.select("text").mapInArrow(run, "key long, items binary")
+        return own.join(keep_broadcast(wanted), F.col("key") == F.col(c)).select(*wanted.columns, F.col("items").alias(name))
+
+    both = sets(once, "a", "x").join(sets(ends, "b", "y"), ["b", "piece"])
 
     def items(cell):
         out = np.zeros((len(cell) // ITEM, 8), np.uint8)
@@ -183,25 +195,26 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
 def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     members, counts = survey(docs, k)
     classes = describe(docs, members, counts, k, percent)
-    entries = classes.select("key", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("p", "gram"))
-    shared = entries.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1").select("gram")
-    live = pinned(entries.join(shared, "gram"))
-    tidy(docs.sparkSession)
-    meta = pinned(classes.select("key", "n", "parts").join(live.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-    # each class with one that has the shared shingle far in front; ties by key, so that a group's shingles choose the same one
+    # one shuffle by shingle: each entry with the class that has its shingle far in front; ties by key, so that a group's shingles choose the same one
+    entries = classes.select("key", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("p", "gram")).repartition("gram")
     front = F.shiftleft(F.shiftright("p", 2).cast("long"), 40) + F.col("key").bitwiseAND((1 << 40) - 1)
-    hubs = live.groupBy("gram").agg(F.min_by("key", front).alias("hub"), F.min_by("p", front).alias("q"))
-    pairs = live.join(hubs, "gram").where("key <> hub").join(meta.select(F.col("key").alias("hub"), F.col("n").alias("m")), "hub").where(_possible(percent))
-    near = pinned(_verify(pairs.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")), members, meta, docs, k, percent))
+    hubs = entries.groupBy("gram").agg(F.count("*").alias("classes"), F.min_by("key", front).alias("hub"), F.min_by("p", front).alias("q"), F.min_by("n", front).alias("m"))
+    live = written(entries.join(hubs.where("classes > 1").drop("classes"), "gram"))
+    tidy(docs.sparkSession)
+    meta = written(classes.select("key", "n", "parts").join(live.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    pairs = live.where((F.col("key") != F.col("hub")) & _possible(percent)).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    near = written(_verify(pairs, members, meta, docs, k, percent))
     tidy(docs.sparkSession)
     # what the first links have not connected meets within each shared shingle
-    placed = live.join(components(near).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    place = keep_broadcast(written(components(near).withColumnRenamed("node", "key")))
+    placed = live.select("gram", "key", "n", "p").join(place, "key", "left").withColumn("component", F.coalesce("component", "key")).repartition("gram")
     mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
-    left = pinned(placed.join(mixed, "gram").join(meta.select("key", F.col("parts").alias("parts_a")), "key"))
+    left = written(placed.join(mixed, "gram").join(meta.select("key", F.col("parts").alias("parts_a")), "key"))
+    tidy(docs.sparkSession)
     other = left.select("gram", F.col("key").alias("key2"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("component").alias("component2"), F.col("parts_a").alias("parts_b"))
     rest = left.join(other, "gram").where((F.col("component") < F.col("component2")) & _possible(percent) & _enough(_common(), F.col("n"), F.col("m"), percent))
-    more = _verify(rest.select(F.greatest("key", "key2").alias("a"), F.least("key", "key2").alias("b")), members, meta, docs, k, percent)
-    found = pinned(near.union(more))
+    more = _verify(rest.select(F.col("key").alias("a"), F.col("key2").alias("b")), members, meta, docs, k, percent)
+    found = written(near.union(more))
     tidy(docs.sparkSession)
     return members, found
 
