@@ -26,6 +26,8 @@ from chronotag.llm.components import components
 
 BUCKET_BITS, CHUNKS = 17, 64
 PARTS = 64
+#: A part's count is one byte; this one means "or more".
+FULL = 127
 #: Bytes of a shingle's hash in the final comparison of two sets.
 ITEM = 6
 #: Pairs of one class that are compared in one piece; a class with more meets its partners in several.
@@ -119,10 +121,10 @@ def describe(docs: DataFrame, members: DataFrame, counts: np.ndarray, k: int, pe
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(hashes[inside].view(np.int64)))
                 parts = np.zeros((len(size), PARTS), np.int32)
                 np.add.at(parts, (owner, (hashes & np.uint64(PARTS - 1)).astype(np.int64)), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(size), prefix, pa.array(list(parts), pa.list_(pa.int32()))], ["key", "n", "prefix", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(size), prefix, pa.array(list(np.minimum(parts, FULL).astype(np.int8)), pa.list_(pa.int8()))], ["key", "n", "prefix", "parts"])
 
     rows = _of_classes(docs, members.where("n > 0")).select("text")
-    return written(rows.mapInArrow(run, "key long, n long, prefix array<long>, parts array<int>").where("n > 0"))
+    return written(rows.mapInArrow(run, "key long, n long, prefix array<long>, parts array<tinyint>").where("n > 0"))
 
 
 def _enough(overlap: Column, x: Column, y: Column, percent: int) -> Column:
@@ -137,8 +139,9 @@ def _possible(percent: int) -> Column:
 
 
 def _common() -> Column:
-    """The most shingles two sets can share by their histograms, and so by what follows their prefixes."""
-    return F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
+    """The most shingles two sets can share by their histograms, and so by what follows their prefixes; no bound where a part is full in both."""
+    least = F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y).cast("long"))
+    return F.aggregate(least, F.lit(0).cast("long"), lambda t, x: t + F.when(x == FULL, 1 << 40).otherwise(x))
 
 
 def _verify(pairs: DataFrame, members: DataFrame, meta: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -209,7 +212,7 @@ def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     place = keep_broadcast(written(components(near).withColumnRenamed("node", "key")))
     placed = live.select("gram", "key", "n", "p").join(place, "key", "left").withColumn("component", F.coalesce("component", "key")).repartition("gram")
     mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
-    left = written(placed.join(mixed, "gram").join(meta.select("key", F.col("parts").alias("parts_a")), "key"))
+    left = written(placed.join(mixed, "gram").join(meta.select("key", F.col("parts").alias("parts_a")), "key")).repartition("gram")  # both sides of the join read this one shuffle
     tidy(docs.sparkSession)
     other = left.select("gram", F.col("key").alias("key2"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("component").alias("component2"), F.col("parts_a").alias("parts_b"))
     rest = left.join(other, "gram").where((F.col("component") < F.col("component2")) & _possible(percent) & _enough(_common(), F.col("n"), F.col("m"), percent))
