@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronotag.functions import tags as T
 from chronotag.functions import vectors as W
-from chronotag.operators import catalog, learners, patterns, series
+from chronotag.operators import attachments, catalog, learners, patterns, series
 from workload import views as V
 from workload.events import DAY, HOUR
 from workload.registry import query
@@ -168,6 +168,34 @@ def add_samples(spark, folder):
     return s.events.join(n, F.col("id") == F.col("event_id")).select("id", "start_time", "end_time", "n")
 
 
+@query(f"WITH {V.TYPED} SELECT max(start_time) AS start_time, min(end_time) AS end_time FROM ser WHERE id IN (11, 12, 13, 14, 15)")
+def shared_lifetime(spark, folder):
+    return series.shared_lifetime(V.typed_series(spark, folder), [11, 12, 13, 14, 15])
+
+
+# one sample for every click series that lives then, and a series begun where no series has the tags
+@query(f"""WITH {V.TYPED}, hit AS (SELECT id FROM ser WHERE type = 'click' AND {V.T0} + 864000 BETWEEN start_time AND end_time)
+    SELECT type, count(DISTINCT ser.id) AS n_series, count(*) + CASE WHEN type = 'click' THEN (SELECT count(*) FROM hit) ELSE 0 END AS n_samples
+    FROM ser JOIN smp ON smp.event_id = ser.id GROUP BY type UNION ALL SELECT 'none', 1, 1""")
+def add_sample_by_tags(spark, folder):
+    s, time = V.typed_series(spark, folder), V.t0(spark, folder) + 10 * DAY
+    s, _ = series.add_sample_by_tags(s, "type=click", time, [1.0, 2.0])
+    s, _ = series.add_sample_by_tags(s, "type=none", time, [1.0, 2.0])
+    kinds = s.events.select(F.col("id").alias("event_id"), T.value(F.col("tags"), "type").alias("type"))
+    return s.samples.join(kinds, "event_id").groupBy("type").agg(F.countDistinct("event_id").alias("n_series"), F.count(F.lit(1)).alias("n_samples"))
+
+
+# tables linked to all errors; one link replaced, one added in another schema, one taken away
+@query(f"""WITH {V.RAW} SELECT event_id, 'log' AS schema_name, 'log_' || k AS table_name FROM raw WHERE event_type = 'error' AND event_id NOT IN (3, 5)
+    UNION ALL SELECT 3, 'log', 'other' UNION ALL SELECT 4, 'img', 'picture'""")
+def linked_tables(spark, folder):
+    links = V.raw(spark, folder).where("event_type = 'error'").select(
+        "event_id", F.lit("log").alias("schema_name"), F.concat(F.lit("log_"), "k").alias("table_name"))
+    s = V.typed_series(spark, folder).with_(attachments=links)
+    s = attachments.attach_table(attachments.attach_table(s, 3, "log", "other"), 4, "img", "picture")
+    return attachments.delete_attachments(s, "log", 5).attachments
+
+
 # --- vectors -----------------------------------------------------------------------------------------
 
 @query("""WITH q AS (SELECT [CAST(0.1 AS FLOAT) for x in range(64)] AS q), d AS (SELECT vec_id, label, list_sum(list_transform(range(1, 65),
