@@ -11,12 +11,15 @@ speak of a licence but are not known are counted. An empty table gives no rows;
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINES = r"[.!?;:]+(?:[ \t\n\r]|\z)|\n"
 PARAGRAPHS = r"[.!?;:]+(?:[ \t\n\r]|\z)|\n[ \t\r]*\n"
+#: Used by the SQL only: it passes over texts without one of these, known sentences or not.
 HINT = r"(?i)licen[sc]|copyright|permission is hereby|redistribution|warrant|public domain|spdx"
 MENTION = r"(^| )licen[sc](e|es|ed|ing)( |$)"
 
@@ -117,10 +120,22 @@ def identifiers(found: Column, known: Column) -> Column:
     return F.filter(F.transform(found, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
 
 
+def hint(known) -> str:
+    """A pattern found in every text that has a sentence of `known` or speaks of a licence: a word of each sentence, as few words as do."""
+    left, words = [set(s.split()) for s in known if not re.search("licen[sc]", s)], []
+    while left:
+        # a long word, which ordinary texts hold least, of as many sentences as there is one
+        words.append(max(sorted(set.union(*left)), key=lambda w: (len(w) > 7, sum(w in s for s in left), len(w))))
+        left = [s for s in left if words[-1] not in s]
+    return "(?i)" + "|".join(["licen[sc]", *words])
+
+
 def scan(docs: DataFrame, known=None, rules=RULES) -> DataFrame:
     """doc_id, licenses, sentences (identifiers in their order) and n_unknown of every document that names a licence."""
-    known = F.create_map(*[F.lit(x) for pair in (known or SENTENCES).items() for x in pair])
-    rows = docs.where(F.col("text").rlike(HINT)).select("doc_id", sentences(F.col("text"), LINES).alias("lines"), sentences(F.col("text"), PARAGRAPHS).alias("paragraphs"))
+    known = known or SENTENCES
+    wanted = F.col("text").rlike(hint(known))
+    known = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    rows = docs.where(wanted).select("doc_id", sentences(F.col("text"), LINES).alias("lines"), sentences(F.col("text"), PARAGRAPHS).alias("paragraphs"))
     rows = rows.select("doc_id", "lines", identifiers(F.col("lines"), known).alias("a"), identifiers(F.col("paragraphs"), known).alias("b"))
     unknown = F.size(F.filter("lines", lambda s: s.rlike(MENTION) & F.try_element_at(known, s).isNull()))
     rows = rows.select("doc_id", unknown.cast("long").alias("n_unknown"), F.when(F.size("a") >= F.size("b"), F.col("a")).otherwise(F.col("b")).alias("ids"))

@@ -248,6 +248,13 @@ def test_license_sequences(spark):
     assert got[1].licenses == "MIT" and got[2].licenses == "MIT;CC-BY-NC-4.0" and got[3].licenses == "" and got[3].n_unknown == 1 and set(got) == {1, 2, 3}
 
 
+def test_every_known_sentence_is_found_alone(spark):
+    for known in (licenses.SENTENCES, {"do what you like": "like", "a b": "ab", "ask me first": "ask"}):
+        table = spark.createDataFrame(list(enumerate(known)), "doc_id long, text string")
+        got = {r.doc_id: r.sentences for r in licenses.scan(table, known).collect()}
+        assert got == dict(enumerate(known.values()))
+
+
 def test_awkward_rows(spark, awkward, labels):
     n = len(AWKWARD)
     bench = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, None), (3, ""), (None, "zz yy xx ww vv uu"), (1, "one two three four five six seven eight")], "item_id long, text string")
