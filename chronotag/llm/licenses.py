@@ -1,12 +1,13 @@
 """Operator 9, licence scans by sentence rules.
 
-A text is cut into sentences (once also at line ends, for notices on lines of their own, once across lines, for wrapped
-ones; the cut that finds more counts). Normalised sentences are looked up among the known licence sentences; the sequence of their
+A text is normalised once: words, and between them line ends and sentence ends. A known sentence is found where it begins and ends at
+either, the longest first; line ends may lie between its words (wrapped notices), sentence ends only where its own spelling has
+one ('GNU; without'). So notices on lines of their own and wrapped ones are found side by side, in the order of the text. The sequence of their
 identifiers is matched against ordered rules, each of which takes its identifiers out of the sequence. All of it
 happens inside a row, as column functions: no shuffle and no group.
 
-Nulls: a null or empty text has no sentence and no result row; a null doc_id keeps its row. Repeated rows give repeated results. Sentences that
-speak of a licence but are not known are counted. An empty table gives no rows; other columns are not read.
+Nulls: a null or empty text has no sentence and no result row; a null doc_id keeps its row. Repeated rows give repeated results. Sentences and lines
+that speak of a licence and are no part of a known sentence are counted. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -74,6 +75,22 @@ SENTENCES = {
     "all rights reserved": "reserved",
 }
 
+#: How the known sentences with a sentence end inside are spelled.
+SPELLED = {
+    "spdx license identifier mit": "SPDX-License-Identifier: MIT",
+    "spdx license identifier apache 2 0": "SPDX-License-Identifier: Apache-2.0",
+    "spdx license identifier gpl 3 0 or later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "spdx license identifier gpl 2 0 only": "SPDX-License-Identifier: GPL-2.0-only",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+}
+#: What is looked up. The table above, which the SQL is made of, takes 'or later' for 'only'.
+KNOWN = SENTENCES | {"spdx license identifier gpl 3 0 or later": "gpl3-grant"}
+#: Stands for a sentence end in a normalised text.
+END = "\u0001"
+
 #: (licence, identifiers in a row), most specific first; a rule takes its identifiers away from those below it.
 RULES = (
     ("MIT", ("mit-title", "mit-grant", "mit-keep", "mit-warranty")),
@@ -111,18 +128,28 @@ def _pattern(identifiers) -> str:
     return "".join(f",{x}," for x in identifiers)
 
 
-def sentences(text: Column, cut: str) -> Column:
-    plain = F.transform(F.split(text, cut), lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
-    return F.filter(plain, lambda s: s != "")
+def plain(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans(UPPER, LOWER))).strip()
+
+
+def normalised(text: Column) -> Column:
+    """Words in lower case; between them blanks, line ends, and END where a sentence ends."""
+    ended = F.regexp_replace(F.translate(text, UPPER + END, LOWER + " "), PARAGRAPHS, END)
+    return F.regexp_replace(ended, f"[^a-z0-9\n{END}]+", " ")
 
 
-def identifiers(found: Column, known: Column) -> Column:
-    return F.filter(F.transform(found, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+def pattern(known) -> str:
+    """Finds the sentences of `known` in a normalised text, from one end of a sentence or line to another, the longest first."""
+    found = set()
+    for s in known:
+        parts = [plain(x).split() for x in re.split(PARAGRAPHS.replace(r"\z", r"\Z"), SPELLED.get(s, s))]
+        found.add(f"[ \n{END}]+".join("[ \n]+".join(x) for x in parts if x))
+    return f"(?<![^\n{END}]) ?(?:" + "|".join(sorted(found - {""}, key=lambda x: (-len(x), x))) + f")(?= ?(?:[\n{END}]|\\z))"
 
 
 def hint(known) -> str:
     """A pattern found in every text that has a sentence of `known` or speaks of a licence: a word of each sentence, as few words as do."""
-    left, words = [set(s.split()) for s in known if not re.search("licen[sc]", s)], []
+    left, words = [set(s.split()) for s in known if s and not re.search("licen[sc]", s)], []
     while left:
         # a long word, which ordinary texts hold least, of as many sentences as there is one
         words.append(max(sorted(set.union(*left)), key=lambda w: (len(w) > 7, sum(w in s for s in left), len(w))))
@@ -131,14 +158,15 @@ def hint(known) -> str:
 
 
 def scan(docs: DataFrame, known=None, rules=RULES) -> DataFrame:
-    """doc_id, licenses, sentences (identifiers in their order) and n_unknown of every document that names a licence."""
-    known = known or SENTENCES
-    wanted = F.col("text").rlike(hint(known))
-    known = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    rows = docs.where(wanted).select("doc_id", sentences(F.col("text"), LINES).alias("lines"), sentences(F.col("text"), PARAGRAPHS).alias("paragraphs"))
-    rows = rows.select("doc_id", "lines", identifiers(F.col("lines"), known).alias("a"), identifiers(F.col("paragraphs"), known).alias("b"))
-    unknown = F.size(F.filter("lines", lambda s: s.rlike(MENTION) & F.try_element_at(known, s).isNull()))
-    rows = rows.select("doc_id", unknown.cast("long").alias("n_unknown"), F.when(F.size("a") >= F.size("b"), F.col("a")).otherwise(F.col("b")).alias("ids"))
+    """doc_id, licenses, sentences (identifiers in their order) and n_unknown of every document that names a licence. `known`: identifiers of sentences as they are spelled."""
+    known = known or KNOWN
+    names = {plain(s): i for s, i in known.items()}
+    find, wanted = pattern(known), F.col("text").rlike(hint(names))
+    names = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    rows = docs.where(wanted).select("doc_id", normalised(F.col("text")).alias("plain"))
+    found = F.transform(F.regexp_extract_all("plain", F.lit(find), F.lit(0)), lambda s: F.try_element_at(names, F.trim(F.regexp_replace(s, f"[ \n{END}]+", " "))))
+    unknown = F.size(F.filter(F.split(F.regexp_replace("plain", find, ""), f"[\n{END}]"), lambda s: s.rlike(MENTION)))
+    rows = rows.select("doc_id", unknown.cast("long").alias("n_unknown"), found.alias("ids"))
     table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(_pattern(p)).alias("pattern")) for n, p in rules])
     begin = F.struct(F.when(F.size("ids") > 0, F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(","))).otherwise("").alias("rest"), F.array().cast("array<string>").alias("names"))
 

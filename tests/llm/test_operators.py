@@ -255,6 +255,26 @@ def test_every_known_sentence_is_found_alone(spark):
         assert got == dict(enumerate(known.values()))
 
 
+def test_licenses_as_they_are_spelled(spark):
+    gpl = ("This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n\n"
+           "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+           "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n")
+    want = [
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT", 0), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0", 0), ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0-only", 0),
+        ("SPDX-License-Identifier: GPL-3.0-or-later\n", "GPL-3.0-or-later", 0), (gpl.format(":", ",", 3), "GPL-3.0-or-later", 0), (gpl.format(";", ";", 2), "GPL-2.0-or-later", 0),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed", "MPL-2.0", 0),
+        ("Licensed under CC BY 4.0\nAll rights reserved\ntext\n\nLicensed under the Apache License,\nVersion 2.0", "Apache-2.0;CC-BY-4.0;Proprietary", 0),
+        ("Licensed under the MIT. License.", "", 2), ("the mit\n\nlicense \u0001 All rights reserved \u0001", "", 1), ("Not licensed under the MIT license.", "", 1)]
+    want += [(f"Foo bar.\n{licenses.SPELLED.get(s, s)}.\nBaz", s, None) for s in licenses.SENTENCES]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(want)], "doc_id long, text string")).collect()}
+    for i, (_, names, unknown) in enumerate(want):
+        assert (rows[i].sentences, rows[i].n_unknown) == (licenses.KNOWN[names], 0) if unknown is None else (rows[i].licenses, rows[i].n_unknown) == (names, unknown)
+    assert set(licenses.SPELLED) == {licenses.plain(s) for s in licenses.SPELLED.values()} and set(licenses.SPELLED) <= set(licenses.SENTENCES)
+    own = licenses.scan(spark.createDataFrame([(1, "Ask me first: I may say no.")], "doc_id long, text string"), {"Ask me first: I may say no.": "ask"})
+    assert own.first().sentences == "ask"
+
+
 def test_awkward_rows(spark, awkward, labels):
     n = len(AWKWARD)
     bench = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, None), (3, ""), (None, "zz yy xx ww vv uu"), (1, "one two three four five six seven eight")], "item_id long, text string")
