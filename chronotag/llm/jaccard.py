@@ -7,14 +7,18 @@
    entry, never all pairs of a group); length, positional and suffix filters leave the pairs to verify, once each, on the whole sets.
    Then classes that share a prefix shingle and are not yet connected meet, by the same filters, so that no link between components is missed.
 4. Components of the links; a document's component is the smallest doc_id in it.
+5. The links found so far are enough for the components, not all there are. All links lie within components: the classes of each are dealt into tiles
+   (by bands of set sizes, then by hash), and each pair of tiles that can hold a link compares all its sets at once.
 
 Nulls: a null text, like one without words, has no shingle and links with nothing, its component_id is its own doc_id; a document with a null doc_id
 is linked but never names a component unless all ids are null. Rows that repeat a doc_id are documents of their own. A text of fewer words than a
-shingle is one shingle. Empty tables give no rows. `classes` and `links` give the join itself; other columns are not read.
+shingle is one shingle. Empty tables give no rows. `join` gives all links between classes, `connect` only as many as the components need; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,6 +36,8 @@ FULL = 127
 ITEM = 6
 #: Pairs of one class that are compared in one piece; a class with more meets its partners in several.
 PIECE = 2000
+#: Classes and shingles of a tile; shared shingles that are compared at once.
+TILE, TILE_SHINGLES, STEP = 256, 400_000, 4096
 
 
 def shingles(buf, offsets, k):
@@ -144,6 +150,25 @@ def _common() -> Column:
     return F.aggregate(least, F.lit(0).cast("long"), lambda t, x: t + F.when(x == FULL, 1 << 40).otherwise(x))
 
 
+def _packed(docs: DataFrame, members: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """key and items (the set in ITEM bytes a shingle) of the classes in `wanted` (key). A class may come more than once."""
+    def run(batches):
+        for b in batches:
+            for _, buf, offsets in A.pieces(b.column("text")):
+                hashes, _, _, begin, key = _sized(buf, offsets, k, None)
+                items = hashes.view(np.uint8).reshape(-1, 8)[:, 8 - ITEM:]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([items[i:j].tobytes() for i, j in zip(begin, begin[1:])], pa.binary())], ["key", "items"])
+
+    own = _of_classes(docs, members.join(keep_broadcast(wanted), "key", "left_semi"))
+    return own.select("text").mapInArrow(run, "key long, items binary")
+
+
+def _unpacked(cell) -> np.ndarray:
+    out = np.zeros((len(cell) // ITEM, 8), np.uint8)
+    out[:, :ITEM] = np.frombuffer(cell, np.uint8).reshape(-1, ITEM)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _verify(pairs: DataFrame, members: DataFrame, meta: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link: suffix filter on histograms, then the whole sets, once for each pair.
 
@@ -157,31 +182,18 @@ def _verify(pairs: DataFrame, members: DataFrame, meta: DataFrame, docs: DataFra
     once = once.join(keep_broadcast(crowded), "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), "pieces"), F.lit(0)).alias("piece"))
     ends = written(once.select("b", "piece").distinct())
 
-    def run(batches):
-        for b in batches:
-            for _, buf, offsets in A.pieces(b.column("text")):
-                hashes, _, _, begin, key = _sized(buf, offsets, k, None)
-                items = hashes.view(np.uint8).reshape(-1, 8)[:, 8 - ITEM:]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([items[i:j].tobytes() for i, j in zip(begin, begin[1:])], pa.binary())], ["key", "items"])
-
     def sets(wanted, c, name):
         """The sets of the classes in column `c` of `wanted`, with its columns."""
-        own = _of_classes(docs, members.join(keep_broadcast(wanted.select(F.col(c).alias("key")).distinct()), "key", "left_semi"))
-        own = own.select("text").mapInArrow(run, "key long, items binary")
+        own = _packed(docs, members, wanted.select(F.col(c).alias("key")).distinct(), k)
         return own.join(keep_broadcast(wanted), F.col("key") == F.col(c)).select(*wanted.columns, F.col("items").alias(name))
 
     both = sets(once, "a", "x").join(sets(ends, "b", "y"), ["b", "piece"])
 
-    def items(cell):
-        out = np.zeros((len(cell) // ITEM, 8), np.uint8)
-        out[:, :ITEM] = np.frombuffer(cell, np.uint8).reshape(-1, ITEM)
-        return out.view(np.uint64).reshape(-1)
-
     def check(batches):
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"))):
-                x, y = items(x.as_py()), items(y.as_py())
+                x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield b.select(["a", "b"]).filter(pa.array(keep))
@@ -189,13 +201,14 @@ def _verify(pairs: DataFrame, members: DataFrame, meta: DataFrame, docs: DataFra
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, key, n; links between classes: a, b). Links connect all classes whose sets are similar enough."""
+def connect(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, key, n; links between classes: a, b). Links connect all classes whose sets are similar enough;
+    classes that are connected already may have more links, which `join` gives."""
     with small_batches(docs.sparkSession):
-        return _join(docs, k, percent)
+        return _connect(docs, k, percent)
 
 
-def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _connect(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     members, counts = survey(docs, k)
     classes = describe(docs, members, counts, k, percent)
     # one shuffle by shingle: each entry with the class that has its shingle far in front; ties by key, so that a group's shingles choose the same one
@@ -222,19 +235,136 @@ def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     return members, found
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    members, links = join(docs, k, percent)
+def _overlaps(x, y, n, m):
+    """How many items each of n sets shares with each of m: x and y are pairs of items and the number of their set."""
+    common = np.intersect1d(x[0], y[0])
+    total, sides = np.zeros((n, m)), []
+    for items, owner in (x, y):
+        at = np.minimum(np.searchsorted(common, items), max(len(common) - 1, 0))
+        found = np.flatnonzero(common[at] == items) if len(common) else np.zeros(0, int)
+        found = found[np.argsort(at[found], kind="stable")]
+        sides.append((at[found], owner[found]))
+    for first in range(0, len(common), STEP):
+        have = []
+        for (at, owner), rows in zip(sides, (n, m)):
+            i, j = np.searchsorted(at, [first, first + STEP])
+            have.append(np.zeros((rows, min(STEP, len(common) - first)), np.float32))
+            have[-1][owner[i:j], at[i:j] - first] = 1
+        total += have[0] @ have[1].T
+    return total
+
+
+def _tiled(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, percent: int, counted: bool) -> DataFrame:
+    """All links between `classes` (key, component, n, c documents), each pair of one component compared once: a and b, or if `counted`
+    key and n_links, documents of linked classes, in parts to be added up.
+
+    A component that fits a tile is compared as one. The classes of a larger one are dealt into bands of set sizes, so that links are within
+    a band or between neighbours, and bands into tiles; a set travels once for each tile that its own meets."""
+    width = math.log(100 / percent) + 1e-3
+    size = classes.groupBy("component").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+    large = size.where((F.col("classes") > TILE) | (F.col("shingles") > TILE_SHINGLES)).select("component", F.lit(True).alias("large"))
+    rows = written(classes.join(keep_broadcast(written(large)), "component", "left").withColumn("large", F.coalesce("large", F.lit(False))))
+    banded = rows.where("large").withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    tiles = written(banded.groupBy("component", "band").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")))
+    near = lambda name, by: keep_broadcast(tiles.select("component", (F.col("band") + by).alias("band"), F.col("tiles").alias(name)))
+    banded = banded.join(near("tiles", 0), ["component", "band"]).join(near("up", -1), ["component", "band"], "left").join(near("down", 1), ["component", "band"], "left")
+    banded = banded.withColumn("tile", F.pmod(F.xxhash64("key"), "tiles").cast("int"))
+
+    def cells(count, lo, hi, i, j, side):
+        cell = lambda u: F.struct(lo.alias("lo"), hi.alias("hi"), i(u).alias("i"), j(u).alias("j"), side(u).alias("side"))
+        return F.when(F.coalesce(F.col(count), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), cell)).otherwise(F.array())
+
+    band, tile = F.col("band"), F.col("tile")
+    own = cells("tiles", band, band, lambda u: F.least(tile, u), lambda u: F.greatest(tile, u), lambda u: F.when(u < tile, 1).otherwise(0))
+    over = cells("up", band, band + 1, lambda u: tile, lambda u: u, lambda u: F.lit(0))
+    under = cells("down", band - 1, band, lambda u: u, lambda u: tile, lambda u: F.lit(1))
+    split = banded.select("key", "c", "component", F.explode(F.concat(own, over, under)).alias("cell")).select("key", "c", "component", "cell.*")
+    split = split.withColumn("work", F.xxhash64("component", "lo", "hi", "i", "j"))
+    whole = rows.where("not large")
+    bins = int((whole.agg(F.sum("n")).first()[0] or 0) // TILE_SHINGLES) + 1
+    zero = F.lit(0)
+    whole = whole.select("key", "c", "component", zero.alias("lo"), zero.alias("hi"), zero.alias("i"), zero.alias("j"), zero.alias("side"), F.pmod(F.xxhash64("component"), F.lit(bins)).alias("work"))
+    wanted = written(split.union(whole))
+    sets = _packed(docs, members, rows.select("key"), k).join(keep_broadcast(wanted), "key")
+
+    def compare(table):
+        col = {c: table.column(c).to_numpy() for c in ("key", "c", "component", "lo", "hi", "i", "j", "side")}
+        items = table.column("items")
+        order = np.lexsort([col[c] for c in ("key", "side", "j", "i", "hi", "lo", "component")])
+        same = np.ones(len(order), bool)
+        for c in ("component", "lo", "hi", "i", "j"):
+            same[1:] &= col[c][order][1:] == col[c][order][:-1]
+        again = np.zeros(len(order), bool)  # rows that repeat a doc_id bring a class more than once
+        again[1:] = same[1:] & (col["key"][order][1:] == col["key"][order][:-1])
+        begin = np.flatnonzero(~same[1:]) + 1
+        out = []
+        for at, repeated in zip(np.split(order, begin), np.split(again, begin)):
+            at = at[~repeated]
+            first = at[0]
+            inside = col["lo"][first] == col["hi"][first] and col["i"][first] == col["j"][first]
+            sides = [at, at] if inside else [at[col["side"][at] == 0], at[col["side"][at] == 1]]
+            if not len(sides[0]) or not len(sides[1]) or (inside and len(at) < 2):
+                continue
+            packed = []
+            for x in sides[:1] if inside else sides:
+                each = [_unpacked(items[int(r)].as_py()) for r in x]
+                sizes = np.array([len(e) for e in each])
+                packed.append(((np.concatenate(each), np.repeat(np.arange(len(each)), sizes)), sizes))
+            (x, n), (y, m) = packed[0], packed[-1]
+            shared = _overlaps(x, y, len(n), len(m))
+            linked = 100 * shared >= percent * (n[:, None] + m[None, :] - shared)
+            if inside:
+                linked = np.triu(linked, 1)
+            if counted:
+                out += [(col["key"][sides[0]], linked @ col["c"][sides[1]]), (col["key"][sides[1]], linked.T @ col["c"][sides[0]])]
+            else:
+                a, b = np.nonzero(linked)
+                a, b = col["key"][sides[0][a]], col["key"][sides[1][b]]
+                out.append((np.minimum(a, b), np.maximum(a, b)))
+        names = ["key", "n_links"] if counted else ["a", "b"]
+        return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *[o[i] for o in out]]), pa.int64()) for i in (0, 1)], names)
+
+    return sets.groupBy("work").applyInArrow(compare, "key long, n_links long" if counted else "a long, b long")
+
+
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """key, component, n and c (documents) of the classes that have a link."""
+    place = keep_broadcast(written(components(links).withColumnRenamed("node", "key")))
+    return written(members.join(place, "key").groupBy("key", "component").agg(F.first("n").alias("n"), F.count("*").alias("c")))
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, key, n; links between classes: a < b). All pairs of classes whose sets are similar enough, each once;
+    documents of one class have equal sets."""
+    with small_batches(docs.sparkSession):
+        members, some = _connect(docs, k, percent)
+        return members, written(_tiled(docs, _placed(members, some), members, k, percent, False))
+
+
+def _components(members: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, key, n_shingles and component_id of every document."""
     members = members.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     first = members.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return members.join(first, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links, the number of other documents that are similar enough, of every document."""
+    with small_batches(docs.sparkSession):
+        members, some = _connect(docs, k, percent)
+        linked = _tiled(docs, _placed(members, some), members, k, percent, True).groupBy("key").agg(F.sum("n_links").alias("others"))
+        equal = members.where("n > 0").groupBy("key").agg((F.count("*") - 1).alias("copies")).where("copies > 0")
+        links = written(linked.join(equal, "key", "full").select("key", (F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(0))).alias("n_links")))
+    tidy(docs.sparkSession)
+    return _components(members, some).join(keep_broadcast(links), "key", "left").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each component: the one with the smallest doc_id. Documents with a null doc_id or no words all stay,
     of rows that repeat a doc_id one stays."""
-    kept = groups(docs, k, percent).where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
+    kept = _components(*connect(docs, k, percent)).where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
     empty = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) == F.lit(False)
     whole = docs.join(keep_broadcast(pinned(kept)), "doc_id", "left_semi").where(~empty)
     once = whole.dropDuplicates(["doc_id"]) if docs.where(~empty).groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() else whole

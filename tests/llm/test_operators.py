@@ -109,6 +109,27 @@ def test_jaccard_equals_brute_force(spark, sf_dir, k, percent):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == similar(docs, k, percent)
 
 
+@pytest.mark.parametrize("k,percent,tile", [(4, 85, 7), (2, 40, 256)])
+def test_jaccard_links_equal_brute_force(spark, monkeypatch, k, percent, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    docs = [(i, t) for i, (_, t) in enumerate([*near_copies(), *near_copies()[:20], *[r[:2] for r in AWKWARD]])] + [(3, near_copies()[3][1]), (3, "a row of its own")]
+    sets = []
+    for _, t in docs:
+        w = words(t, low=True)
+        sets.append(frozenset(tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset())
+    each = sorted({s for s in sets if s}, key=repr)
+    pairs = {(i, j) for i, x in enumerate(each) for j, y in enumerate(each) if i != j and 100 * len(x & y) >= percent * len(x | y)}
+    size, number = collections.Counter(sets), {s: i for i, s in enumerate(each)}
+    want = collections.Counter()
+    for i, j in pairs:
+        want[i] += size[each[j]]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.n_links) for r in jaccard.groups(table, k, percent).collect())
+    assert got == sorted((d, len(s), want[number[s]] + size[s] - 1 if s else 0) for (d, _), s in zip(docs, sets))
+    links = [(r.a, r.b) for r in jaccard.join(table, k, percent)[1].collect()]
+    assert 2 * len(links) == len(pairs) and len(set(links)) == len(links) and all(a < b for a, b in links)
+
+
 def cut(docs):
     """n_bytes, n_removed, n_spans and digest of each row, by looking at every window."""
     first, out = {}, []
