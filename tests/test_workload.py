@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 
 import workload
@@ -19,3 +20,14 @@ def test_query(spark, sf_dir, name):
 
 def test_every_oracle_has_a_query():
     assert set(workload.ORACLES) <= set(workload.QUERIES)
+
+
+def test_local_regression_uses_all_dimensions(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    x, y = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows], float)
+    a = np.hstack([x, np.ones((len(x), 1))])
+    got = {r.query_id: r.prediction for r in workload.QUERIES["local_regression"](spark, sf_dir).collect()}
+    assert set(got) == {r.vec_id for r in rows}
+    for i in range(0, len(rows), 10):
+        w = np.sqrt(np.exp(-((x - x[i]) ** 2).sum(axis=1) / 2))
+        assert got[rows[i].vec_id] == pytest.approx(a[i] @ np.linalg.lstsq(a * w[:, None], y * w, rcond=None)[0], abs=1e-6)

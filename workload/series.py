@@ -235,9 +235,7 @@ def lookup_predict(spark, folder):
 
 @query()
 def local_regression(spark, folder):
-    e = V.table(spark, folder, "embeddings").withColumn("x", F.slice("embedding", 1, 4))
-    train = e.select(F.col("vec_id").alias("train_id"), "x", F.col("label").cast("double").alias("y"))
-    return learners.local_regression(e.select(F.col("vec_id").alias("query_id"), "x"), train, 4)
+    return learners.local_regression(*_labelled(spark, folder), 64)
 
 
 def _labelled(spark, folder):
