@@ -1,5 +1,7 @@
 """Registered queries against their SQL. A few by default; all with ALL_QUERIES=1."""
 
+import datetime
+import json
 import os
 
 import numpy as np
@@ -31,3 +33,12 @@ def test_local_regression_uses_all_dimensions(spark, sf_dir):
     for i in range(0, len(rows), 10):
         w = np.sqrt(np.exp(-((x - x[i]) ** 2).sum(axis=1) / 2))
         assert got[rows[i].vec_id] == pytest.approx(a[i] @ np.linalg.lstsq(a * w[:, None], y * w, rcond=None)[0], abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["pattern_matches", "pattern_windows_stream"])
+def test_patterns_see_both_dimensions(spark, tmp_path, name):
+    # both users' values make the peak; only the first one's k stays level
+    peak = [20.0, 0.0, 1.0, 3.0, 9.0, 3.0, 1.0, 0.0, 20.0, 5.0]
+    rows = [(10 * u + i, datetime.datetime(2024, 1, 1, 0, 0, i), u, "click", v, json.dumps({"k": (0, 97 * i % 50)[u - 1]})) for u in (1, 2) for i, v in enumerate(peak)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.event_id for r in workload.QUERIES[name](spark, str(tmp_path)).collect()} == {1}

@@ -270,8 +270,7 @@ SHAPE = [(i, [v, 0.0]) for i, v in enumerate([0.0, 1.0, 3.0, 9.0, 3.0, 1.0, 0.0]
 def pattern_matches(spark, folder):
     shape = spark.createDataFrame([("peak", float(i), v) for i, v in SHAPE], "name string, time double, value array<double>")
     found = patterns.load(shape, patterns.rates(1.5, 2))
-    smp = V.user_series(spark, folder).samples.withColumn("value", F.array(F.get("value", F.lit(0)), F.lit(0.0).cast("float")))
-    return patterns.match(smp, found, 0.25, 0.04)
+    return patterns.match(V.plane_series(spark, folder).samples, found, 0.25, 0.04)
 
 
 @query()
