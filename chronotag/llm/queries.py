@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronotag.llm import decontam, jaccard, langid, licenses, mixing, quality, rules, shards, suffixes, urls
+from chronotag.llm import decontam, infill, jaccard, langid, licenses, mixing, phrases, quality, rules, shards, suffixes, tokens, urls
 from chronotag.llm.common import table
 
 QUERIES: dict = {}
@@ -72,3 +72,28 @@ def op5_ngram_jaccard(spark, folder):
 @query
 def op10_suffix_dedup(spark, folder):
     return suffixes.digests(table(spark, folder, "documents"))
+
+
+@query
+def op11_infill(spark, folder):
+    return infill.digests(table(spark, folder, "documents"))
+
+
+ORACLES["op11_infill"] = infill.SQL
+
+
+@query
+def op12_token_counts(spark, folder, path=None):
+    if path is None:
+        import public_tokenizers
+        path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, folder, "documents")
+    return tokens.count(docs, path, tokens.frequent(docs, path))
+
+
+@query
+def op13_phrases(spark, folder):
+    return phrases.phrases(table(spark, folder, "documents"))
+
+
+ORACLES["op13_phrases"] = phrases.SQL
