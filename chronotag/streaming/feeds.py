@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from chronotag.operators.filters import Filter, matches, untestable
 
 EVENT = "struct<id:bigint,start_time:double,end_time:double,tags:array<struct<name:string,value:string>>>"
+#: Seconds (136 years) that event times are moved ahead by: Spark's watermark starts at 1970, and rows at or before it would count as late. pandas ends at 2262.
+AHEAD = 1 << 32
 CHANGES = f"seq bigint, op string, before {EVENT}, after {EVENT}"
 
 
@@ -57,7 +59,7 @@ def data_feed(samples: DataFrame, events: DataFrame, f: Filter) -> DataFrame:
 
 def with_lateness(stream: DataFrame, time: str, bound: str, keys: list[str] | None = None) -> DataFrame:
     """Drop rows more than `bound` behind the newest seen, and repeats of `keys` within it."""
-    stamped = stream.withColumn("_at", F.timestamp_micros((F.col(time) * F.lit(1e6)).cast("bigint"))).withWatermark("_at", bound)
+    stamped = stream.withColumn("_at", F.timestamp_micros((F.col(time) * F.lit(1e6)).cast("bigint") + AHEAD * 10 ** 6)).withWatermark("_at", bound)
     return stamped.dropDuplicatesWithinWatermark(keys) if keys else stamped
 
 

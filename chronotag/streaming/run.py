@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from chronotag.plans.durable import ensure_checkpoint_dir
+from chronotag.plans.durable import ensure_checkpoint_dir, pinned
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,6 +37,19 @@ def read_table(spark: SparkSession, folder: str, file_name: str, files_per_trigg
     return reader.parquet(folder)
 
 
+def in_batches(df: DataFrame, by: str, parts: int) -> DataFrame:
+    """The rows of a table as a stream of about `parts` batches that follow each other in order of `by`: as it would have arrived."""
+    spark = df.sparkSession
+    rows, folder = pinned(df), work_folder(spark, "batches")
+    cuts = sorted(set(rows.approxQuantile(by, [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
+    files = max(1, rows.rdd.getNumPartitions() // (len(cuts) + 1))
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):  # the folders are written one after the other
+        after = F.coalesce(F.col(by) > low, F.lit(False)) if low is not None else F.lit(True)
+        upto = F.coalesce(F.col(by) <= high, F.lit(low is None)) if high is not None else F.lit(True)
+        rows.where(after & upto).repartition(files).write.parquet(f"{folder}/part={i}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/part=*")
+
+
 def subscribe(changes: DataFrame, name: str, on_batch: Callable[[DataFrame, int], None], checkpoint: str | None = None,
               interval: str = "1 second", mode: str = "append") -> StreamingQuery:
     """Call `on_batch(rows, batch number)` for every batch of a stream until `unsubscribe`."""

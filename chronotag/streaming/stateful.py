@@ -6,7 +6,6 @@ state, which Spark keeps, checkpoints and moves between executors.
 
 from __future__ import annotations
 
-import json
 from itertools import product
 from typing import Iterator
 
@@ -20,16 +19,27 @@ from chronotag.functions import tags as T
 from chronotag.model import MAX_TIME
 from chronotag.operators.filters import Filter
 from chronotag.operators.patterns import _search
-from chronotag.streaming.run import use_state_store
+from chronotag.streaming.feeds import AHEAD, with_lateness
+from chronotag.streaming.run import newest, use_state_store
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
 
 
-def _run(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "append") -> DataFrame:
+def _run(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "append", timed: bool = False) -> DataFrame:
     use_state_store(df.sparkSession)
-    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, "None")
+    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, "EventTime" if timed else "None")
+
+
+def _watermark(timer_values) -> float:
+    """Seconds up to which everything has arrived."""
+    return timer_values.getCurrentWatermarkInMs() / 1000.0 - AHEAD
+
+
+def _timer(handle: StatefulProcessorHandle, time: float) -> None:
+    """Wake up once everything up to `time` has arrived."""
+    handle.registerTimer(int(np.ceil((time + AHEAD) * 1000)) + 1)
 
 
 class _Keyed(StatefulProcessor):
@@ -40,33 +50,75 @@ class _Keyed(StatefulProcessor):
 # --- sequences of states --------------------------------------------------------------------------
 
 class _States(_Keyed):
+    def __init__(self, timed: bool):
+        self.timed = timed
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "info string, start_time double")
+        self.handle = handle
+        self.open = handle.getValueState("open", "no bigint, info string, start_time double")  # after all settled reports
+        self.waiting = handle.getListState("waiting", "time double, info string")  # reports an earlier one may still overtake
+        self.told = handle.getValueState("told", "no bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        current = self.open.get() if self.open.exists() else None
-        info, start = (current[0], current[1]) if current else (None, None)
-        closed = []
-        df = _ordered(rows, ["time"])
-        for now, time in zip(df["info"], df["time"]):
-            if info is not None and set(T.parse(now)) <= set(T.parse(info)):
-                continue  # the open state says the same or more
-            if info is not None:
-                closed.append((key[0], info, start, time, False))
-            info, start = now, time
-        self.open.update((info, start))
-        closed.append((key[0], info, start, MAX_TIME, True))
-        yield pd.DataFrame(closed, columns=["key", "info", "start_time", "end_time", "open"])
-
+        new = [(float(r.time), r.info) for df in rows for r in df[["time", "info"]].itertuples()]
+        yield self._tell(key, new, timerValues)
 
-def state_sequence(reports: DataFrame) -> DataFrame:
-    """Reports (key, time, info tagset text) as events, while they arrive: ended ones once, with
-    open = false, and after every batch the key's open one, with open = true.
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._tell(key, [], timerValues)
 
-    A report continues the open event when its tags are among that event's tags.
+    @staticmethod
+    def _walk(state, reports, out):
+        for time, info in reports:
+            if state and set(T.parse(info)) <= set(T.parse(state[1])):
+                continue  # the open state says the same or more
+            if state:
+                out.append((*state, time, False))
+            state = (state[0] + 1 if state else 0, info, time)
+        return state
+
+    def _tell(self, key, new, timerValues):
+        waiting = [(r[0], r[1]) for r in self.waiting.get()] if self.timed and self.waiting.exists() else []
+        waiting = sorted(waiting + new, key=lambda r: r[0])
+        until = _watermark(timerValues) if self.timed else np.inf
+        settled = sum(t <= until for t, _ in waiting)
+        out = []
+        state = self._walk(tuple(self.open.get()) if self.open.exists() else None, waiting[:settled], out)
+        if state:
+            self.open.update(state)
+        if self.timed:
+            if waiting[settled:]:
+                self.waiting.put(waiting[settled:])
+                _timer(self.handle, waiting[settled][0])
+            elif self.waiting.exists():
+                self.waiting.clear()
+        state = self._walk(state, waiting[settled:], out)
+        if state:
+            out.append((*state, MAX_TIME, True))
+            # states an overtaking report has made one of are taken back
+            told = self.told.get()[0] if self.told.exists() else -1
+            out += [(no, None, None, None, False) for no in range(state[0] + 1, told + 1)]
+            self.told.update((state[0],))
+        return pd.DataFrame([(key[0], *r) for r in out], columns=["key", "no", "info", "start_time", "end_time", "open"])
+
+
+def state_sequence(reports: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Reports (key, time, info tagset text) as events, while they arrive: versions of (key, no, info, start_time, end_time,
+    open), where `no` counts a key's events. `current_states` takes the newest ones.
+
+    A report continues the open event when its tags are among that event's tags. Without `lateness` reports arrive in order of time,
+    so that an ended event is told once, and after every batch the open one. With it (such as "10 minutes") a report
+    may come that much behind the newest one: it is put in its place, events that change by it are told again, and what turns out not
+    to be an event is told with null info. Only reports within the bound are kept for that.
     """
-    return _run(reports.select("key", "time", "info"), ["key"], _States(),
-                "key string, info string, start_time double, end_time double, open boolean")
+    rows = reports.select("key", "time", "info")
+    if lateness:
+        rows = with_lateness(rows, "time", lateness)
+    return _run(rows, ["key"], _States(lateness is not None), "key string, no bigint, info string, start_time double, end_time double, open boolean", timed=lateness is not None)
+
+
+def current_states(told: DataFrame) -> DataFrame:
+    """The events of a replayed `state_sequence`: the newest version of each."""
+    return newest(told, ["key", "no"]).where("info is not null")
 
 
 # --- order ---------------------------------------------------------------------------------------
@@ -151,83 +203,115 @@ def _value(samples: list, time: float) -> list[float] | None:
     return [float(np.float32(x + (y - x) * ((time - t1) / (t2 - t1)))) for x, y in zip(a, b)]
 
 
+#: What is kept of an event: its roles, its span and its last two samples.
+ONLINE_EVENT = "roles array<int>, start_time double, end_time double, t1 double, v1 array<float>, t2 double, v2 array<float>"
+
+
 class _Online(_Keyed):
-    def __init__(self, n_inputs: int, n_groups: int):
-        self.n_inputs, self.n_groups = n_inputs, n_groups
+    def __init__(self, n_inputs: int, n_groups: int, timed: bool):
+        self.n_inputs, self.n_groups, self.timed = n_inputs, n_groups, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # one entry per open event: roles, span and last two samples; one per running instance
-        self.events = handle.getMapState("events", "id bigint", "state string")
-        self.instances = handle.getMapState("instances", "ids string", "start double")
+        self.handle = handle
+        self.events = handle.getMapState("events", "id bigint", ONLINE_EVENT)
+        self.instances = handle.getMapState("instances", "ids string", "start_time double")
+
+    def _load(self):
+        """Events as [roles, start, end, samples] by id and running instances (ids: start), as they were at the end of the last batch."""
+        events = {}
+        for (id_,), (roles, start, end, t1, v1, t2, v2) in self.events.iterator():
+            events[id_] = [list(roles), start, end, [(t, list(v)) for t, v in ((t1, v1), (t2, v2)) if v is not None]]
+        running = {tuple(map(int, k[0].split(","))): v[0] for k, v in self.instances.iterator()}
+        return events, running, set(events), set(running)
+
+    def _save(self, events, running, had, ran, touched):
+        for id_ in had - set(events):
+            self.events.removeKey((id_,))
+        for id_ in touched & set(events):
+            roles, start, end, samples = events[id_]
+            (t1, v1), (t2, v2) = [*samples, (None, None), (None, None)][:2]
+            self.events.updateValue((id_,), (roles, start, end, t1, v1, t2, v2))
+        for ids in ran - set(running):
+            self.instances.removeKey((",".join(map(str, ids)),))
+        for ids in set(running) - ran:
+            self.instances.updateValue((",".join(map(str, ids)),), (running[ids],))
+
+    @staticmethod
+    def _close(running, id_, time, out):
+        for ids in [i for i in running if id_ in i]:
+            out.append(("done", ids, time, [], []))
+            del running[ids]
+
+    def _rows(self, key, out):
+        return pd.DataFrame([{
+            "key": key[0], "kind": kind, "instance_id": ",".join(map(str, ids)), "ids": list(ids), "time": time,
+            "values": vals, "members": members} for kind, ids, time, vals, members in out],
+            columns=["key", "kind", "instance_id", "ids", "time", "values", "members"])
 
     def handleInputRows(self, key, rows, timerValues):
-        events = {k[0]: json.loads(v[0]) for k, v in self.events.iterator()}
-        running = {tuple(json.loads(k[0])): v[0] for k, v in self.instances.iterator()}
-        before_events, before_running = set(events), set(running)
+        events, running, had, ran = self._load()
         touched, out = set(), []
-
-        def close(id_, time):
-            for ids in [i for i in running if id_ in i]:
-                out.append(("done", ids, time, [], []))
-                del running[ids]
-
+        leads = {}
+        for ids in running:
+            leads.setdefault(ids[0], []).append(ids)
         for r in _ordered(rows, ["seq"]).itertuples():
             id_ = int(r.id)
             if r.change in ("added", "modified"):
-                known = events.get(id_, {"samples": []})
-                events[id_] = {**known, "roles": [int(x) for x in r.roles], "s": float(r.start_time), "e": float(r.end_time)}
+                events[id_] = [[int(x) for x in r.roles], float(r.start_time), float(r.end_time), events[id_][3] if id_ in events else []]
                 touched.add(id_)
                 if r.change == "added":
-                    self._begin(events, running, float(r.start_time), out)
+                    for ids in self._begin(events, running, float(r.start_time)):
+                        running[ids] = float(r.start_time)
+                        leads.setdefault(ids[0], []).append(ids)
+                        out.append(("init", ids, float(r.start_time), [], []))
                 elif r.end_time < MAX_TIME:
-                    close(id_, float(r.end_time))
+                    self._close(running, id_, float(r.end_time), out)
+                if self.timed and r.end_time < MAX_TIME:
+                    _timer(self.handle, float(r.end_time))
             elif r.change == "removed" and id_ in events:
-                close(id_, float(r.end_time))
+                self._close(running, id_, float(r.end_time), out)
                 events.pop(id_)
             elif r.change == "data_added" and id_ in events:
-                e = events[id_]
-                e["samples"] = (e["samples"] + [[float(r.time), [float(v) for v in r.value]]])[-2:]
+                events[id_][3] = (events[id_][3] + [(float(r.time), [float(v) for v in r.value])])[-2:]
                 touched.add(id_)
-                for ids in running:
-                    if ids[0] == id_:
+                for ids in leads.get(id_, ()):
+                    if ids in running:
                         self._observe(events, ids, float(r.time), out)
-
-        for id_ in before_events - set(events):
-            self.events.removeKey((id_,))
-        for id_ in touched & set(events):
-            self.events.updateValue((id_,), (json.dumps(events[id_]),))
-        for ids in before_running - set(running):
-            self.instances.removeKey((json.dumps(list(ids)),))
-        for ids in set(running) - before_running:
-            self.instances.updateValue((json.dumps(list(ids)),), (running[ids],))
-        yield pd.DataFrame([{
-            "key": key[0], "kind": kind, "instance_id": ",".join(map(str, ids)), "ids": list(ids), "time": time,
-            "values": vals, "members": members} for kind, ids, time, vals, members in out],
-            columns=["key", "kind", "instance_id", "ids", "time", "values", "members"])
-
-    def _begin(self, events, running, time, out):
-        sides = [[i for i, e in events.items() if role in e["roles"] and e["s"] <= time <= e["e"]]
-                 for role in range(self.n_inputs)]
+        self._save(events, running, had, ran, touched)
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Everything up to the watermark has arrived: events that ended before take part in nothing more."""
+        events, running, had, ran = self._load()
+        out, until = [], _watermark(timerValues)
+        for id_ in sorted((i for i, e in events.items() if e[2] < until), key=lambda i: (events[i][2], i)):
+            self._close(running, id_, events[id_][2], out)
+            del events[id_]
+        self._save(events, running, had, ran, set())
+        yield self._rows(key, out)
+
+    def _begin(self, events, running, time):
+        """Sets of different events, one for each input, that go on at `time` and are not known yet."""
+        sides = [[i for i, e in events.items() if role in e[0] and e[1] <= time <= e[2]] for role in range(self.n_inputs)]
         known = {frozenset(i) for i in running}
         for ids in product(*sides):
             if len(set(ids)) == len(ids) and frozenset(ids) not in known:
                 known.add(frozenset(ids))
-                running[ids] = time
-                out.append(("init", ids, time, [], []))
+                yield ids
 
     def _observe(self, events, ids, time, out):
-        if any(not events[i]["samples"] for i in ids):
+        if any(i not in events or not events[i][3] for i in ids):
             return  # every input needs a value
-        values = [_value(events[i]["samples"], time) if events[i]["s"] <= time <= events[i]["e"] else None for i in ids]
+        values = [_value(events[i][3], time) if events[i][1] <= time <= events[i][2] else None for i in ids]
         members = []
         for g in range(self.n_groups):
-            for i, e in events.items():
-                if self.n_inputs + g in e["roles"] and e["s"] <= time <= e["e"] and e["samples"]:
-                    members.append({"group_no": g, "member_id": i, "value": _value(e["samples"], time)})
+            for i, (roles, start, end, samples) in events.items():
+                if self.n_inputs + g in roles and start <= time <= end and samples:
+                    members.append({"group_no": g, "member_id": i, "value": _value(samples, time)})
         out.append(("observe", ids, time, values, members))
 
 
-def online_instances(changes: DataFrame, inputs: list[Filter], groups: list[Filter] = (), key=None) -> DataFrame:
+def online_instances(changes: DataFrame, inputs: list[Filter], groups: list[Filter] = (), key=None, lateness: str | None = None, at=None) -> DataFrame:
     """Co-occurrences of the inputs as events and samples arrive.
 
     Input as for `live_view`, with tags as an array. Output rows: kind `init` when a new set of events goes on at
@@ -236,17 +320,25 @@ def online_instances(changes: DataFrame, inputs: list[Filter], groups: list[Filt
     the group members going on), `done` when one of its events ends. `key` is a column that all
     events of an instance share, such as the tag they are bound by; keys are worked on in
     parallel.
+
+    With `lateness` (such as "1 hour") events are forgotten once they ended that long before the newest change, and instances they are
+    in are done; changes that come later are dropped. Without it only removed events are forgotten. `at` is the time of a change: that of
+    its sample, its event's start when it is added, its event's end when that is known, otherwise null (never late).
     """
     every = [*inputs, *groups]
     tags = F.col("tags")
     roles = F.array_compact(F.array(*[F.when(f.tag_test(tags) & f.time_test(F.col("start_time"), F.col("end_time")), F.lit(i))
                                       for i, f in enumerate(every)]))
+    default = F.coalesce(F.when(F.col("change") == "data_added", F.col("time")), F.when(F.col("change") == "added", F.col("start_time")),
+                         F.when(F.col("end_time") < MAX_TIME, F.col("end_time")))
     df = changes.select((key if key is not None else F.lit("")).alias("key"), "seq", "id", "change", "start_time", "end_time",
-                        "time", "value", roles.alias("roles"))
+                        "time", "value", roles.alias("roles"), (at if at is not None else default).alias("at"))
     df = df.where((F.col("change") == "data_added") | (F.size("roles") > 0))
-    return _run(df, ["key"], _Online(len(inputs), len(groups)),
+    if lateness:
+        df = with_lateness(df, "at", lateness)
+    return _run(df, ["key"], _Online(len(inputs), len(groups), lateness is not None),
                 "key string, kind string, instance_id string, ids array<bigint>, time double, values array<array<float>>, "
-                "members array<struct<group_no:int,member_id:bigint,value:array<float>>>")
+                "members array<struct<group_no:int,member_id:bigint,value:array<float>>>", timed=lateness is not None)
 
 
 # --- patterns as samples arrive ---------------------------------------------------------------------------
