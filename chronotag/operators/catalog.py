@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chronotag.functions import tags as T
 from chronotag.model import Store
+from chronotag.plans.bounded import small_side
+from chronotag.plans.durable import pinned
+from chronotag.plans.ordered import Ordered
 
 
 def event_tags(events: DataFrame, *also: str) -> DataFrame:
@@ -95,47 +98,73 @@ def values_under(events: DataFrame, path: str, name: str, limit: int | None = No
 
 
 def sorted_tagsets(events: DataFrame, names: list[str], where: str | None = None,
-                   count: bool = False, descending: bool = False) -> DataFrame:
-    """Distinct value combinations in order of the names.
+                   count: bool = False, descending: bool = False, rank: bool = False) -> DataFrame:
+    """Distinct value combinations in order of the names, with `rank` their place in it (from 1).
 
     A column is compared as numbers when all of its values are numbers.
     """
     found = combinations(events, names, where)
     keys = [f"c{i}" for i in range(len(names))]
     numeric = found.agg(*[F.bool_and(F.col(k).try_cast("double").isNotNull()).alias(k) for k in keys]).first()
-    order = []
-    for k in keys:
-        col = F.col(k).cast("double") if numeric[k] else F.col(k)
-        order.append(col.desc() if descending else col.asc())
-    return found.orderBy(*order).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "tags",
-                                        *(["n"] if count else []))
+    cols = [F.col(k).cast("double") if numeric[k] else F.col(k) for k in keys]
+    if rank:
+        found = ranked(found.withColumns({f"_o{i}": c for i, c in enumerate(cols)}), [f"_o{i}" for i in range(len(keys))], descending)
+    return found.orderBy(*[c.desc() if descending else c.asc() for c in cols]).select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], "tags", *(["n"] if count else []), *(["rank"] if rank else []))
 
 
-def order_by_tags(df: DataFrame, names: list[str] | None = None, descending: bool = False, *then: str) -> DataFrame:
-    """Order rows by tagset: by the chosen names, or by all names.
+def ranked(df: DataFrame, order: list[str], descending: bool = False) -> DataFrame:
+    """`df` with `rank`, its rows' place (from 1) in a total order, whole or by range partitions with carried counts."""
+    out = Ordered(df.withColumn("_all", F.lit(0)), "_all", order).row_number("rank").done().drop("_all")
+    if descending:
+        n = F.broadcast(out.agg(F.count(F.lit(1)).alias("_n")))  # one row
+        out = out.join(n, F.col("_n") > 0).withColumn("rank", F.col("_n") + 1 - F.col("rank")).drop("_n")
+    return out
 
-    For a name, a missing value comes first, then fewer values before more, then the values;
-    they are compared as numbers when every value of the name is a number.
+
+def tagset_order(df: DataFrame, names: list[str] | None = None, names_first: bool = False) -> DataFrame:
+    """`df` with `_order`, a column that compares as tagsets do.
+
+    By chosen names, or by all names of the table, one after the other: a missing name comes first, then the name's sorted values are
+    compared one by one, and where they are equal so far fewer values come first. With `names_first` the sorted names of two sets are
+    compared in the same way before the values of each name are. Values of a name are compared as numbers when all of them are numbers.
+
+    Keys are made once per distinct tagset and from its own tags, so neither the number of names in the table nor that of the chosen
+    ones makes plans or rows wider.
     """
+    text = T.to_text(F.col("tags"))
+    pairs = df.select(text.alias("_text"), "tags").dropDuplicates(["_text"]).select("_text", F.explode("tags").alias("p")).select("_text", "p.name", "p.value")
+    if names is not None:
+        places = df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(names))], "_name string, _place long")
+        pairs = pairs.join(small_side(places), F.col("name") == F.col("_name")).drop("_name")
+    pairs = pinned(pairs)
+    kinds = pairs.groupBy(F.col("name").alias("_name")).agg(F.bool_and(F.col("value").try_cast("double").isNotNull()).alias("_numeric"))
     if names is None:
-        names = [r[0] for r in tag_names(df).limit(1001).collect()]
-        if len(names) > 1000:
-            raise ValueError("too many tag names to order by all of them; choose some")
-    numeric = _numeric_names(df, names)
-    order = []
-    for n in names:
-        vals = T.values(F.col("tags"), n)
-        key = F.array_sort(vals.cast("array<double>")) if n in numeric else F.array_sort(vals)
-        for part in (F.size(vals), key):
-            order.append(part.desc() if descending else part.asc())
-    return df.orderBy(*order, *then)
-
-
-def _numeric_names(df: DataFrame, names: list[str]) -> set[str]:
-    tests = [F.bool_and(F.forall(T.values(F.col("tags"), n), lambda v: v.try_cast("double").isNotNull())).alias(f"_{i}")
-             for i, n in enumerate(names)]
-    row = df.agg(*tests).first() if names else None
-    return {n for i, n in enumerate(names) if row[f"_{i}"]}
+        kinds = ranked(kinds, ["_name"]).withColumnRenamed("rank", "_place")
+    pairs = pairs.join(small_side(pinned(kinds)), F.col("name") == F.col("_name")).drop("_name")
+    value = F.struct(F.when(F.col("_numeric"), F.col("value").try_cast("double")).alias("number"), F.when(~F.col("_numeric"), F.col("value")).alias("text"))
+    # what is collected is as long as one tagset
+    per_name = pairs.groupBy("_text", "_place").agg(F.sort_array(F.collect_list(value)).alias("values"))
+    if names_first:
+        entries = F.sort_array(F.collect_list(F.struct("_place", "values")))
+        key = per_name.groupBy("_text").agg(entries.alias("_e")).select("_text", F.struct(F.col("_e._place").alias("names"), F.col("_e.values").alias("values")).alias("_order"))
+    else:  # of two sets the one that has the earlier name is the greater: places count down
+        entries = F.sort_array(F.collect_list(F.struct((-F.col("_place")).alias("place"), "values")), asc=False)
+        key = per_name.groupBy("_text").agg(entries.alias("_order"))
+    key = key.withColumnRenamed("_text", "_key")
+    # a set without any of the names is null and comes first
+    return df.withColumn("_text", text).join(key, F.col("_text") == F.col("_key"), "left").drop("_text", "_key")
+
+
+def order_by_tags(df: DataFrame, names: list[str] | None = None, descending: bool = False, *then: str, names_first: bool = False) -> DataFrame:
+    """Rows in order of their tagsets (see `tagset_order`), equal ones in order of the columns `then`."""
+    key = F.col("_order")
+    return tagset_order(df, names, names_first).orderBy(key.desc() if descending else key.asc(), *then).drop("_order")
+
+
+def rank_by_tags(df: DataFrame, names: list[str] | None = None, then: tuple[str, ...] = ("start_time", "id"), names_first: bool = False) -> DataFrame:
+    """`df` with `rank`, the place (from 1) of each row in the order of tagsets; `then` makes it a total order."""
+    return ranked(tagset_order(df, names, names_first), ["_order", *then]).drop("_order")
 
 
 def tagset_dictionary(events: DataFrame) -> DataFrame:

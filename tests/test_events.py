@@ -357,3 +357,36 @@ def test_streams_read_folders_of_files(spark, tmp_path):
     from chronotag.streaming import run
     spark.range(30).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     assert run.replay(run.read_table(spark, str(tmp_path), "events.parquet", 1)).count() == 30
+
+
+def test_tagset_order_by_the_rule(spark):
+    import random
+    rng = random.Random(12)
+    names = [f"n{i}" for i in range(10_000)]
+    sets = [sorted({(rng.choice(["a", "b", "c"]), rng.choice(["1", "2", "10", "-3"]) if rng.random() < 0.9 else "x") for _ in range(rng.randrange(4))}) for _ in range(80)]
+    sets = [[(n, v) for n, v in s if n != "b" or v != "x"] for s in sets]  # b has numbers only
+    sets += [[(n, "7")] for n in names]  # one name each: more names than a plan could hold
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id long, tags array<struct<name:string,value:string>>")
+
+    def values(s, name):
+        number = all(v != "x" for t in sets for n, v in t if n == name)
+        own = sorted(float(v) if number else v for n, v in s if n == name)
+        return (1, own) if own else (0, [])  # a missing name comes first
+
+    def by_all(i):
+        own = sorted({n for n, _ in sets[i]})
+        return own, [values(sets[i], n) for n in own], i
+    want = sorted(range(len(sets)), key=by_all)
+    assert [r.id for r in catalog.order_by_tags(df, None, False, "id", names_first=True).collect()] == want
+    assert {r.id: r["rank"] for r in catalog.rank_by_tags(df, None, ("id",), names_first=True).collect()} == {i: k + 1 for k, i in enumerate(want)}
+    every, few = sorted({n for s in sets[:81] for n, _ in s}), df.where("id < 81")
+    got = [r.id for r in catalog.order_by_tags(few, None, False, "id").collect()]
+    assert got == sorted(range(81), key=lambda i: ([values(sets[i], n) for n in every], i))
+    some = ["c", "zz", "a", "n17"]
+    want = sorted(range(len(sets)), key=lambda i: ([values(sets[i], n) for n in some], i))
+    assert [r.id for r in catalog.order_by_tags(df, some, False, "id").collect()] == want
+    spark.conf.set("chronotag.maxRowsPerKey", "4000")  # several range partitions
+    try:
+        assert {r.id: r["rank"] for r in catalog.rank_by_tags(df, some, ("id",)).collect()} == {i: k + 1 for k, i in enumerate(want)}
+    finally:
+        spark.conf.unset("chronotag.maxRowsPerKey")

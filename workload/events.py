@@ -233,11 +233,23 @@ def drill_down_values(spark, folder):
 @query(f"""WITH {V.EV} SELECT k, type, 'k=' || k || ',type=' || type AS tags, count(*) AS n, row_number() OVER (ORDER BY CAST(k AS INT), type) AS rank
     FROM ev GROUP BY k, type""")
 def sorted_tagsets(spark, folder):
-    df = catalog.sorted_tagsets(V.events(spark, folder), ["k", "type"], count=True)
-    # number the rows by the same order
+    return tag_text(catalog.sorted_tagsets(V.events(spark, folder), ["k", "type"], count=True, rank=True))
 
-    keyed = df.withColumns({"_all": F.lit(0), "_k": F.col("k").cast("int")})
-    return tag_text(Ordered(keyed, "_all", ["_k", "type"]).row_number("rank").done().drop("_all", "_k"))
+
+_ORD_SETS = f"""{V.ORD}, sets AS (SELECT id, start_time, cust, priority, status, list_sort(coalesce((SELECT list(flag) FROM flags f WHERE f.id = ord.id), [])) AS flags FROM ord)"""
+
+
+@query(f"""WITH {_ORD_SETS} SELECT id, row_number() OVER (ORDER BY len(flags) = 0, cust, flags, priority, status, start_time, id) AS rank FROM sets""")
+def tagset_rank(spark, folder):
+    # by all names: cust, flag (none or several), priority, status; whoever has flags has the lesser names
+    return catalog.rank_by_tags(V.orders(spark, folder), names_first=True).select("id", "rank")
+
+
+@query(f"""WITH {_ORD_SETS} SELECT id, row_number() OVER (ORDER BY status, flags, start_time, id) AS rank FROM sets""")
+def tagset_rank_by_names(spark, folder):
+    # by chosen names, some of which no order has: an order without flags comes first
+    names = [f"unused{i}" for i in range(3000)] + ["status", "flag"]
+    return catalog.rank_by_tags(V.orders(spark, folder), names).select("id", "rank")
 
 
 @query(f"WITH {V.EV} SELECT hash_text AS text FROM (SELECT DISTINCT tags AS hash_text FROM ev)")
