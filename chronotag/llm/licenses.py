@@ -18,10 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINES = r"[.!?;:]+(?:[ \t\n\r]|\z)|\n"
 PARAGRAPHS = r"[.!?;:]+(?:[ \t\n\r]|\z)|\n[ \t\r]*\n"
-#: Used by the SQL only: it passes over texts without one of these, known sentences or not.
-HINT = r"(?i)licen[sc]|copyright|permission is hereby|redistribution|warrant|public domain|spdx"
 MENTION = r"(^| )licen[sc](e|es|ed|ing)( |$)"
 
 #: Sentences of public licence texts and notices, normalised, with their identifiers.
@@ -86,7 +83,7 @@ SPELLED = {
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
-#: What is looked up. The table above, which the SQL is made of, takes 'or later' for 'only'.
+#: What is looked up: 'or later' is not 'only'.
 KNOWN = SENTENCES | {"spdx license identifier gpl 3 0 or later": "gpl3-grant"}
 #: Stands for a sentence end in a normalised text.
 END = "\u0001"
@@ -138,13 +135,18 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(ended, f"[^a-z0-9\n{END}]+", " ")
 
 
-def pattern(known) -> str:
-    """Finds the sentences of `known` in a normalised text, from one end of a sentence or line to another, the longest first."""
+def spellings(known) -> str:
+    """One pattern for the sentences of `known` in a normalised text, the longest first."""
     found = set()
     for s in known:
         parts = [plain(x).split() for x in re.split(PARAGRAPHS.replace(r"\z", r"\Z"), SPELLED.get(s, s))]
         found.add(f"[ \n{END}]+".join("[ \n]+".join(x) for x in parts if x))
-    return f"(?<![^\n{END}]) ?(?:" + "|".join(sorted(found - {""}, key=lambda x: (-len(x), x))) + f")(?= ?(?:[\n{END}]|\\z))"
+    return "|".join(sorted(found - {""}, key=lambda x: (-len(x), x)))
+
+
+def pattern(known) -> str:
+    """Finds the sentences of `known` from one end of a sentence or line to another."""
+    return f"(?<![^\n{END}]) ?(?:{spellings(known)})(?= ?(?:[\n{END}]|\\z))"
 
 
 def hint(known) -> str:
@@ -180,25 +182,21 @@ def scan(docs: DataFrame, known=None, rules=RULES) -> DataFrame:
 
 
 def _sql() -> str:
-    known = "MAP {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items()) + "}"
-
-    def cut(how):
-        return (f"list_filter(list_transform(string_split_regex(text, '{how}'), lambda s: trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), "
-                "'[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '')")
-
-    def ids(name):
-        return f"list_filter(list_transform({name}, lambda s: {known}[s]), lambda x: x IS NOT NULL)"
-
-    steps = "SELECT doc_id, n_unknown, ids, CASE WHEN len(ids) > 0 THEN ',' || array_to_string(ids, ',,') || ',' ELSE '' END AS rest, []::VARCHAR[] AS names FROM picked"
+    """DuckDB has no look-around: every line and sentence end is doubled, so that two sentences side by side have an end each."""
+    known = "MAP {" + ", ".join(f"'{s}': '{i}'" for s, i in KNOWN.items()) + "}"
+    end, ends = "' || chr(1) || '", "[\\n\\x01]"
+    find = f"{ends} ?(?:{spellings(KNOWN)}) ?{ends}".replace(END, "\\x01").replace("\n", "\\n")
+    steps = "SELECT doc_id, n_unknown, ids, CASE WHEN len(ids) > 0 THEN ',' || array_to_string(ids, ',,') || ',' ELSE '' END AS rest, []::VARCHAR[] AS names FROM named"
     for name, p in RULES:
         p = _pattern(p)
         steps = (f"SELECT doc_id, n_unknown, ids, replace(rest, '{p}', '') AS rest, CASE WHEN contains(rest, '{p}') AND NOT list_contains(names, '{name}') "
                  f"THEN list_append(names, '{name}') ELSE names END AS names FROM ({steps})")
     return f"""
-WITH cut AS (SELECT doc_id, {cut(LINES)} AS lines, {cut(PARAGRAPHS)} AS paragraphs FROM documents WHERE regexp_matches(text, '{HINT}')),
-named AS (SELECT doc_id, lines, {ids('lines')} AS a, {ids('paragraphs')} AS b FROM cut),
-picked AS (SELECT doc_id, CASE WHEN len(a) >= len(b) THEN a ELSE b END AS ids,
-             len(list_filter(lines, lambda s: regexp_matches(s, '{MENTION}') AND {known}[s] IS NULL))::BIGINT AS n_unknown FROM named)
+WITH ended AS (SELECT doc_id, regexp_replace(replace(translate(text, '{UPPER}', '{LOWER}'), chr(1), ' '), '{PARAGRAPHS}', chr(1), 'g') AS t FROM documents),
+doubled AS (SELECT doc_id, chr(1) || regexp_replace(regexp_replace(t, '[^a-z0-9\\n\\x01]+', ' ', 'g'), '({ends})', '\\1\\1', 'g') || chr(1) AS t FROM ended),
+named AS (
+  SELECT doc_id, list_transform(regexp_extract_all(t, '{find}'), lambda s: {known}[trim(regexp_replace(s, '[ \\n\\x01]+', ' ', 'g'))]) AS ids,
+         len(list_filter(string_split_regex(regexp_replace(t, '{find}', '{end}', 'g'), '{ends}'), lambda s: regexp_matches(s, '{MENTION}')))::BIGINT AS n_unknown FROM doubled)
 SELECT doc_id, array_to_string(names, ';') AS licenses, array_to_string(ids, ';') AS sentences, n_unknown FROM ({steps}) WHERE len(ids) > 0 OR n_unknown > 0"""
 
 
