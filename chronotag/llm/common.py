@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronotag.plans.durable import ensure_checkpoint_dir, pinned
 
-__all__ = ["bounded_ids", "held_out", "keep_broadcast", "pinned", "running", "small_batches", "table", "tidy", "word_count", "written"]
+__all__ = ["bounded_ids", "held_out", "keep_broadcast", "pinned", "running", "small_batches", "spare", "table", "tidy", "word_count", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of ids (8 bytes each) up to which a set of ids is sent to every executor; beyond it Spark shuffles.
@@ -22,6 +22,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spare(columns, *names: str) -> list[str]:
+    """A column name that `columns` does not use for each of `names`."""
+    used, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in used:
+            n = "_" + n
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of `df`, computed once and kept as compressed columns in the checkpoint folder: smaller than `pinned` where
     rows hold small numbers and repeated keys. Column names must differ."""

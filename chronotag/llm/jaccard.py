@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotag.llm import arrays as A
-from chronotag.llm.common import keep_broadcast, pinned, small_batches, tidy, written
+from chronotag.llm.common import keep_broadcast, pinned, small_batches, spare, tidy, written
 from chronotag.llm.components import components
 
 BUCKET_BITS, CHUNKS = 17, 64
@@ -362,10 +362,20 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each component: the one with the smallest doc_id. Documents with a null doc_id or no words all stay,
-    of rows that repeat a doc_id one stays."""
-    kept = _components(*connect(docs, k, percent)).where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    empty = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) == F.lit(False)
-    whole = docs.join(keep_broadcast(pinned(kept)), "doc_id", "left_semi").where(~empty)
-    once = whole.dropDuplicates(["doc_id"]) if docs.where(~empty).groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() else whole
-    return once.union(docs.where(empty | F.col("doc_id").isNull()))
+    """`docs` with one row of each component: that of the smallest doc_id (null last), among rows of one id that of the smallest hash of its
+    text, among equal ones one. Ids need not differ: a text is only left out for another one that stays. Documents without words all stay."""
+    text = F.coalesce("text", F.lit(""))
+    mark = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5(text)).alias("text"))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(mark.alias("doc_id"), "text")
+    members, links = connect(rows, k, percent)
+    kept = _components(members, links).where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select(
+        F.col("doc_id.none").alias("none"), F.col("doc_id.id").alias("id"), F.col("doc_id.text").alias("hash")).distinct()
+    name, = spare(docs.columns, "mark")
+    marked = docs.withColumn(name, mark)
+    here = F.col(name)
+    kept = kept.select(*[F.col(c).alias(n) for c, n in zip(("none", "id", "hash"), spare([*docs.columns, name], "none", "id", "hash"))])
+    on = (here["none"] == kept[kept.columns[0]]) & here["id"].eqNullSafe(kept[kept.columns[1]]) & (here["text"] == kept[kept.columns[2]])
+    whole = marked.where(~wordless).join(keep_broadcast(pinned(kept)), on, "left_semi")
+    repeated = members.where("n > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return (whole.dropDuplicates([name]) if repeated else whole).drop(name).union(docs.where(wordless))

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from chronotag.llm import QUERIES, infill, phrases, tokens
+from chronotag.llm import QUERIES, infill, jaccard, licenses, phrases, tokens
 from chronotag.llm.common import table
 from tests.llm.test_operators import AWKWARD, DOCS, documents
 
@@ -157,3 +157,79 @@ def test_paths_are_unary_and_hold_every_edge(spark):
 def test_phrases_of_empty_tables(spark, awkward):
     assert phrases.phrases(awkward.limit(0)).count() == 0
     assert phrases.phrases(spark.createDataFrame([(None, None), ("en", ""), ("en", " .,; ")], "lang string, text string")).count() == 0
+
+
+def first_of_each(rows, k, percent):
+    """The rows that stay, by comparing all pairs: of each component the least (id, null last, hash of the text)."""
+    def shingles(text):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode())
+        return frozenset(tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+    sets, left, out = [shingles(t) for _, t in rows], set(range(len(rows))), []
+    out += [rows[i] for i in range(len(rows)) if not sets[i]]
+    left -= {i for i in left if not sets[i]}
+    while left:
+        group, todo = set(), [min(left)]
+        while todo:
+            i = todo.pop()
+            if i in left:
+                left.discard(i)
+                group.add(i)
+                todo += [j for j in left if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+        out.append(min((rows[i] for i in group), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())))
+    return sorted(out, key=repr)
+
+
+def test_keep_first_never_loses_a_text(spark, awkward):
+    one, two, three = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3).strip(), "another text with other words that is long enough to count here", "x y z"
+    cases = [[(1, one), (8, one), (8, two)], [(8, two), (8, one), (1, one)], [(None, one), (None, one)], [(None, one), (3, one)], [(None, one), (None, two)],
+             [(5, two), (5, two)], [(None, None), (None, ""), (2, " "), (2, " ")], [(4, three), (4, one + " tail"), (2, one), (None, three), (None, three)]]
+    cases.append([(r.doc_id, r.text) for r in awkward.collect()])
+    for rows in cases:
+        docs = spark.createDataFrame([(*r, "m", "n") for r in rows], "doc_id long, text string, mark string, hash string").repartition(3)
+        got = jaccard.keep_first(docs)
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == first_of_each(rows, 5, 80)
+
+
+def scanned(text):
+    """(sentences, n_unknown) by walking over words and ends."""
+    low = re.sub(r"[.!?;:]+(?:[ \t\n\r]|\Z)|\n[ \t\r]*\n", "\u0001", text.translate(str.maketrans(licenses.UPPER + "\u0001", licenses.LOWER + " ")))
+    units = re.findall("[a-z0-9]+|\n|\u0001", low)
+    ends = ("\n", "\u0001")
+    known = sorted(([[licenses.plain(x).split() for x in re.split(r"[.!?;:]+(?:[ \t\n\r]|\Z)", licenses.SPELLED.get(s, s))], i] for s, i in licenses.KNOWN.items()),
+                   key=lambda x: -sum(map(len, x[0])))
+
+    def match(at, parts):
+        for n, words in enumerate(p for p in parts if p):
+            for m, word in enumerate(words):
+                while at < len(units) and ((m and units[at] == "\n") or (n and not m and units[at] in ends)):
+                    at += 1
+                if at >= len(units) or units[at] != word:
+                    return None
+                at += 1
+        return at if at == len(units) or units[at] in ends else None
+    found, left, at = [], [], 0
+    while at < len(units):
+        hit = None
+        if units[at] not in ends and (at == 0 or units[at - 1] in ends):
+            hit = next(((stop, i) for parts, i in known for stop in [match(at, parts)] if stop), None)
+        if hit:
+            found.append(hit[1])
+            at = hit[0]
+        else:
+            left.append(units[at])
+            at += 1
+    lines = re.split("[\n\u0001]", " ".join(left))
+    return ";".join(found), sum(bool(re.search(r"(^| )licen[sc](e|es|ed|ing)( |$)", x)) for x in lines)
+
+
+def test_licence_sentences_equal_a_walk_over_words(spark, sf_dir):
+    rng = random.Random(2)
+    spelled = [licenses.SPELLED.get(s, s) for s in licenses.KNOWN]
+    docs = [*documents(spark, sf_dir)]
+    for i in range(300):
+        parts = [rng.choice([rng.choice(spelled), rng.choice(spelled).upper(), rng.choice(spelled).replace(" ", "\n", 3), "some words", "a licence of sorts", "Licensed."]) for _ in range(rng.randrange(1, 6))]
+        docs.append((10_000 + i, rng.choice(["", " ", "\n", "- "]) + "".join(p + rng.choice([". ", "\n", "\n\n", " ", "; ", "! \n "]) for p in parts)))
+    got = {r.doc_id: (r.sentences, r.n_unknown) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {d: x for d, t in docs for x in [scanned(t or "")] if x != ("", 0)}
+    assert got == want and len(want) > 250
