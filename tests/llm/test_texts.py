@@ -182,13 +182,14 @@ def first_of_each(rows, k, percent):
 def test_keep_first_never_loses_a_text(spark, awkward):
     one, two, three = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3).strip(), "another text with other words that is long enough to count here", "x y z"
     cases = [[(1, one), (8, one), (8, two)], [(8, two), (8, one), (1, one)], [(None, one), (None, one)], [(None, one), (3, one)], [(None, one), (None, two)],
-             [(5, two), (5, two)], [(None, None), (None, ""), (2, " "), (2, " ")], [(4, three), (4, one + " tail"), (2, one), (None, three), (None, three)]]
-    cases.append([(r.doc_id, r.text) for r in awkward.collect()])
-    for rows in cases:
-        docs = spark.createDataFrame([(*r, "m", "n") for r in rows], "doc_id long, text string, mark string, hash string").repartition(3)
-        got = jaccard.keep_first(docs)
-        assert got.columns == docs.columns
-        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == first_of_each(rows, 5, 80)
+             [(5, two), (5, two)], [(4, three), (4, one + " tail"), (2, one), (None, three), (None, three)]]
+    # the cases side by side in one table, each with words of its own
+    rows = [(d, " ".join(f"{i}{w}" for w in t.split())) for i, case in enumerate(cases) for d, t in case]
+    rows += [(None, None), (None, ""), (2, " "), (2, " "), *[(r.doc_id, r.text) for r in awkward.collect()]]
+    docs = spark.createDataFrame([(*r, "m", "n") for r in rows], "doc_id long, text string, mark string, hash string").repartition(3)
+    got = jaccard.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == first_of_each(rows, 5, 80)
 
 
 def scanned(text):
