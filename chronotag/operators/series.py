@@ -145,27 +145,51 @@ def spans(events: DataFrame) -> DataFrame:
 
 # --- resampling -----------------------------------------------------------------------------
 
-def grid(start: Column, step: Column, n: Column) -> Column:
-    """Array of n times start, start+step, ..."""
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint")), lambda i: start + i * step)
+#: Times of a grid that one array holds.
+GRID_CELL = 1000
+
+
+def on_grid(df: DataFrame, first: Column, step: Column, n: Column, out: str = "time") -> DataFrame:
+    """`df` with a row for each of the n times first, first + step, ...; none when n is null or not positive.
+
+    The grid is cut to cells of 1,000 times that become rows of their own before their times do, so that no row holds a whole grid.
+    """
+    cells = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), ((n - 1) / GRID_CELL).cast("bigint")))
+    df = df.withColumns({"_first": first, "_step": step, "_n": n.cast("bigint")}).withColumn("_cell", F.explode(cells))
+    last = F.least(F.col("_n"), (F.col("_cell") + 1) * GRID_CELL) - 1
+    df = df.withColumn("_i", F.explode(F.sequence(F.col("_cell") * GRID_CELL, last)))
+    return df.withColumn(out, F.col("_first") + F.col("_i") * F.col("_step")).drop("_first", "_step", "_n", "_cell", "_i")
+
+
+def newest_times(samples: DataFrame) -> DataFrame:
+    """(event_id, newest): the time of each series' last sample."""
+    return samples.groupBy("event_id").agg(F.max("time").alias("newest"))
+
+
+def until_newest(events: DataFrame, samples: DataFrame) -> DataFrame:
+    """`events` where those without an end end with their newest sample; null when they have none."""
+    open_ = F.col("end_time") >= MAX_TIME
+    ids = events.where(open_).select(F.col("id").alias("event_id"))
+    newest = newest_times(samples.join(ids, "event_id", "left_semi")).withColumnRenamed("event_id", "_id")
+    rows = events.join(newest, F.col("id") == F.col("_id"), "left")
+    return rows.withColumn("end_time", F.when(open_, F.col("newest")).otherwise(F.col("end_time"))).select(*events.columns)
 
 
 def resample_grid(store: Store, events: DataFrame, start: float, step: float, n: int) -> DataFrame:
     """(event_id, time, value) of every event on one grid; null outside the event's span."""
-    times = grid(F.lit(float(start)), F.lit(float(step)), F.lit(n))
-    probes = spans(events).select("event_id", F.explode(times).alias("time"))
+    probes = on_grid(spans(events).select("event_id"), F.lit(float(start)), F.lit(float(step)), F.lit(n))
     ids = events.select(F.col("id").alias("event_id"))
     smp = store.samples.join(ids, "event_id", "left_semi")
     return value_linear(probes, smp, spans(events))
 
 
 def resample_each(store: Store, events: DataFrame, step: float) -> DataFrame:
-    """Every series on its own grid from its start to its end."""
-    n = 1 + F.floor((F.col("end_time") - F.col("start_time")) / step)
-    probes = events.select(F.col("id").alias("event_id"),
-                           F.explode(grid(F.col("start_time"), F.lit(float(step)), n)).alias("time"))
+    """Every series on its own grid from its start to its end; an open one to its newest sample."""
     smp = store.samples.join(events.select(F.col("id").alias("event_id")), "event_id", "left_semi")
-    return value_linear(probes, smp, spans(events))
+    ended = until_newest(events, smp)
+    n = 1 + F.floor((F.col("end_time") - F.col("start_time")) / step)
+    probes = on_grid(ended.select(F.col("id").alias("event_id"), "start_time", "end_time"), F.col("start_time"), F.lit(float(step)), n)
+    return value_linear(probes.select("event_id", "time"), smp, spans(events))
 
 
 def resample_on_first(store: Store, groups: DataFrame) -> DataFrame:

@@ -209,8 +209,14 @@ def _pair(name: str, column: str) -> Column:
 def _body(store, sets, member, n, timestep, sep, tabs) -> DataFrame:
     inner = "\t" if tabs else ","
     if timestep is not None:
-        steps = 1 + F.floor((F.col("end_time") - F.col("start_time")) / F.lit(float(timestep)))
-        at = sets.select("group_id", F.explode(series.grid(F.col("start_time"), F.lit(float(timestep)), steps)).alias("time"))
+        # a set of open events goes on to the newest sample of its events
+        ids = sets.where(F.col("end_time") >= MAX_TIME).select("group_id", F.explode("ids").alias("event_id"))
+        newest = ids.join(series.newest_times(store.samples.join(ids.select("event_id").distinct(), "event_id", "left_semi")), "event_id")
+        newest = newest.groupBy(F.col("group_id").alias("_group")).agg(F.max("newest").alias("_newest"))
+        sets = sets.join(newest, F.col("group_id") == F.col("_group"), "left")
+        end = F.when(F.col("end_time") >= MAX_TIME, F.col("_newest")).otherwise(F.col("end_time"))
+        steps = 1 + F.floor((end - F.col("start_time")) / F.lit(float(timestep)))
+        at = series.on_grid(sets, F.col("start_time"), F.lit(float(timestep)), steps).select("group_id", "time")
     else:
         at = (sets.select("group_id", "start_time", "end_time", F.get("ids", F.lit(0)).alias("event_id"))
               .join(store.samples.select("event_id", "time"), "event_id")

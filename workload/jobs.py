@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronotag.functions import tags as T
-from chronotag.model import Store
+from chronotag.model import MAX_TIME, Store
 from chronotag.operators import features as X
 from chronotag.operators import filters, jobs, learners
 from chronotag.operators.features import Chain, Observations
@@ -56,15 +56,25 @@ def batch_at_sample_times(spark, folder):
     return obs.df().groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("d", F.lit(0)).cast("double")), 2).alias("total"))
 
 
-@query(f"""WITH {PAIRS}, ti AS (SELECT *, {V.T0} + 10 * 86400 AS ts, {V.T0} + 11 * 86400 AS te FROM inst WHERE lo <= {V.T0} + 9 * 86400 AND hi >= {V.T0} + 12 * 86400),
+@query(f"""WITH {PAIRS}, ti AS (SELECT *, {V.T0} + 10 * 86400 AS ts, {V.T0} + 11 * 86400 AS te FROM inst WHERE lo <= {V.T0} + 10 * 86400 AND hi >= {V.T0} + 11 * 86400),
     j AS (SELECT ia || ',' || ib AS instance_id, lo, hi, ts, te, s.time, ts - 43200 AS f, te + 21600 AS l FROM ti JOIN smp s ON s.event_id = ia AND s.time BETWEEN lo AND hi),
     e AS (SELECT instance_id, max(CASE WHEN time <= f THEN time END) AS b, min(CASE WHEN time > l THEN time END) AS a FROM j GROUP BY 1),
     k AS (SELECT j.* FROM j JOIN e USING (instance_id) WHERE time > f AND time <= l OR time = b OR time = a)
     SELECT instance_id, time FROM k UNION ALL SELECT ia || ',' || ib, ts FROM ti WHERE NOT EXISTS (FROM k WHERE k.instance_id = ia || ',' || ib AND time BETWEEN ts AND te)""")
 def observation_times(spark, folder):
     s, t0 = V.typed_series(spark, folder), V.t0(spark, folder)
-    inst = jobs.instances(s, INPUTS).where((F.col("start") <= t0 + 9 * DAY) & (F.col("end") >= t0 + 12 * DAY))
-    return jobs.observation_times(inst, s.samples, None, t0 + 10 * DAY, t0 + 11 * DAY, 12 * HOUR, 6 * HOUR)
+    # instances that do not hold the time of interest have no times
+    return jobs.observation_times(jobs.instances(s, INPUTS), s.samples, None, t0 + 10 * DAY, t0 + 11 * DAY, 12 * HOUR, 6 * HOUR, strict=False)
+
+
+@query(f"""WITH {V.TYPED}, o AS (SELECT a.id AS ia, b.id AS ib, greatest(a.start_time, b.start_time) AS lo, greatest(a.end_time, b.end_time) AS fin, 21600.0::DOUBLE AS s
+      FROM ser a JOIN ser b ON a.user_id = b.user_id AND a.type = 'click' AND b.type = 'view')
+    SELECT ia || ',' || ib AS instance_id, unnest(list_transform(range(CAST(floor((fin - s * ceil(lo / s)) / s) AS BIGINT) + 1), lambda k: s * ceil(lo / s) + k * s)) AS time FROM o""")
+def observation_times_open(spark, folder):
+    # no series has an end yet: instances go on to the newest sample of their inputs
+    s = V.typed_series(spark, folder)
+    s = s.with_(events=s.events.withColumn("end_time", F.lit(MAX_TIME)))
+    return jobs.observation_times(jobs.instances(s, INPUTS), s.samples, 6 * HOUR, strict=False)
 
 
 @query(f"""WITH {PAIRS}, {STEPS}, {VALUES}, g AS (SELECT *, d <= 30 AS open FROM dist), e AS (SELECT *, lag(open) OVER s AS po, lag(t) OVER s AS pt, lead(t) OVER s AS nt
@@ -174,7 +184,7 @@ def from_to(spark, folder):
 
 
 @query(f"""WITH {PAIRS}, tm AS (SELECT *, unnest(list_transform(range(CAST(floor((hi - s * ceil(lo / s)) / s) AS BIGINT) + 1), lambda i: s * ceil(lo / s) + i * s)) AS t
-      FROM (SELECT *, 432000.0::DOUBLE AS s FROM inst)), sp AS (SELECT ia, ib, min(t) AS ta, max(t) AS tz FROM tm GROUP BY ALL),
+      FROM (SELECT *, 21600.0::DOUBLE AS s FROM inst)), sp AS (SELECT ia, ib, min(t) AS ta, max(t) AS tz FROM tm GROUP BY ALL),
     mm AS (SELECT tm.ia, tm.ib, tm.t, m.id AS mid FROM tm JOIN ser m ON m.type = 'purchase' AND tm.t BETWEEN m.start_time AND m.end_time),
     {at('qm', ('mm', 'mid'), 'm')}, {at('qa', ('qm', 'ia'), 'a')},
     x AS (SELECT q.ia, q.ib, q.t, q.mid, {V.value_sql('q.t', 'v', 'nm')} AS mv, {V.value_sql('q.t', 'w', 'nm')} AS mw, {V.value_sql('q.t', 'v', 'na')} AS av, {V.value_sql('q.t', 'w', 'na')} AS aw
@@ -182,8 +192,8 @@ def from_to(spark, folder):
     r AS (SELECT *, row_number() OVER (PARTITION BY ia, ib, t ORDER BY (mv - av) * (mv - av) + (mw - aw) * (mw - aw), mid) AS k FROM x)
     SELECT ia || ',' || ib AS instance_id, t AS time, mv AS near_0, mw AS near_1 FROM r WHERE k = 1""")
 def batch_with_group(spark, folder):
-    # the purchase series nearest to the click series, every five days
-    obs, _ = pair_job(spark, folder, Chain(X.nearest("near", "a", "purchases")), 5 * DAY, {"purchases": "type=purchase"})
+    # the purchase series nearest to the click series, every six hours
+    obs, _ = pair_job(spark, folder, Chain(X.nearest("near", "a", "purchases")), 6 * HOUR, {"purchases": "type=purchase"})
     return V.flat(obs.df().where(F.col("near").isNotNull()).select("instance_id", "time", "near"), "near")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronotag.functions import tags as T
 from chronotag.functions import vectors as W
+from chronotag.model import MAX_TIME
 from chronotag.operators import attachments, catalog, learners, patterns, series
 from workload import views as V
 from workload.events import DAY, HOUR
@@ -73,6 +74,15 @@ def resample_each(spark, folder):
     return scalar(series.resample_each(s, s.events, DAY / 2))
 
 
+@query(f"""WITH {V.SERIES}, {V.NEAR}, probe AS (SELECT id AS event_id, start_time + unnest(range(CAST(1 + floor((end_time - start_time) / 43200.0) AS BIGINT))) * 43200.0 AS time,
+      '' AS what FROM ser), {ASOF} SELECT n.event_id, asked AS time, {V.value_sql('n.asked')} AS value FROM n""")
+def resample_each_open(spark, folder):
+    # every second user's series has no end yet: its grid goes to its newest sample
+    s = V.user_series(spark, folder)
+    ev = s.events.withColumn("end_time", F.when(F.col("id") % 2 == 0, F.lit(MAX_TIME)).otherwise(F.col("end_time")))
+    return scalar(series.resample_each(s.with_(events=ev), ev, DAY / 2))
+
+
 @query(f"""WITH {V.TYPED}, {V.NEAR}, grp AS (SELECT user_id AS group_id, list(id ORDER BY id) AS ids, max(start_time) AS lo, min(end_time) AS hi FROM ser GROUP BY user_id),
     probe AS (SELECT m.id AS event_id, s.time, group_id, list_position(ids, m.id) - 1 AS what FROM grp, unnest(ids) m(id), smp s
       WHERE s.event_id = ids[1] AND s.time BETWEEN lo AND hi), {ASOF}
