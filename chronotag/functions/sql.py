@@ -93,7 +93,44 @@ _WHERE = f"{_TAGGED} AND (a IS NULL OR end_time >= a) AND (z IS NULL OR start_ti
 _AROUND = """SELECT 0 AS side, -time AS away, time, value FROM {p}samples WHERE event_id = i AND time <= t
     UNION ALL SELECT 1, time, time, value FROM {p}samples WHERE event_id = i AND time > t"""
 
+# events with the cells (at most 1,001, of a thousandth of the time in which events start) that they go on in
+_SPREAD = """SELECT id, start_time, end_time, tags, c, lo, explode(sequence(bigint((start_time - lo) / c), bigint((least(end_time, hi) - lo) / c))) AS cell
+    FROM (SELECT *, (SELECT min(start_time) FROM {p}events) AS lo, (SELECT max(start_time) FROM {p}events) AS hi,
+      (SELECT greatest((max(start_time) - min(start_time)) / 1000, 1e-6) FROM {p}events) AS c FROM {p}events) WHERE end_time >= start_time"""
+
+# samples with their neighbours, and the value at a time on the sample `s` (the newest at or before it, or the first)
+_LINKED = """SELECT event_id, time, named_struct('time', time, 'value', value, 't1', lag(time) OVER w, 'v1', lag(value) OVER w, 't2', lead(time) OVER w, 'v2', lead(value) OVER w) AS s
+    FROM {p}samples WINDOW w AS (PARTITION BY event_id ORDER BY time)"""
+
+
+def _on(s: str, t: str) -> str:
+    return (f"CASE WHEN {t} = {s}.time OR ({s}.t1 IS NULL AND {s}.t2 IS NULL) THEN {s}.value "
+            f"WHEN {s}.t2 IS NOT NULL THEN {{p}}interpolate({s}.time, {s}.value, {s}.t2, {s}.v2, {t}) ELSE {{p}}interpolate({s}.t1, {s}.v1, {s}.time, {s}.value, {t}) END")
+
+
 TABLES = {
+    # two different events that overlap: the later start lies in a cell of both
+    "concurrent_events(w STRING, v STRING, a DOUBLE, z DOUBLE) RETURNS TABLE(first_id BIGINT, second_id BIGINT, start_time DOUBLE, end_time DOUBLE)": f"""
+        SELECT e1.id, e2.id, greatest(e1.start_time, e2.start_time), least(e1.end_time, e2.end_time) FROM ({_SPREAD}) e1 JOIN ({_SPREAD}) e2 ON e1.cell = e2.cell
+        WHERE e1.id <> e2.id AND e1.start_time <= e2.end_time AND e2.start_time <= e1.end_time AND e1.cell = bigint((greatest(e1.start_time, e2.start_time) - e1.lo) / e1.c)
+          AND {_matches('e1.tags', 'w')} AND {_matches('e2.tags', 'v')}
+          AND (a IS NULL OR (e1.end_time >= a AND e2.end_time >= a)) AND (z IS NULL OR (e1.start_time <= z AND e2.start_time <= z))""",
+    "tag_combinations(w STRING, n ARRAY<STRING>) RETURNS TABLE(tags STRING, n_events BIGINT)": f"""
+        SELECT {_format('own')}, count(*) FROM (SELECT DISTINCT id, own FROM (
+          SELECT id, filter(tags, x -> array_contains(n, x.name)) AS own FROM {{p}}events WHERE {_TAGGED}))
+        WHERE forall(n, k -> exists(own, x -> x.name = k)) GROUP BY own""",
+    # samples and times asked for in one order per series; nothing is paired
+    "resample_timeseries(w STRING, a DOUBLE, d DOUBLE, n BIGINT) RETURNS TABLE(event_id BIGINT, time DOUBLE, value ARRAY<FLOAT>)": f"""
+        SELECT event_id, time, CASE WHEN time BETWEEN start_time AND end_time THEN {_on('at', 'time')} END FROM (
+          SELECT event_id, time, asked, start_time, end_time, coalesce(last_value(s, true) OVER (PARTITION BY event_id ORDER BY time, asked ROWS UNBOUNDED PRECEDING),
+              first_value(s, true) OVER (PARTITION BY event_id ORDER BY time, asked ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS at
+          FROM (SELECT event_id, time, false AS asked, s, 0D AS start_time, 0D AS end_time FROM ({_LINKED})
+            UNION ALL SELECT id, a + i * d, true, NULL, start_time, end_time FROM (SELECT id, start_time, end_time, explode(sequence(0L, n - 1)) AS i FROM {{p}}events WHERE {_TAGGED})))
+        WHERE asked""",
+    "nearest_timeseries(w STRING, point ARRAY<FLOAT>, t DOUBLE, d DOUBLE) RETURNS TABLE(id BIGINT, value ARRAY<FLOAT>, dist DOUBLE)": f"""
+        SELECT id, here, {{p}}distance(here, point) FROM (SELECT id, {_on('s', 't')} AS here FROM {{p}}events JOIN ({_LINKED}) ON event_id = id
+          WHERE {_TAGGED} AND start_time <= t AND end_time >= t AND ((s.time <= t AND (s.t2 IS NULL OR s.t2 > t)) OR (s.t1 IS NULL AND s.time > t)))
+        WHERE d IS NULL OR {{p}}distance(here, point) <= d""",
     f"find_events(w STRING, a DOUBLE, z DOUBLE) RETURNS TABLE({_EVENT})":
         f"SELECT {_ROW} FROM {{p}}events WHERE {_WHERE}",
     f"find_timeseries(w STRING, a DOUBLE, z DOUBLE) RETURNS TABLE({_EVENT})":

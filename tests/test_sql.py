@@ -43,3 +43,22 @@ def test_values(spark, functions):
     assert value("q_timeseries_value_linear(2, 9D)") == [7.0]
     assert sorted(r["name"] for r in spark.sql("SELECT * FROM q_tag_names()").collect()) == ["a", "b"]
     assert len(functions) > 25
+
+
+def test_concurrent_events(spark, functions):
+    def pairs(call):
+        return sorted(tuple(r) for r in spark.sql(f"SELECT * FROM {call}").collect())
+    assert pairs("q_concurrent_events('a=1', 'a=2', NULL, NULL)") == [(1, 2, 3.0, 4.0), (3, 2, 5.0, 6.0)]
+    assert pairs("q_concurrent_events('a', 'a', NULL, NULL)") == [(1, 2, 3.0, 4.0), (2, 1, 3.0, 4.0), (2, 3, 5.0, 6.0), (3, 2, 5.0, 6.0)]
+    assert pairs("q_concurrent_events('a', 'a', 5D, 9D)") == [(2, 3, 5.0, 6.0), (3, 2, 5.0, 6.0)]
+    assert pairs("q_concurrent_events('a=9', 'a', NULL, NULL)") == []
+
+
+def test_combinations_resampling_and_nearest(spark, functions):
+    def rows(call):
+        return sorted(tuple(r) for r in spark.sql(f"SELECT * FROM {call}").collect())
+    assert rows("q_tag_combinations('', array('a'))") == [("a=1", 2), ("a=2", 1)]
+    assert rows("q_tag_combinations('b', array('a', 'b'))") == [("a=1,b=x", 1)]
+    assert rows("q_resample_timeseries('a=1,b', 0D, 2D, 4)") == [(1, 0.0, [0.0]), (1, 2.0, [2.0]), (1, 4.0, [4.0]), (1, 6.0, None)]
+    assert rows("q_nearest_timeseries('a', array(7F), 3.5D, NULL)") == [(1, [3.5], 3.5), (2, [7.0], 0.0)]
+    assert rows("q_nearest_timeseries('a', array(7F), 3.5D, 1D)") == [(2, [7.0], 0.0)]
