@@ -78,7 +78,7 @@ SCALARS = {
     "time_coordinate_from_tagset(t STRING) RETURNS STRING": f"get(filter({_parse('t')}, x -> x.name = 'timeCoordinate'), 0).value",
     "tagset_id(t STRING) RETURNS BIGINT": f"xxhash64({_format(_parse('t'))})",
     "distance(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE":
-        "sqrt(aggregate(zip_with(a, b, (x, y) -> double(y - x) * double(y - x)), 0D, (s, x) -> s + x))",
+        "sqrt(aggregate(zip_with(a, b, (x, y) -> (double(y) - double(x)) * (double(y) - double(x))), 0D, (s, x) -> s + x))",
     "max_double() RETURNS DOUBLE": f"{MAX_TIME!r}D",
     "negative_of(x DOUBLE) RETURNS DOUBLE": "CASE WHEN x = 0 THEN 0D ELSE -x END",
     "interpolate(t1 DOUBLE, x1 ARRAY<FLOAT>, t2 DOUBLE, x2 ARRAY<FLOAT>, t DOUBLE) RETURNS ARRAY<FLOAT>":

@@ -81,14 +81,14 @@ def text_ingest_rate(spark, folder):
 @query(f"""WITH {V.TYPED}, a AS (SELECT * FROM ser WHERE type = 'signup'), l AS (
       SELECT id, 0 AS kind, 0.0::DOUBLE AS time, 'type=signup,user=' || user_id AS value FROM a
       UNION ALL SELECT id, 1, time, NULL FROM a JOIN smp ON event_id = id UNION ALL SELECT id, 2, 1.7976931348623157e308, '' FROM a)
-    SELECT kind::INTEGER AS kind, value AS tags, count(*) AS n, round(sum(CASE WHEN kind = 1 THEN time END), 3) AS times FROM l GROUP BY ALL""")
+    SELECT kind::INTEGER AS kind, value AS tags, count(*) AS n, sum(CASE WHEN kind = 1 THEN round(time * 1e6)::BIGINT % 1000003 END)::BIGINT AS times FROM l GROUP BY ALL""")
 def export_samples(spark, folder):
     # every signup series: a tag line, its samples, a blank line
     lines = textio.export(V.typed_series(spark, folder), ["type=signup"], times=False)
     number = F.get(F.split("value", ","), F.lit(0)).try_cast("double")
     kind = F.when(F.col("value") == "", 2).when(F.contains("value", F.lit("=")), 0).otherwise(1)
     return lines.select(kind.alias("kind"), F.when(kind != 1, F.col("value")).alias("tags"), F.when(kind == 1, number).alias("t")).groupBy("kind", "tags").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("t"), 3).alias("times"))
+        F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("t") * 1e6).cast("bigint") % 1000003).alias("times"))
 
 
 # --- queries as text ---------------------------------------------------------------------------------------
