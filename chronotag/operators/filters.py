@@ -12,6 +12,7 @@ from chronotag.functions import tags as T
 from chronotag.model import MAX_TIME, Store
 from chronotag.operators import timecoord
 from chronotag.plans.bounded import small_side
+from chronotag.plans.durable import pinned
 from chronotag.plans.intervals import overlap_join
 
 # Up to this many ids are put into the query text; more are joined.
@@ -210,31 +211,39 @@ def find_attached(store: Store, schema: str, *filters: Filter | str) -> DataFram
 def match_saved(events: DataFrame, saved: DataFrame, store: Store | None = None) -> DataFrame:
     """(filter_id, id) pairs for a table of saved filters (filter_id, text) and all events.
 
-    Filters with a `Schema:` need the store that has the samples and attachments. A time coordinate
-    or an unknown field raises.
+    Filters with a `Schema:` need the store that has the samples and attachments, those with a `timeCoordinate:` its time
+    coordinates. A coordinate only says what Start and End mean; an event a filter would convert must have one. Unknown fields raise.
 
     Each alternative of each filter becomes rows of needed pairs; events and needs meet on the
     pair (on the name for wildcards), and an alternative matches when every need of it was met.
-    Filters without tags meet the events through an interval join.
+    Filters without tags meet the events through an interval join; if they have a coordinate, every event is
+    converted once for each coordinate such filters name. Other filters convert what their tags and ids found.
     """
     split = saved.select("filter_id", F.split("text", ";").alias("p"))
-    strange = F.exists("p", lambda s: F.contains(s, F.lit(":")) & ~F.lower(F.substring_index(s, ":", 1)).isin("ids", "schema", "start", "end"))
+    strange = F.exists("p", lambda s: F.contains(s, F.lit(":")) & ~F.lower(F.substring_index(s, ":", 1)).isin("ids", "schema", "start", "end", "timecoordinate"))
     shape = split.select(
         "filter_id", strange.alias("strange"), _field("schema").alias("schema"), _field("start").cast("double").alias("lo"), _field("end").cast("double").alias("hi"),
+        _field("timecoordinate").alias("coordinate"),
         F.transform(F.split(_field("ids"), ","), lambda s: s.cast("bigint")).alias("ids"),
         F.posexplode_outer(F.filter("p", lambda s: (s != "") & ~F.contains(s, F.lit(":")))).alias("alt", "alt_text"))
-    shape = shape.withColumn("need", T.from_text(F.coalesce("alt_text", F.lit(""))))
+    shape = shape.withColumns({"need": T.from_text(F.coalesce("alt_text", F.lit(""))), "to": F.when(F.coalesce("lo", "hi").isNotNull(), F.col("coordinate"))})
+    # bounds in a coordinate are tested on converted times, all others at once
+    shape = shape.withColumns({c: F.when(F.col("to").isNull(), F.col(c)) for c in ("lo", "hi")} | {"to_lo": F.coalesce("lo", F.lit(-MAX_TIME)), "to_hi": F.coalesce("hi", F.lit(MAX_TIME))})
+    shape = pinned(shape)  # every branch below reads it
     # which kinds of filter there are: the others need no join
-    untagged_, timed_ = F.col("alt_text").isNull(), F.col("ids").isNull()
-    has = shape.agg(F.bool_or("strange").alias("strange"), F.bool_or(F.col("schema").isNotNull()).alias("schema"), F.bool_or(untagged_ & timed_).alias("spans"), F.bool_or(untagged_ & ~timed_).alias("ids"),
+    untagged_, timed_, moved_ = F.col("alt_text").isNull(), F.col("ids").isNull(), F.col("to").isNotNull()
+    has = shape.agg(F.bool_or("strange").alias("strange"), F.bool_or(F.col("coordinate").isNotNull()).alias("coordinate"), F.bool_or(F.col("schema").isNotNull()).alias("schema"), F.bool_or(untagged_ & timed_ & ~moved_).alias("spans"), F.bool_or(untagged_ & ~timed_).alias("ids"),
+                    F.bool_or(moved_).alias("moved"), F.bool_or(untagged_ & timed_ & moved_).alias("moved_spans"),
                     F.bool_or(~untagged_ & F.exists("need", lambda w: w["value"].isNotNull())).alias("pairs"),
                     F.bool_or(~untagged_ & F.exists("need", lambda w: w["value"].isNull())).alias("names")).first()
     if has["strange"]:
-        raise ValueError("saved filters may have IDs, Schema, Start, End and tags only")
+        raise ValueError("saved filters may have IDs, Schema, Start, End, timeCoordinate and tags only")
     if has["schema"] and store is None:
         raise ValueError("saved filters with a schema need the store")
+    if has["coordinate"] and (store is None or store.time_coordinates is None):
+        raise ValueError("saved filters with a time coordinate need the store's time coordinates")
     parts = []
-    needs = (shape.where(~untagged_).drop("alt_text", "strange", "schema").withColumn("n_need", F.size("need"))
+    needs = (shape.where(~untagged_).drop("alt_text", "strange", "schema", "coordinate", "to", "to_lo", "to_hi").withColumn("n_need", F.size("need"))
              .withColumn("w", F.explode("need")).drop("need")
              .withColumns({"w_name": F.col("w.name"), "w_value": F.col("w.value")}).drop("w"))
     met = []
@@ -254,19 +263,29 @@ def match_saved(events: DataFrame, saved: DataFrame, store: Store | None = None)
                      .groupBy("filter_id", "alt", "id", "n_need").agg(F.count(F.lit(1)).alias("n_met"))
                      .where(F.col("n_met") == F.col("n_need")).select("filter_id", "id"))
     untagged = shape.where(untagged_).select(
-        "filter_id", F.coalesce("lo", F.lit(-MAX_TIME)).alias("lo"), F.coalesce("hi", F.lit(MAX_TIME)).alias("hi"), "ids")
+        "filter_id", "to", F.coalesce("lo", F.lit(-MAX_TIME)).alias("lo"), F.coalesce("hi", F.lit(MAX_TIME)).alias("hi"), "ids")
     spans = events.select("id", "start_time", "end_time")
     if has["spans"]:
-        timed = untagged.where(F.col("ids").isNull()).drop("ids")
+        timed = untagged.where(timed_ & ~moved_).drop("ids", "to")
         parts.append(overlap_join(spans, timed, [], ("start_time", "end_time"), ("lo", "hi")).select("filter_id", "id"))
     if has["ids"]:
         picked = untagged.select("filter_id", "lo", "hi", F.explode("ids").alias("id")).join(spans, "id")
         parts.append(picked.where((F.col("end_time") >= F.col("lo")) & (F.col("start_time") <= F.col("hi"))).select("filter_id", "id"))
+    if has["moved"]:
+        whole = shape.where(moved_).select("filter_id", "to", F.col("to_lo").alias("lo"), F.col("to_hi").alias("hi"), (untagged_ & timed_).alias("alone"))
+        if parts:
+            asked = whole.where("NOT alone").drop("alone").distinct()
+            found = pinned(reduce(DataFrame.unionByName, parts).distinct())
+            held = found.join(small_side(asked), "filter_id").join(events.select("id", "start_time", "end_time", "tags"), "id")
+            parts = [found.join(small_side(asked.select("filter_id")), "filter_id", "left_anti"), _in_bounds(held, store.time_coordinates)]
+        if has["moved_spans"]:
+            parts.append(_spans_in_coordinates(events, whole.where("alone").drop("alone"), store.time_coordinates))
     if not parts:
         return saved.select("filter_id", F.lit(0).cast("bigint").alias("id")).limit(0)
     out = reduce(DataFrame.unionByName, parts).distinct()
     if not has["schema"]:
         return out
+    out = pinned(out)
     owned = [df for df in (
         store.samples.select(F.col("event_id").alias("id"), F.lit("timeseries").alias("schema")) if store.samples is not None else None,
         store.attachments.where("schema_name <> 'timeseries'").select(F.col("event_id").alias("id"), F.col("schema_name").alias("schema"))
@@ -277,6 +296,28 @@ def match_saved(events: DataFrame, saved: DataFrame, store: Store | None = None)
         out.join(asked, "filter_id").join(owned, ["id", "schema"], "left_semi").select("filter_id", "id"))
 
 
+def _converted(rows: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """Events with `at_start` and `at_end`, their times in the coordinate their column `to` names."""
+    return timecoord.with_times_in(rows, coordinates, T.from_text(F.col("to")), F.col("start_time"), F.col("end_time"), F.col("tags"), F.lit(True))
+
+
+def _in_bounds(rows: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """(filter_id, id) of rows whose times in the filter's coordinate lie within its bounds."""
+    return _converted(rows, coordinates).where("at_end >= lo AND at_start <= hi").select("filter_id", "id")
+
+
+def _spans_in_coordinates(events: DataFrame, asked: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """(filter_id, id) for filters that have nothing but bounds in a coordinate: an interval join per coordinate named."""
+    named = [r["to"] for r in asked.select("to").distinct().collect()]  # one per coordinate that filters name, not per filter or event
+    rows = events.select("id", "start_time", "end_time", "tags", F.explode(F.array(*map(F.lit, named))).alias("to"))
+    rows = _converted(rows, coordinates)
+    # a falling coordinate swaps the two times: the join takes them in order, the test as they are
+    rows = rows.select("id", F.col("to").alias("e_to"), "at_start", "at_end", F.least("at_start", "at_end").alias("e_lo"), F.greatest("at_start", "at_end").alias("e_hi"))
+    asked = asked.withColumns({"f_lo": F.least("lo", "hi"), "f_hi": F.greatest("lo", "hi")})
+    met = overlap_join(rows, asked, [("e_to", "to")], ("e_lo", "e_hi"), ("f_lo", "f_hi"))
+    return met.where("at_end >= lo AND at_start <= hi").select("filter_id", "id")
+
+
 def _field(name: str) -> Column:
     """A `name:value` part of a saved filter's text; the last one counts, null when missing."""
     given = F.filter("p", lambda s: F.startswith(F.lower(s), F.lit(f"{name}:")))

@@ -106,6 +106,19 @@ def to_coordinate(events: DataFrame, coordinates: DataFrame, target: str) -> Dat
         .drop("_m", "_b", f"tag:{NAME}"))
 
 
+def with_times_in(df: DataFrame, coordinates: DataFrame, to: Column, start: Column, end: Column, tags: Column, wanted: Column,
+                  names: tuple[str, str] = ("at_start", "at_end")) -> DataFrame:
+    """`df`, a table or a stream, with the two times of an event in the coordinate of the tags `to`, which may differ from row to row.
+
+    An open end stays open. A `wanted` row without a coordinate raises an error, other rows without one get nulls.
+    """
+    df = with_parameters(df.withColumns({"_from_tags": tags, "_to_tags": to}), coordinates, F.col("_from_tags"), F.col("_to_tags"))
+    m = F.when(F.coalesce(wanted, F.lit(False)), _checked(df, F.col("_from_tags"))).otherwise(F.col("_m"))
+    stays = end == F.lit(MAX_TIME)
+    return (df.withColumn("_m", m).withColumns({names[0]: F.col("_m") * start + F.col("_b"), names[1]: F.when(stays, end).otherwise(F.col("_m") * end + F.col("_b"))})
+            .drop("_m", "_b", "_from_tags", "_to_tags"))
+
+
 def convert(df: DataFrame, coordinates: DataFrame, time: str, from_tags: Column, to_tags: Column,
             out: str = "converted") -> DataFrame:
     """Convert a time column between the coordinates two tag columns name."""

@@ -10,6 +10,7 @@ from chronotag.model import MAX_TIME, Store, empty, COORDINATES
 from chronotag.operators import attachments, catalog, cooccur, filters, selection, timecoord
 from chronotag.operators import events as E
 from chronotag.plans.bounded import small_side
+from chronotag.streaming import feeds
 from tests.conftest import tagged
 
 
@@ -221,6 +222,82 @@ def test_conversion(spark, coords):
     assert timecoord.delete(coords, "session=1").count() == 5
 
 
+def moved_matches(events, coords, f):
+    """Ids of the events a filter with a coordinate finds, one by one: (id, start, end, tags) and {tags: (slope, intercept)}."""
+    def line(own, other):
+        own, other = dict(T.parse(own)), dict(T.parse(other))
+        for tags, ab in coords.items():
+            named = dict(T.parse(tags))
+            if all(own.get(n, None if n == "timeCoordinate" else other.get(n)) == v for n, v in named.items()):
+                return ab
+        raise KeyError(own)
+
+    out = set()
+    for id_, start, end, tags in events:
+        have = set(T.parse(tags))
+        if f.tags and not any({(n, v) for n, v in t} <= have for t in f.tags) or f.ids and id_ not in f.ids:
+            continue
+        if f.start is not None or f.end is not None:
+            (a, b), (c, d) = line(tags, f.time_coordinate), line(f.time_coordinate, tags)
+            start, end = c * (start - b) / a + d, end if end == MAX_TIME else c * (end - b) / a + d
+        if (f.start is None or end >= f.start) and (f.end is None or start <= f.end):
+            out.add(id_)
+    return out
+
+
+KNOWN = {"timeCoordinate=utc": (1.0, 0.0), "timeCoordinate=own,who=a": (1.0, -100.0), "timeCoordinate=own,who=b": (2.0, 50.0),
+         "timeCoordinate=down": (-1.0, 1000.0)}
+MOVED = ["timeCoordinate:timeCoordinate=own;Start:10;End:30;kind=1;kind=2", "Start:0;timeCoordinate:timeCoordinate=own,who=a;IDs:1,2,3,4,5,6,7,8",
+         "End:60;timeCoordinate:timeCoordinate=own", "Start:120;End:150;timeCoordinate:timeCoordinate=utc", "timeCoordinate:timeCoordinate=down;Start:860;End:880",
+         "timeCoordinate:timeCoordinate=own;kind=1", "timeCoordinate:timeCoordinate=own,who=b;Start:350;IDs:2,4,30,31", "Start:130;End:120;timeCoordinate:timeCoordinate=utc"]
+
+
+@pytest.fixture(scope="module")
+def moved(spark):
+    rows = [(i, 90.0 + 3 * i, MAX_TIME if i % 11 == 5 else 90.0 + 3 * i + i % 9, f"kind={i % 3},timeCoordinate=utc,who={'ab'[i % 2]}") for i in range(60)]
+    c = empty(spark, COORDINATES)
+    for tags, (m, b) in KNOWN.items():
+        c = timecoord.define(c, tags, m, b)
+    return rows, Store(tagged(spark, rows), time_coordinates=c)
+
+
+def test_saved_filters_by_time_coordinate(spark, moved):
+    rows, store = moved
+    saved = spark.createDataFrame(list(enumerate([*MOVED, "kind=1;End:100"])), "filter_id int, text string")
+    got = {(r.filter_id, r.id) for r in filters.match_saved(store.events, saved, store).collect()}
+    want = {(n, i) for n, text in enumerate(MOVED) for i in moved_matches(rows, KNOWN, filters.Filter.from_text(text))}
+    assert got == want | {(len(MOVED), i) for i, start, _, tags in rows if "kind=1" in tags and start <= 100}
+    assert {n for n, _ in got} == set(range(len(MOVED) + 1))
+    # an event without its coordinate raises where a filter would convert it, and only there
+    odd = store.with_(events=store.events.unionByName(tagged(spark, [(99, 0.0, 1.0, "kind=7,timeCoordinate=unknown")])))
+    assert filters.match_saved(odd.events, saved.where("filter_id = 0"), odd).count() == sum(n == 0 for n, _ in got)
+    with pytest.raises(Exception, match="no time coordinate"):
+        filters.match_saved(odd.events, saved.where("filter_id = 2"), odd).collect()
+    with pytest.raises(ValueError):
+        filters.match_saved(store.events, saved, Store(store.events))
+
+
+@pytest.mark.parametrize("text", [t for t in MOVED if "IDs" not in t])
+def test_feeds_by_time_coordinate(spark, moved, text):
+    rows, store = moved
+    f = filters.Filter.from_text(text)
+    want = moved_matches(rows, KNOWN, f)
+    got = feeds.change_feed(feeds.inserts(store.events), f, store.time_coordinates)
+    assert {(r.id, r.start_time, r.end_time) for r in got.collect()} == {r[:3] for r in rows if r[0] in want}
+    # an update that moves the event by a minute
+    later = moved_matches([(i, a + 60, b if b == MAX_TIME else b + 60, t) for i, a, b, t in rows], KNOWN, f)
+    event = F.struct("id", "start_time", "end_time", "tags")
+    moves = F.struct("id", (F.col("start_time") + 60).alias("start_time"),
+                     F.when(F.col("end_time") == MAX_TIME, MAX_TIME).otherwise(F.col("end_time") + 60).alias("end_time"), "tags")
+    got = feeds.change_feed(store.events.select(F.lit("update").alias("op"), event.alias("before"), moves.alias("after")), f, store.time_coordinates)
+    assert {(r.id, r.change) for r in got.collect()} == (
+        {(i, "modified") for i in want & later} | {(i, "added") for i in later - want} | {(i, "removed") for i in want - later})
+    samples = store.events.select(F.col("id").alias("event_id"), F.lit(1.0).alias("time"))
+    assert {r.id for r in feeds.data_feed(samples, store.events, f, store.time_coordinates).collect()} == want
+    with pytest.raises(ValueError):
+        feeds.change_feed(feeds.inserts(store.events), f)
+
+
 def test_cooccurrence_in_a_coordinate(spark, coords):
     s = Store(tagged(spark, [(1, 0.0, 61.0, "timeCoordinate=minAfterHour,hour=1am,n=a"), (2, 0.0, 61.0, "timeCoordinate=minAfterHour,hour=2am,n=b")]),
               time_coordinates=coords)

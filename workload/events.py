@@ -287,6 +287,31 @@ def find_in_time_coordinate(spark, folder):
     return V.show_tags(filters.select(s, f))
 
 
+@query(f"""WITH {V.EV}, first AS (SELECT user_id, min(t) AS t0 FROM raw GROUP BY user_id),
+      m AS (SELECT ev.*, 1.0 * start_time + -t0 AS a, 1.0 * end_time + -t0 AS b FROM ev JOIN first USING (user_id))
+    SELECT 'own day' AS filter_id, id FROM m WHERE b >= 86400 AND a <= 172800
+    UNION ALL SELECT 'own clicks', id FROM m WHERE type = 'click' AND b >= 86400 OR type = 'view' AND k = '3' AND b >= 86400
+    UNION ALL SELECT 'ids', id FROM m WHERE id < 500 AND id % 5 = 0 AND a <= 432000
+    UNION ALL SELECT 'day of ' || usr, id FROM m WHERE type = 'error' AND a <= 172800
+    UNION ALL SELECT 'utc', id FROM m WHERE start_time <= {V.T0} + 3600
+    UNION ALL SELECT 'no bounds', id FROM m WHERE type = 'signup'
+    UNION ALL SELECT 'owners', id FROM m WHERE type = 'view' AND k = '1' AND start_time <= {V.T0} + 86400""")
+def saved_filters_all_fields(spark, folder):
+    events = V.in_utc(V.events(spark, folder))
+    t0, own = V.t0(spark, folder), "timeCoordinate:timeCoordinate=userSeconds"
+    ids = ",".join(str(i) for i in range(0, 500, 5))
+    saved = spark.createDataFrame([
+        ("own day", f"{own};Start:{DAY};End:{2 * DAY}"), ("own clicks", f"Start:{DAY};{own};type=click;type=view,k=3"), ("ids", f"IDs:{ids};End:{5 * DAY};{own}"),
+        ("utc", f"End:{t0 + 3600!r};timeCoordinate:timeCoordinate=secondsUTC"), ("no bounds", f"{own};type=signup"),
+        ("owners", f"Schema:timeseries;End:{t0 + DAY!r};type=view,k=1")], "filter_id string, text string")
+    # and one for each user, in that user's coordinate
+    users = events.select("tag:user").distinct().select(F.concat(F.lit("day of "), "tag:user").alias("filter_id"), F.concat(
+        F.lit(f"{own},user="), "tag:user", F.lit(f";End:{2 * DAY};type=error,user="), "tag:user").alias("text"))
+    samples = events.select(F.col("id").alias("event_id"))
+    s = Store(events, samples, time_coordinates=V.coordinates(spark, folder))
+    return filters.match_saved(events, saved.unionByName(users), s)
+
+
 @query(f"""WITH {V.EV}, f AS (SELECT usr, min(start_time) AS t FROM ev WHERE type = 'click' GROUP BY usr)
     SELECT 'timeCoordinate=clickMillis,user=' || usr AS tags, 1000.0::DOUBLE AS slope, -t * 1000.0 AS intercept FROM f""")
 def define_coordinates_per_user(spark, folder):

@@ -45,6 +45,16 @@ def change_feed(spark, folder):
     return run.replay(feeds.change_feed(changes, filters.by_tags("type=click"))).select("id", "change", "whole")
 
 
+@query(f"""WITH {V.EV}, first AS (SELECT user_id, min(t) AS t0 FROM raw GROUP BY user_id)
+    SELECT id, start_time, end_time FROM ev JOIN first USING (user_id) WHERE type = 'click' AND 1.0 * end_time + -t0 >= 86400 AND 1.0 * start_time + -t0 <= 172800""")
+def change_feed_by_coordinate(spark, folder):
+    r = arriving(spark, folder)
+    tags = T.make(timeCoordinate=F.lit("secondsUTC"), type=F.col("event_type"), user=F.col("user_id").cast("string"))
+    events = r.select(F.col("event_id").alias("id"), F.col("t").alias("start_time"), (F.col("t") + F.col("value")).alias("end_time"), tags.alias("tags"))
+    f = filters.Filter.from_text("type=click;Start:86400;End:172800;timeCoordinate:timeCoordinate=userSeconds")
+    return run.replay(feeds.change_feed(feeds.inserts(events), f, V.coordinates(spark, folder))).select("id", "start_time", "end_time")
+
+
 @query(f"""WITH {V.SERIES} SELECT event_id AS id, time, CAST(v AS DOUBLE) AS value FROM smp WHERE event_id % 2 = 0""")
 def data_feed(spark, folder):
     r = live(spark, folder)
