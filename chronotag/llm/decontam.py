@@ -4,10 +4,13 @@ Terms are runs of `TERM` words. The index side (the benchmark) is cut into block
 frequencies and lengths come from Spark, and one block at a time goes to the executors. Weights are scaled so that an item's score against
 itself is 1. Every document is cut into overlapping passages; a passage whose terms' highest weights cannot reach the threshold is passed over
 at once, the others are searched by block-max WAND. What is found is verified on the whole document: the shares of the item's five-word shingles,
-of the question and of the answer. Documents are read where they lie: one scan for each block of items, no shuffle.
+of the question and of the answer. A document holds an item if it has `overlap` of all its shingles, or of those within its question: a copied question counts
+without its answer when it has at least `ASKED` words, shorter ones are ordinary prose. Questions are segments of the index of their own, so that
+BM25 finds them alone. An answer alone counts only where it is that share of all shingles. Documents are read where they lie: one scan for each block of items, no shuffle.
 
-Nulls: null or empty texts match nothing, null items are left out; a null doc_id is reported as null. Items of fewer than five words are one
-shingle. Repeated rows are reported each; repeated item_ids are items of their own. Empty tables give no rows. `clean` keeps all columns.
+Nulls: null or empty texts match nothing, null items are left out; a null doc_id is reported as null. Items of three or four words are one
+shingle; those of one or two words are not looked for, as ordinary prose holds them. Long texts are searched whole, long items in segments. Every item that
+fits is reported, ties included. Repeated rows are reported each; repeated item_ids are items of their own. Empty tables give no rows. `clean` keeps all columns.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from chronotag.llm.common import pinned
 TERM, SHINGLE = 3, 5
 K1, B = 1.2, 0.75
 SEGMENT = 64
+#: Words a question needs to count without its answer.
+ASKED = 8
 POSTINGS_PER_BLOCK = 16
 BREAKS = [c for c in range(128) if not chr(c).isalnum()]
 
@@ -48,6 +53,12 @@ def short_grams(words, k):
     return A.grams(words, np.zeros(len(words), int), min(k, len(words)))[0] if len(words) else np.zeros(0, np.uint64)
 
 
+def segments(n):
+    """Where the segments of n words begin and end; a short rest belongs to the last one."""
+    starts = range(0, max(1, n - SEGMENT // 4), SEGMENT)
+    return [(at, at + SEGMENT if at + SEGMENT + SEGMENT // 4 < n else n) for at in starts]
+
+
 @dataclass(frozen=True)
 class Index:
     """Postings by term, ordered by segment: segment numbers and scaled weights; the highest weight of a term and of each block of postings."""
@@ -59,15 +70,17 @@ class Index:
     owner: np.ndarray
     item_ids: list
     shingles: list
-    n_question: list
+    asks: list
+    decides: list
 
 
 def _postings(benchmark: DataFrame, question: str, answer: str | None) -> DataFrame:
-    """One row per item: its segments' terms, its shingles, and how many of these start in the question."""
+    """A row per segment of an item and of its question: terms, and with an item's first one its shingles, how many of these lie in the question,
+    and whether the question counts alone."""
     def run(batches):
         for b in batches:
             out = []
-            for key, q, a in zip(b.column("item").to_pylist(), pc.utf8_lower(b.column("q")).to_pylist(), pc.utf8_lower(b.column("a")).to_pylist()):
+            for row, key, q, a in zip(b.column("row").to_pylist(), b.column("item").to_pylist(), pc.utf8_lower(b.column("q")).to_pylist(), pc.utf8_lower(b.column("a")).to_pylist()):
                 q, a = (q or "").encode(), (a or "").encode()
                 if not answer:  # the last sentence answers, what comes before asks
                     body = q.rstrip(b" .!?\n\t\r")
@@ -76,42 +89,48 @@ def _postings(benchmark: DataFrame, question: str, answer: str | None) -> DataFr
                 buf = np.frombuffer(q + b" " + a, np.uint8)
                 words, _ = hashed(buf, np.array([0, len(buf)]))
                 n_q = len(hashed(np.frombuffer(q, np.uint8), np.array([0, len(q)]))[0])
-                if not len(words):
+                if len(words) < TERM:
                     continue
                 shingles = short_grams(words, SHINGLE)
-                for i, at in enumerate(range(0, max(1, len(words) - SEGMENT // 4), SEGMENT)):
-                    part = words[at:at + SEGMENT] if at + SEGMENT + SEGMENT // 4 < len(words) else words[at:]
-                    terms, tf = np.unique(short_grams(part, TERM), return_counts=True)
-                    out.append((key, i, terms.view(np.int64), tf, shingles.view(np.int64) if i == 0 else [], min(n_q, len(shingles))))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.schema.field("item").type, pa.int32(), *[pa.list_(pa.int64())] * 3, pa.int64()])],
-                                             ["item", "part", "terms", "tf", "shingles", "n_question"])
-
-    rows = benchmark.select(F.col("item_id").alias("item"), F.col(question).alias("q"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a"))
+                within = n_q - SHINGLE + 1 if n_q >= SHINGLE else min(n_q, len(shingles))
+                alone = ASKED <= n_q < len(words)
+                parts = segments(len(words))
+                parts += [x for x in segments(n_q) if x not in parts] if alone else []
+                for i, (start, stop) in enumerate(parts):
+                    terms, tf = np.unique(short_grams(words[start:stop], TERM), return_counts=True)
+                    out.append((row, key, i, terms.view(np.int64), tf, shingles.view(np.int64) if i == 0 else [], within, alone))
+            cols = list(zip(*out)) or [[]] * 8
+            kinds = [pa.int64(), b.schema.field("item").type, pa.int32(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["row", "item", "part", "terms", "tf", "shingles", "n_question", "alone"])
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").alias("item"), F.col(question).alias("q"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a"))
     kind = dict(rows.dtypes)["item"]
-    return pinned(rows.mapInArrow(run, f"item {kind}, part int, terms array<long>, tf array<long>, shingles array<long>, n_question long"))
+    return pinned(rows.mapInArrow(run, f"row long, item {kind}, part int, terms array<long>, tf array<long>, shingles array<long>, n_question long, alone boolean"))
 
 
-def indexes(benchmark: DataFrame, question: str = "text", answer: str | None = None, block_items: int = 20_000):
-    """The index in blocks of about `block_items` items, one after the other; BM25 statistics are those of all items."""
+def indexes(benchmark: DataFrame, question: str = "text", answer: str | None = None, block_items: int = 20_000, block_terms: int = 2_000_000):
+    """The index in blocks of about `block_items` items or `block_terms` terms, one after the other; BM25 statistics are those of all items."""
     rows = _postings(benchmark, question, answer)
     whole = rows.agg(F.count("*").alias("n"), F.avg(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)).alias("length")).first()
     if not whole.n:
         return
     frequency = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    blocks = -(-whole.n // block_items)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("item"), blocks))
+    blocks = max(-(-whole.n // block_items), int(whole.n * whole.length / block_terms) + 1)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), blocks))
     for block in range(blocks):
         own = rows.where(F.col("block") == block)
         df = {r.term: r.df for r in own.select(F.explode("terms").alias("term")).distinct().join(frequency, "term").collect()}
-        parts = sorted(own.collect(), key=lambda r: (str(r.item), r.part))
-        term, segment, weight, item_ids, shingles, n_question, owner = [], [], [], [], [], [], []
+        parts = sorted(own.collect(), key=lambda r: (str(r.item), r.row, r.part))
+        if not parts:
+            continue
+        term, segment, weight, item_ids, shingles, asks, decides, owner = [], [], [], [], [], [], [], []
         for s, r in enumerate(parts):
             if r.part == 0:
                 item_ids.append(r.item)
                 shingles.append(np.unique(np.array(r.shingles, np.int64).view(np.uint64)))
                 in_order = np.array(r.shingles, np.int64).view(np.uint64)
-                n_question.append(np.isin(shingles[-1], in_order[:r.n_question]))
+                asks.append(np.isin(shingles[-1], in_order[:r.n_question]))
+                decides.append(r.alone)
             owner.append(len(item_ids) - 1)
             tf, length = np.array(r.tf, float), sum(r.tf)
             idf = np.log1p((whole.n - np.array([df[t] for t in r.terms]) + 0.5) / (np.array([df[t] for t in r.terms]) + 0.5))
@@ -123,7 +142,7 @@ def indexes(benchmark: DataFrame, question: str = "text", answer: str | None = N
         order = np.lexsort((segment, term))
         term, segment, weight = term[order], segment[order], weight[order]
         terms, begin = np.unique(term, return_index=True)
-        yield Index(terms, np.append(begin, len(term)), segment, weight, np.maximum.reduceat(weight, begin), np.array(owner), item_ids, shingles, n_question)
+        yield Index(terms, np.append(begin, len(term)), segment, weight, np.maximum.reduceat(weight, begin), np.array(owner), item_ids, shingles, asks, decides)
 
 
 def block_max_wand(index: Index, terms, threshold: float) -> list[tuple[int, float]]:
@@ -201,15 +220,16 @@ def search(index: Index, buf, offsets, threshold: float, overlap: float):
             best[pair] = max(score, best.get(pair, 0.0))
     out, own = [], {}
     for (text, item), score in sorted(best.items()):
-        shingles, asks = index.shingles[item], index.n_question[item]
+        shingles, asks = index.shingles[item], index.asks[item]
         size = SHINGLE if len(shingles) > 1 else None
         if text not in own:
             own[text] = words[no == text]
         have = own[text]
         lengths = {SHINGLE} if size else set(range(1, SHINGLE + 1))
         there = np.isin(shingles, np.concatenate([A.grams(have, np.zeros(len(have), int), k)[0] for k in lengths]))
-        if there.mean() >= overlap:
-            out.append((text, item, score, float(there[asks].mean()) if asks.any() else 1.0, float(there[~asks].mean()) if (~asks).any() else 1.0))
+        question = float(there[asks].mean()) if asks.any() else 1.0
+        if there.mean() >= overlap or index.decides[item] and question >= overlap:
+            out.append((text, item, score, question, float(there[~asks].mean()) if (~asks).any() else 1.0))
     return out
 
 

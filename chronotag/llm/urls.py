@@ -1,7 +1,8 @@
 """Operator 6, URL filters: host and path rules, and gradient-boosted trees for the urls no rule fits. DataFrame functions only.
 
 The urls a rule fits are the labelled ones. Lexical features (lengths, depth, digit ratio, entropy, counts of parameters, labels and signs, how
-often a host suffix is blocked among the labelled) train boosted trees (pyspark.ml), which judge the rest.
+often a host suffix is blocked among the labelled) train boosted trees (pyspark.ml), which judge the rest. A labelled url's own rates leave out
+the fold of hosts it is in, so that the trees cannot read its label, or its host's, off them.
 
 Nulls: a null url, or one without `://`, has empty host and path; no rule fits it and the trees judge its features.
 Without labelled urls everything else is allowed; with labels of one kind only, that kind is the verdict. Repeated rows are
@@ -70,11 +71,21 @@ def described(pages: DataFrame, rules=RULES) -> DataFrame:
         F.element_at(labels, -1).alias("suffix"), F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)).alias("domain"))
 
 
-def _rates(rows: DataFrame, name: str, overall: float, strength: float = 5.0) -> DataFrame:
-    """Share of blocked urls among the labelled ones with the same `name`, drawn towards the overall share."""
-    blocked = F.sum((F.col("known") == "block").cast("double"))
-    return rows.where(F.col("known").isNotNull()).groupBy(F.col(name).alias(f"_{name}")).agg(
-        ((blocked + strength * overall) / (F.count("*") + strength)).alias(f"{name}_rate"))
+def with_rates(rows: DataFrame, overall: float, strength: float = 5.0, folds: int = 4) -> DataFrame:
+    """`rows` with suffix_rate and domain_rate: the share of blocked urls among the labelled ones of the same suffix or domain, drawn towards
+    the overall share. For a labelled row only hosts of the other folds count; a fold is a hash of the host."""
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)))
+    for name in ("suffix", "domain"):
+        blocked = F.sum((F.col("known") == "block").cast("long"))
+        by_fold = rows.where(F.col("known").isNotNull()).groupBy(name, "fold").agg(blocked.alias("blocked"), F.count("*").alias("n"))
+        # at most `folds` entries a group
+        sums = by_fold.groupBy(F.col(name).alias("_name")).agg(
+            F.sum("blocked").alias("_blocked"), F.sum("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("blocked", "n")))).alias("_folds"))
+        own = F.when(F.col("known").isNotNull(), F.try_element_at("_folds", F.col("fold")))
+        counts = [F.coalesce(F.col(f"_{c}") - F.coalesce(own[c], F.lit(0)), F.lit(0)) for c in ("blocked", "n")]
+        rows = rows.join(sums, rows[name] == sums["_name"], "left").withColumn(f"{name}_rate", (counts[0] + strength * overall) / (counts[1] + strength))
+        rows = rows.drop("_name", "_blocked", "_n", "_folds")
+    return rows.drop("fold")
 
 
 def judge(pages: DataFrame, rules=RULES, most: int = 50_000, rounds: int = 12, depth: int = 3, seed: int = 7) -> DataFrame:
@@ -84,9 +95,7 @@ def judge(pages: DataFrame, rules=RULES, most: int = 50_000, rounds: int = 12, d
     if not share[1] or share[0] in (0.0, 1.0):
         rest = "block" if share[0] == 1.0 else "allow"
         return rows.select("page_id", "host", "path", "rule", F.coalesce("known", F.lit(rest)).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    for name in ("suffix", "domain"):
-        rates = _rates(rows, name, share[0])
-        rows = rows.join(rates, rows[name] == rates[f"_{name}"], "left").drop(f"_{name}").fillna({f"{name}_rate": share[0]})
+    rows = with_rates(rows, share[0])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     learn = rows.where(F.col("known").isNotNull()).select("page_id", "features", (F.col("known") == "block").cast("double").alias("label"))
     learn = pinned(learn.orderBy(F.xxhash64("page_id"), "page_id").limit(most).repartition(8, "page_id"))

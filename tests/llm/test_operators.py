@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chronotag.llm import ORACLES, QUERIES, decontam, jaccard, langid, licenses, mixing, quality, rules, shards, stats, suffixes, urls
@@ -174,6 +175,36 @@ def test_decontamination_equals_brute_force(spark, sf_dir):
     assert {(r.doc_id, r.item_id) for r in blocks} == want
 
 
+def test_copied_questions_count_without_their_answers(spark):
+    rng = random.Random(3)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    asked = {1: prose(13), 2: prose(8), 3: prose(7), 4: prose(90), 5: prose(30), 6: prose(12)}
+    answers = {1: prose(3), 2: prose(30), 3: prose(25), 4: prose(60), 5: prose(10), 6: prose(9)}
+    bench = spark.createDataFrame([(i, asked[i], answers[i]) for i in asked] + [(7, "two words", None), (1, prose(20), prose(5))], "item_id long, question string, answer string")
+    texts = {10 * i: f"{prose(40)} {asked[i]} {prose(40)}" for i in asked} | {10 * i + 1: f"{prose(20)} {answers[i]} {prose(9)}" for i in asked}
+    texts |= {10 * i + 2: f"{asked[i]} {answers[i]}" for i in asked} | {100: "these two words are prose " + prose(50), 101: " ".join(asked[5].split()[:15]) + " " + prose(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+    def grams(text):
+        w = text.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    want = set()
+    for d, text in texts.items():
+        for i, q in asked.items():
+            whole = grams(f"{q} {answers[i]}")
+            alone = len(q.split()) >= 8 and len(grams(q) & grams(text)) >= 0.8 * len(grams(q))
+            if alone or len(whole & grams(text)) >= 0.8 * len(whole):
+                want.add((d, i))
+    assert want == {(10 * i, i) for i in asked if i != 3} | {(10 * i + 2, i) for i in asked}
+    for size in ({}, {"block_terms": 100}, {"block_items": 1}):
+        got = decontam.matches(docs, bench, question="question", answer="answer", **size).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
+    assert all((r.question_overlap == 1) and (r.answer_overlap < 0.6 or r.doc_id % 10 == 2) for r in got)
+    assert decontam.clean(docs, bench, question="question", answer="answer").count() == len(texts) - len({d for d, _ in want})
+
+
 def test_wand_finds_all_above_the_threshold(spark, sf_dir):
     index = next(decontam.indexes(table(spark, sf_dir, "benchmark")))
     rng = np.random.default_rng(1)
@@ -247,6 +278,27 @@ def test_url_rules(spark):
         assert got[i].verdict == verdict if verdict else got[i].verdict in ("allow", "block")
 
 
+def test_url_rates_leave_out_the_own_fold(spark):
+    rng = random.Random(4)
+    rows = [(i, f"h{rng.randrange(12)}", rng.choice("st"), rng.choice("xyz"), rng.choice(["block", "allow", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, host string, suffix string, domain string, known string")
+    fold = {r.host: r.f for r in df.select("host", F.expr("pmod(xxhash64(host), 4)").alias("f")).distinct().collect()}
+    for r in urls.with_rates(df, 0.4).collect():
+        for name, rate in (("suffix", r.suffix_rate), ("domain", r.domain_rate)):
+            others = [k for _, h, s, d, k in rows if k and (s if name == "suffix" else d) == r[name] and (r.known is None or fold[h] != fold[r.host])]
+            assert rate == pytest.approx((others.count("block") + 5 * 0.4) / (len(others) + 5))
+
+
+def test_repeated_urls_are_judged_alike(spark):
+    rows = [(i % 40, f"https://{'ab'[i % 2]}.example.{('com', 'net', 'io')[i % 3]}/{('de', 'en')[i % 4 > 1]}/{i % 40}") for i in range(120)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == 120
+    verdicts = collections.defaultdict(set)
+    for r in got:
+        verdicts[r.host, r.path].add((r.verdict, r.score))
+    assert all(len(v) == 1 for v in verdicts.values()) and any(r.score is not None for r in got)
+
+
 def test_learned_verdicts_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     label = {r.doc_id: r.quality for r in table(spark, folder, "labels").collect()}
