@@ -14,14 +14,17 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotag.functions import tags as T
 from chronotag.functions import vectors as V
 from chronotag.operators.series import in_box
+from chronotag.plans.durable import pinned
 from chronotag.plans.ordered import Ordered
 from chronotag.plans.sequential import per_group
+from chronotag.plans.sliding import over_time
 
 
 @dataclass(frozen=True)
@@ -276,56 +279,69 @@ def _look_back(o: Ordered, dx: float) -> Ordered:
 SIGMAS = 3.0  # how far the kernel reaches
 
 
+def _kernel_means(past: float | None, future: float | None):
+    """Means weighted by Gaussian kernels, for `over_time`: a block of rows against a slice of their neighbours at a time."""
+    back, ahead = SIGMAS * (past or 0.0), SIGMAS * (future or 0.0)
+
+    def kernel(d, sd):
+        return np.exp(-(d * d) / (2 * sd * sd)) / (math.sqrt(2 * math.pi) * sd) if sd else np.zeros_like(d)
+
+    def means(t, v, present, a, b):
+        lo = np.searchsorted(t, t[a:b] - back, side="left")
+        hi = np.minimum(np.searchsorted(t, t[a:b] + ahead, side="left") + 1, len(t))
+        # a weight of zero hides a neighbour that is out of reach only when its value is finite
+        block = 64 if np.isfinite(v).all() else 1
+        out = []
+        for i in range(0, b - a, block):
+            j = min(i + block, b - a)
+            total, sums = np.zeros(j - i), np.zeros((j - i, v.shape[1]))
+            for first in range(lo[i], hi[j - 1], 16384):
+                at = np.arange(first, min(first + 16384, hi[j - 1]))
+                d = t[at] - t[a + i:a + j, None]
+                w = np.where((d < 0) | ((d == 0) & bool(past)), kernel(d, past), kernel(d, future))
+                w = np.where((at >= lo[i:j, None]) & (at < hi[i:j, None]) & present[at], w, 0.0)
+                total += w.sum(axis=1)
+                sums += w @ v[at]
+            out += [s / n if n > 0 else None for s, n in zip(sums, total)]
+        return out
+    return means
+
+
+def _with_borders(o: Ordered, back: float, ahead: float) -> DataFrame:
+    """Rows, and copies (`_own` false) of those that rows of another chunk of the same key reach."""
+    if not o.split:
+        return o.df.withColumn("_own", F.lit(True))
+    df = o.lag(_before=F.col("time")).df
+    spans = pinned(df.where(F.col("_chunk") > 0).groupBy(*o.keys, "_chunk")
+                   .agg(F.min("time").alias("lo"), F.max("time").alias("hi"), F.min("_before").alias("before")))
+    there = spans.select(*[F.col(k).alias(f"_k_{k}") for k in o.keys], F.col("_chunk").alias("_to"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in o.keys])
+    behind, beyond = F.col("_chunk") < F.col("_to"), F.col("_chunk") > F.col("_to")
+    reached = F.col("_lo") - F.lit(back), F.col("_hi") + F.lit(ahead)
+    pairs = spans.join(there, same).where((behind & (F.col("hi") >= reached[0])) | (beyond & (F.col("before") < reached[1])))
+    pairs = pinned(pairs.select(*[f"_k_{k}" for k in o.keys], F.col("_chunk").alias("_from"), "_to", "_lo", "_hi"))
+    copies = df.join(pairs, same & (F.col("_chunk") == F.col("_from"))).where(
+        (behind & (F.col("time") >= reached[0])) | (beyond & (F.col("_before") < reached[1])))
+    copies = copies.withColumns({"_chunk": F.col("_to"), "_own": F.lit(False)})
+    both = df.withColumn("_own", F.lit(True))
+    return both.unionByName(copies.select(*both.columns)).drop("_before")
+
+
 def smoothing(out: str, x: str, past: float | None, future: float | None) -> Stage:
     """Mean weighted by Gaussian kernels with standard deviations `past` and `future`.
 
     Values up to three deviations back count, and ahead up to the first row three deviations or
-    more away, that one included. A side that is None does not count.
+    more away, that one included. A side that is None does not count. A component that is null or
+    NaN in one of the values is null. Chunks of a long instance exchange the rows at their borders;
+    a task holds the rows within reach of one batch.
     """
     back = SIGMAS * (past or 0.0)
     ahead = SIGMAS * (future or 0.0)
 
     def run(o: Ordered) -> Ordered:
-        item = F.struct("time", F.col(x).cast("array<double>").alias("v"))
-        o = o.lead(_n=item)
-        # time cells with copies at their edges, so that a frame never leaves its cell
-        width = F.lit(max(64 * (back + ahead), 1e-9))
-        own = F.floor(F.col("time") / width)
-        cells = F.array_distinct(F.array(own, F.floor((F.col("time") + back) / width), F.floor((F.col("time") - ahead) / width)))
-        df = o.df.withColumns({"_own": own, "_cells": cells}).withColumn("_cell", F.explode("_cells")).drop("_cells")
-        # the window API takes whole numbers only, SQL also fractions
-        parts = ", ".join(f"`{k}`" for k in [*o.keys, "_cell"])
-        df = df.withColumn("_p", F.struct("time", F.col(x).cast("array<double>").alias("v"), "_n"))
-        df = df.withColumn("_f", F.expr(f"collect_list(_p) OVER (PARTITION BY {parts} ORDER BY time "
-                                        f"RANGE BETWEEN {back!r}D PRECEDING AND {ahead!r}D FOLLOWING)")).drop("_p")
-        df = df.where(F.col("_cell") == F.col("_own"))
-        last = F.element_at("_f", -1)
-        beyond = F.when((last["time"] < F.col("time") + ahead) & last["_n"].isNotNull(),
-                        F.array(last["_n"])).otherwise(F.slice(F.transform("_f", lambda r: r["_n"]), 1, 0))
-        near = F.transform("_f", lambda r: F.struct(r["time"].alias("time"), r["v"].alias("v")))
-        near = F.concat(near, beyond) if future else near
-        near = F.filter(near, lambda r: r["v"].isNotNull())
-
-        def weight(t):
-            d = t - F.col("time")
-
-            def kernel(sd):
-                return F.exp(-(d * d) / (2 * sd * sd)) / F.lit(math.sqrt(2 * math.pi) * sd)
-            before = kernel(past) if past else F.lit(0.0)
-            after = kernel(future) if future else F.lit(0.0)
-            here = before if past else after
-            return F.when(d < 0, before).when(d > 0, after).otherwise(here)
-
-        weighted = F.transform(near, lambda r: F.struct(weight(r["time"]).alias("w"), r["v"].alias("v")))
-        df = df.withColumn("_w", weighted)
-        total = F.aggregate("_w", F.lit(0.0), lambda acc, r: acc + r["w"])
-        zero = F.transform(F.col(x), lambda _: F.lit(0.0))
-        first = F.transform(F.get(F.col("_w.v"), F.lit(0)), lambda _: F.lit(0.0))
-        sums = F.aggregate("_w", F.coalesce(zero, first),
-                           lambda acc, r: F.zip_with(acc, r["v"], lambda s, v: s + v * r["w"]))
-        df = df.withColumn("_total", total).withColumn(
-            out, F.when(F.col("_total") > 0, F.transform(sums, lambda s: (s / F.col("_total")).cast("float"))))
-        return o._next(df.drop("_n", "_own", "_cell", "_f", "_w", "_total"))
+        df = _with_borders(o, back, ahead).withColumn("_v", F.col(x).cast("array<double>"))
+        df = over_time(df, o._parts(), "time", "_v", back, ahead, _kernel_means(past, future), "_mean", own="_own")
+        return o._next(df.withColumn(out, F.col("_mean")).drop("_v", "_mean"))
     return _rows([out], run, warmup=back, cooldown=ahead)
 
 

@@ -254,21 +254,30 @@ def _first_allowed(t, last, min_delta):
     return np.where((i < len(t)) & (t[np.minimum(i, len(t) - 1)] - last < min_delta), i + 1, i)
 
 
-def decimate(samples: DataFrame, min_delta: float, cell: float | None = None) -> DataFrame:
+def _cells(numbers):
+    """(from, to) of each run of equal numbers."""
+    edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(numbers)]
+    return list(zip(edges, edges[1:]))
+
+
+def decimate(samples: DataFrame, min_delta: float, cell: float | None = None, block: int = 1024) -> DataFrame:
     """Keep a sample only when it is at least `min_delta` after the last one kept.
 
     What is kept depends on everything before, so a series is cut into time cells that are
-    worked on independently: for a cell, every sample that could be the first one kept is
-    followed to the last one kept there. These samples lie within `min_delta` of the cell's
-    first, a small part of a full cell. Walking that table in order tells each cell where to
-    start; the walk itself is cut wherever a cell begins `min_delta` or more after the samples
-    before it, because its first sample is then kept in any case.
+    worked on independently: a cell is a step table from the sample kept first in it to the one
+    kept last. Only samples within `min_delta` of the cell's first, and the next one, can be kept
+    first, a small part of a full cell. The tables of `block` neighbouring cells are composed to
+    one of the same form. Walking the blocks' tables tells each block the last sample kept before
+    it, and walking a block's cells tells each cell; a gapless series is walked in no other way.
     """
     if min_delta <= 0:
         return samples
     width = float(cell or 1024 * min_delta)
     times = samples.select("event_id", F.floor(F.col("time") / F.lit(width)).alias("_cell"), "time")
 
+    def candidates(t):
+        return min(len(t), int(np.searchsorted(t, t[0] + min_delta, side="right")) + 1)
+
     def chains(c):
         t = c["time"]
         after = _first_allowed(t, t, min_delta).tolist()
@@ -276,26 +285,36 @@ def decimate(samples: DataFrame, min_delta: float, cell: float | None = None) ->
         for i in range(len(t) - 1, -1, -1):
             if after[i] < len(t):
                 last[i] = last[after[i]]
-        n = min(len(t), int(np.searchsorted(t, t[0] + min_delta, side="right")) + 1)
-        return [(c["event_id"][0], c["_cell"][0], t[i], t[last[i]]) for i in range(n)]
+        return [(c["event_id"][0], c["_cell"][0], t[i], t[last[i]]) for i in range(candidates(t))]
+
+    def composed(c):
+        entry, leave = c["entry"], c["leave"]
+        n, cells = candidates(entry), _cells(c["_cell"])
+        last = leave[:n].copy()
+        for a, b in cells[1:]:
+            # the first kept lies before this cell; a cell that allows none of its samples passes the carried time on
+            i = _first_allowed(entry[a:b], last, min_delta)
+            hit = (np.arange(n) < a) & (i < b - a)
+            last[hit] = leave[a:b][i[hit]]
+        return [(c["event_id"][0], c["_block"][0], entry[k], last[k]) for k in range(n)]
+
+    def walk(name):
+        def run(c):
+            out, last = [], c["before"][0]
+            for a, b in _cells(c[name]):
+                out.append((c["event_id"][0], c[name][a], last))
+                i = int(_first_allowed(c["entry"][a:b], last, min_delta))
+                if i < b - a:
+                    last = c["leave"][a + i]
+            return out
+        return run
 
     table = per_group(times, ["event_id", "_cell"], ["time"], chains, "event_id bigint, _cell bigint, entry double, leave double")
-    bounds = times.groupBy("event_id", "_cell").agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
-    runs = Ordered(bounds, "event_id", "_cell").lag(_hi=F.col("hi"))
-    fresh = F.col("_hi").isNull() | (F.col("lo") - F.col("_hi") >= F.lit(float(min_delta)))
-    runs = runs.running_sum(_run=fresh.cast("bigint")).done().select("event_id", "_cell", "_run")
-
-    def walk(c):
-        out, last = [], -np.inf
-        edges = [0, *(np.flatnonzero(np.diff(c["_cell"])) + 1), len(c["_cell"])]
-        for a, b in zip(edges, edges[1:]):
-            out.append((c["event_id"][0], c["_cell"][a], last))
-            i = int(_first_allowed(c["entry"][a:b], last, min_delta))
-            if i < b - a:
-                last = c["leave"][a + i]
-        return out
-
-    begin = per_group(table.join(runs, ["event_id", "_cell"]), ["event_id", "_run"], ["_cell", "entry"], walk,
+    table = pinned(table.withColumn("_block", F.floor(F.col("_cell") / block)))
+    blocks = per_group(table, ["event_id", "_block"], ["_cell", "entry"], composed, "event_id bigint, _block bigint, entry double, leave double")
+    blocks = per_group(blocks.withColumn("before", F.lit(float("-inf"))), ["event_id"], ["_block", "entry"], walk("_block"),
+                       "event_id bigint, _block bigint, before double")
+    begin = per_group(table.join(blocks, ["event_id", "_block"]), ["event_id", "_block"], ["_cell", "entry"], walk("_cell"),
                       "event_id bigint, _cell bigint, before double")
 
     def keep(c):

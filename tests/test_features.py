@@ -14,6 +14,7 @@ from chronotag.operators import features as X
 from chronotag.operators import filters, jobs, patterns
 from chronotag.operators.features import Chain, Observations
 from chronotag.plans.durable import pinned
+from chronotag.plans.sequential import small_batches
 from chronotag.streaming import feeds, run, stateful
 from tests.conftest import tagged
 
@@ -79,12 +80,14 @@ def test_runs(spark):
     assert [(r["time"], r["segment"], r["start"], r["end"]) for r in out] == [(2.0, 1, 1.5, 3.5), (3.0, 1, 1.5, 3.5)]
 
 
-@pytest.mark.parametrize("past, future", [(1.0, 0.5), (None, 1.0), (0.7, None)])
-def test_smoothing(spark, past, future):
+@pytest.mark.parametrize("past, future, limit", [(1.0, 0.5, None), (None, 1.0, None), (0.7, None, None), (1.0, 0.5, 15), (6.0, 4.0, 15), (None, 1.0, 15), (0.7, None, 15)])
+def test_smoothing(spark, past, future, limit):
     rnd = random.Random(8)
     times = sorted(rnd.uniform(0, 40) for _ in range(120))
     rows = [(1, t, [rnd.uniform(0, 9)]) for t in times]
-    got = column(X.smoothing("s", "x", past, future).apply(observe(spark, rows)), "s")
+    with small_batches(spark, 40):
+        got = column(X.smoothing("s", "x", past, future).apply(observe(spark, rows + [(2, 20.0, [4.0])], limit)), "s")
+    assert got.pop() == [4.0]
 
     def pdf(d, sd):
         return math.exp(-d * d / (2 * sd * sd)) / math.sqrt(2 * math.pi) / sd
@@ -100,6 +103,17 @@ def test_smoothing(spark, past, future):
         assert got[i][0] == pytest.approx(total / weight, rel=1e-3)
 
 
+def test_smoothing_without_values(spark):
+    rows = [(1, 0.0, None), (1, 0.1, [2.0, 3.0]), (1, 0.2, [float("nan"), 3.0]), (1, 9.0, None), (1, 9.1, [7.0, 8.0]), (2, 5.0, None)]
+    obs = observe(spark, rows, name="kept")
+    out = X.smoothing("x", "x", 0.01, 1.0).apply(obs).df()
+    got = [r["x"] for r in out.orderBy("instance_id", "time").collect()]
+    # the first row at or beyond three deviations ahead counts, although it is far away
+    assert got == [[None, pytest.approx(3.0, abs=0.01)], [None, pytest.approx(3.0, abs=0.01)], [None, 3.0], [7.0, 8.0], [7.0, 8.0], None]
+    assert out.select("name").distinct().collect()[0][0] == "kept" and set(out.columns) == set(obs.df().columns)
+    assert X.smoothing("x", "x", 1.0, 1.0).apply(Observations.of(obs.df().limit(0))).df().count() == 0
+
+
 def test_chain_is_the_same_for_long_instances(spark):
     rnd = random.Random(9)
     rows = [(k, t, [rnd.uniform(0, 9), rnd.uniform(0, 9)]) for k in (1, 2) for t in sorted({rnd.uniform(0, 50) for _ in range(60 if k == 1 else 8)})]

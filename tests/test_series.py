@@ -59,6 +59,23 @@ def test_decimation(spark, delta, cell):
     assert sorted((r["event_id"], r["time"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("block", [1, 5])
+def test_decimation_by_composed_step_tables(spark, block):
+    rnd = random.Random(14)
+    rows = [(1, i * 0.26 + rnd.uniform(0, 0.2), [0.0]) for i in range(1200)] + [(2, 40.0 * i + rnd.uniform(0, 30), [0.0]) for i in range(30)]
+    got = series.decimate(spark.createDataFrame(rows, NUMBERS), 1.0, 4.0, block)
+    want = sorted((e, t) for e in (1, 2) for t in brute_decimation([t for f, t, _ in rows if f == e], 1.0))
+    assert sorted((r["event_id"], r["time"]) for r in got.collect()) == want
+
+
+def test_decimation_of_a_long_gapless_series(spark):
+    times = spark.range(1_000_000).select(F.lit(1).cast("bigint").alias("event_id"), (F.col("id") * 0.37).alias("time"), F.array(F.lit(0.0).cast("float")).alias("value"))
+    got = series.decimate(times, 1.0, 500.0, 32)
+    want = brute_decimation([i * 0.37 for i in range(1_000_000)], 1.0)
+    assert tuple(got.agg(F.count("time"), F.max("time")).first()) == (len(want), want[-1])
+    assert [r["time"] for r in got.where("time > 300000 and time < 300100").orderBy("time").collect()] == [t for t in want if 300000 < t < 300100]
+
+
 def test_adding_samples(spark):
     s = Store(empty(spark, EVENTS), empty(spark, SAMPLES))
     s, found = series.add_sample_by_tags(s, "a=1", 1.0, [5.0])
