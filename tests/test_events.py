@@ -337,10 +337,16 @@ def test_updates(spark, sets):
 
 
 def test_state_sequence(spark):
-    rows = [("Bob", 10.0, "city=ABQ"), ("Bob", 20.0, "city=ABQ"), ("Bob", 30.0, "city=LA"), ("Bob", 40.0, "city=SLC"), ("Bob", 50.0, "city=ABQ")]
+    rnd = random.Random(21)
+    rows = [(k, t + rnd.random(), rnd.choice(["gear=1", "gear=2", "gear=2,lamp=on"])) for k in ("p", "q") for t in range(60)]
+    want = []
+    for k in ("p", "q"):
+        own = [r for r in rows if r[0] == k]
+        starts = [i for i, r in enumerate(own) if i == 0 or own[i - 1][2] != r[2]]
+        want += [(k, own[i][1], own[j][1] if j else 100.0, own[i][2]) for i, j in zip(starts, [*starts[1:], None])]
     df = spark.createDataFrame(rows, "who string, time double, info string").repartition(3)
-    got = sorted((r["start_time"], r["end_time"], r["info"]) for r in E.state_changes(df, ["who"], end=F.lit(100.0) + F.max("time") * 0).collect())
-    assert got == [(10.0, 30.0, "city=ABQ"), (30.0, 40.0, "city=LA"), (40.0, 50.0, "city=SLC"), (50.0, 100.0, "city=ABQ")]
+    out = E.state_changes(df, ["who"], end=F.lit(100.0) + F.max("time") * 0)
+    assert sorted((r["who"], r["start_time"], r["end_time"], r["info"]) for r in out.collect()) == sorted(want)
 
 
 @pytest.mark.parametrize("size", [3, 7, 1000])
