@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotag.functions import tags as T
@@ -129,30 +129,58 @@ def tagset_order(df: DataFrame, names: list[str] | None = None, names_first: boo
     compared one by one, and where they are equal so far fewer values come first. With `names_first` the sorted names of two sets are
     compared in the same way before the values of each name are. Values of a name are compared as numbers when all of them are numbers.
 
-    Keys are made once per distinct tagset and from its own tags, so neither the number of names in the table nor that of the chosen
-    ones makes plans or rows wider.
+    A row's key is made of its own tags and of the places of the names, which are one small row as long as there are at most MAX_NAMES
+    of them: no tagset is moved. With more names the key of each distinct tagset is put together from its pairs.
     """
+    names_of = df.select(F.explode("tags").alias("p")).groupBy(F.col("p.name").alias("_name")).agg(
+        F.bool_and(F.col("p.value").try_cast("double").isNotNull()).alias("_numeric"))
+    if names is None:
+        kinds = ranked(names_of, ["_name"]).withColumnRenamed("rank", "_place")
+    else:
+        places = df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(names))], "_name string, _place long")
+        kinds = names_of.join(small_side(places), "_name")
+    kinds = pinned(kinds)
+    if kinds.limit(MAX_NAMES + 1).count() > MAX_NAMES:
+        return _order_by_pairs(df, kinds, names_first)
+    about = F.broadcast(kinds.agg(F.map_from_entries(F.collect_list(F.struct("_name", F.struct("_place", "_numeric")))).alias("_kinds")))  # one row
+    here = F.filter(F.array_distinct(F.transform("tags", lambda t: t["name"])), lambda n: F.map_contains_key("_kinds", n))
+
+    def values(name):
+        mine = F.filter("tags", lambda t: t["name"] == name)
+        return F.sort_array(F.transform(mine, lambda t: _comparable(t["value"], F.element_at("_kinds", name)["_numeric"])))
+
+    def entry(name):
+        return F.struct(F.element_at("_kinds", name)["_place"].alias("_place"), values(name).alias("values"))
+    # a set without any of the names is null and comes first
+    df = df.crossJoin(about).withColumn("_entries", F.transform(here, entry))
+    return df.withColumn("_order", F.when(F.size("_entries") > 0, _tagset_key(F.col("_entries"), names_first))).drop("_entries", "_kinds")
+
+
+#: Names whose places go to every task.
+MAX_NAMES = 10_000
+
+
+def _comparable(value: Column, numeric: Column) -> Column:
+    return F.struct(F.when(numeric, value.try_cast("double")).alias("number"), F.when(~numeric, value).alias("text"))
+
+
+def _tagset_key(entries: Column, names_first: bool) -> Column:
+    """The key of a tagset from its (_place, values)."""
+    if names_first:
+        entries = F.sort_array(entries)
+        return F.struct(F.transform(entries, lambda e: e["_place"]).alias("names"), F.transform(entries, lambda e: e["values"]).alias("values"))
+    # of two sets the one that has the earlier name is the greater: places count down
+    return F.sort_array(F.transform(entries, lambda e: F.struct((-e["_place"]).alias("place"), e["values"].alias("values"))), asc=False)
+
+
+def _order_by_pairs(df: DataFrame, kinds: DataFrame, names_first: bool) -> DataFrame:
+    """`tagset_order` for any number of names: keys once per distinct tagset, from its pairs."""
     text = T.to_text(F.col("tags"))
     pairs = df.select(text.alias("_text"), "tags").dropDuplicates(["_text"]).select("_text", F.explode("tags").alias("p")).select("_text", "p.name", "p.value")
-    if names is not None:
-        places = df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(names))], "_name string, _place long")
-        pairs = pairs.join(small_side(places), F.col("name") == F.col("_name")).drop("_name")
-    pairs = pinned(pairs)
-    kinds = pairs.groupBy(F.col("name").alias("_name")).agg(F.bool_and(F.col("value").try_cast("double").isNotNull()).alias("_numeric"))
-    if names is None:
-        kinds = ranked(kinds, ["_name"]).withColumnRenamed("rank", "_place")
-    pairs = pairs.join(small_side(pinned(kinds)), F.col("name") == F.col("_name")).drop("_name")
-    value = F.struct(F.when(F.col("_numeric"), F.col("value").try_cast("double")).alias("number"), F.when(~F.col("_numeric"), F.col("value")).alias("text"))
+    pairs = pairs.join(small_side(kinds), F.col("name") == F.col("_name")).drop("_name")
     # what is collected is as long as one tagset
-    per_name = pairs.groupBy("_text", "_place").agg(F.sort_array(F.collect_list(value)).alias("values"))
-    if names_first:
-        entries = F.sort_array(F.collect_list(F.struct("_place", "values")))
-        key = per_name.groupBy("_text").agg(entries.alias("_e")).select("_text", F.struct(F.col("_e._place").alias("names"), F.col("_e.values").alias("values")).alias("_order"))
-    else:  # of two sets the one that has the earlier name is the greater: places count down
-        entries = F.sort_array(F.collect_list(F.struct((-F.col("_place")).alias("place"), "values")), asc=False)
-        key = per_name.groupBy("_text").agg(entries.alias("_order"))
-    key = key.withColumnRenamed("_text", "_key")
-    # a set without any of the names is null and comes first
+    per_name = pairs.groupBy("_text", "_place").agg(F.sort_array(F.collect_list(_comparable(F.col("value"), F.col("_numeric")))).alias("values"))
+    key = per_name.groupBy(F.col("_text").alias("_key")).agg(F.collect_list(F.struct("_place", "values")).alias("_e")).select("_key", _tagset_key(F.col("_e"), names_first).alias("_order"))
     return df.withColumn("_text", text).join(key, F.col("_text") == F.col("_key"), "left").drop("_text", "_key")
 
 

@@ -473,3 +473,44 @@ def test_tagset_order_by_the_rule(spark):
         assert {r.id: r["rank"] for r in catalog.rank_by_tags(df, some, ("id",)).collect()} == {i: k + 1 for k, i in enumerate(want)}
     finally:
         spark.conf.unset("chronotag.maxRowsPerKey")
+
+
+def test_saved_filter_meets_events_by_its_rarest_pair(spark):
+    ev = tagged(spark, [(i, float(i), float(i + 1), f"type=error,user={i}") for i in range(300)] + [(999, 0.0, 1.0, "user=5")])
+    saved = spark.createDataFrame([(i, f"type=error,user={i}") for i in range(0, 300, 3)] + [(1000, "user=5"), (1001, "type,user=5"), (1002, "type=none,user=5"), (1003, "type,other")],
+                                  "filter_id long, text string")
+    got = {(r.filter_id, r.id) for r in filters.match_saved(ev, saved).collect()}
+    assert got == {(i, i) for i in range(0, 300, 3)} | {(1000, 5), (1000, 999), (1001, 5)}
+    # events that met a filter's rarest pair: not every error for every filter
+    asked = saved.select("filter_id", T.from_text(F.col("text")).alias("need")).where("filter_id < 1000")
+    plan = filters._by_rarest_need(ev, asked)
+    assert plan.count() == 100
+    looked_up = {(r.w_name, r.w_value) for r in filters._rarest(ev, asked.withColumn("_no", F.col("filter_id"))).collect()}
+    assert looked_up == {("user", str(i)) for i in range(0, 300, 3)}
+
+
+def test_sets_are_told_once_without_moving_them(spark):
+    ev = tagged(spark, [(i, float(i % 7), float(i % 7 + i % 3), "type=click" if i % 3 else "type=error") for i in range(1, 30)])
+    store = Store(ev)
+    for fs in (["type=click;type=error"] * 2, ["type=click;type=error"] * 3, ["type=click;type=error", "type=error;type=click"], ["type", "type=click", "type=error;type=click"]):
+        got = cooccur.concurrent(store, fs, with_order=True)
+        assert "min_by" not in got._jdf.queryExecution().analyzed().toString()
+        rows = [tuple(sorted(r.ids)) for r in got.collect()]
+        assert len(rows) == len(set(rows))
+        # with an id twice sets are compared across rows, as before
+        twice = cooccur.concurrent(Store(ev.unionByName(ev.where("id = 3"))), fs, with_order=True)
+        assert "min_by" in twice._jdf.queryExecution().analyzed().toString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, twice.collect()))
+
+
+def test_tagset_order_moves_no_tagsets(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [",".join(sorted({f"{rng.choice('abcd')}={rng.choice(['1', '10', '9', 'x'])}" for _ in range(rng.randrange(5))})) for _ in range(60)]
+    ev = tagged(spark, [(i, 0.0, 1.0, t) for i, t in enumerate(texts)])
+    for options in ({}, {"names_first": True}, {"names": ["c", "z", "a"]}):
+        ordered = catalog.tagset_order(ev, **options)
+        assert "Exchange hashpartitioning(_text" not in ordered._jdf.queryExecution().executedPlan().toString() and "_text" not in ordered._jdf.queryExecution().analyzed().toString()
+        got = {r.id: r["rank"] for r in catalog.rank_by_tags(ev, **options).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(catalog, "MAX_NAMES", 0)
+            assert got == {r.id: r["rank"] for r in catalog.rank_by_tags(ev, **options).collect()}
