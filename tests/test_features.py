@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -298,3 +299,51 @@ def test_pattern_stream_equals_batch(spark, tmp_path):
         return sorted((r["pattern"], r["start_pos"], r["end_pos"], round(r["error"], 6)) for r in x.collect())
     want = keys(patterns.search(df, shape, 0.2, 0.08))
     assert want and keys(run.replay(stateful.pattern_windows(stream(spark, tmp_path, df, 5, "time"), shape, 0.2, 0.08))) == want
+
+
+def test_group_values_are_made_once_per_time_and_found_by_trees(spark):
+    rng = np.random.default_rng(2)
+    smp = [(i, float(t), [float(np.float32(v)) for v in rng.integers(0, 30, 2)]) for i in range(300) for t in (0, 10)]
+    store = Store(tagged(spark, [(i, 0.0, 10.0, "type=mover" if i < 40 else "type=member") for i in range(300)]),
+                  spark.createDataFrame(smp, "event_id long, time double, value array<float>"))
+    times = spark.createDataFrame([(f"{i}", float(t)) for i in range(40) for t in (0, 5, 10, 11)], "instance_id string, time double")
+    members = jobs.group_members(store, times, "type=member")
+    assert members.columns == ["time", "member_id", "value"] and members.count() == 260 * 3
+    inst = spark.createDataFrame([(f"{i}", 0.0, 10.0, [i]) for i in range(40)], "instance_id string, start double, end double, ids array<long>")
+    obs = jobs.observe(store, inst, ["a"], times, {"g": "type=member"})
+    value = {(r.time, r.member_id): r.value for r in members.collect()}
+    rows = {(r.instance_id, r.time): (r.a, r.best) for r in X._with(obs.rows, X.nearest_members(obs, "g", "a", 3), ["best"]).df.collect()}
+    for (_, t), (a, best) in rows.items():
+        if a is None:
+            continue
+        near = sorted((float(np.hypot(*(np.array(v) - a))), m) for (at, m), v in value.items() if at == t)[:3]
+        assert [b.member_id for b in best] == [m for _, m in near]
+    assert sum(a is not None for a, _ in rows.values()) == 120
+
+
+def test_wrong_labels_meet_entities_that_pass_near(spark):
+    rng = np.random.default_rng(6)
+    series = {i: sorted(rng.choice(1000, rng.integers(1, 6), replace=False).tolist()) for i in range(40)}
+    pos = {(i, t): [float(np.float32(v)) for v in rng.uniform(0, 60, 2)] for i, ts in series.items() for t in ts}
+    store = Store(tagged(spark, [(i, float(ts[0]), float(ts[-1]), "a=1") for i, ts in series.items()]),
+                  spark.createDataFrame([(i, float(t), v) for (i, t), v in pos.items()], "event_id long, time double, value array<float>"))
+    # entities that live longer than their samples are extrapolated, one has no end
+    entities = [(i, "View" if i % 2 else "Car", -50.0, 1.7976931348623157e308 if i == 7 else 1050.0) for i in range(20, 40)] + [(7, "view", 0.0, 1.7976931348623157e308)]
+    labels = [(n, i, "VIEW", float(rng.uniform(series[i][0], series[i][-1]))) for n, i in enumerate(rng.integers(0, 20, 200).tolist())]
+
+    def at(i, t):
+        ts = series[i]
+        if len(ts) == 1:
+            return np.array(pos[i, ts[0]])
+        k = min(max(np.searchsorted(ts, t, side="right") - 1, 0), len(ts) - 2)
+        a, b = np.array(pos[i, ts[k]]), np.array(pos[i, ts[k + 1]])
+        return a + (b - a) * (t - ts[k]) / (ts[k + 1] - ts[k])
+    for within in (3.0, 15.0):
+        good = {n for n, i, _, t in labels for e, kind, s, z in entities
+                if kind.lower() == "view" and s <= t <= z and np.hypot(*(at(i, t) - at(e, t))) <= within}
+        df = spark.createDataFrame(labels, "label_id long, track_id long, label string, time double")
+        tracks = spark.createDataFrame([(i, i) for i in range(20)], "track_id long, event_id long")
+        ents = spark.createDataFrame(entities, "event_id long, type string, start_time double, end_time double")
+        assert {r.label_id for r in jobs.wrong_labels(store, df, tracks, ents, within).collect()} == {n for n, *_ in labels} - good
+        # what is measured is a small part of all labels with all entities of their type
+    assert 0 < len(good) < 200
