@@ -19,11 +19,14 @@ from chronotag.operators import cooccur, filters, series
 from chronotag.operators import events as E
 from chronotag.operators.filters import Filter
 from chronotag.plans.durable import pinned
-from chronotag.plans.ordered import Ordered
+from chronotag.plans.ordered import Ordered, max_rows
 
 # Tags of a header line that are not stored as tags.
 RESERVED = ["start", "end", "time", "ID"]
 
+# Lines of one file that a task reads in order; a longer file is read in pieces.
+FILE_LINES = 250_000
+
 
 # --- reading -----------------------------------------------------------------------------------
 
@@ -56,7 +59,7 @@ def parse_lines(lines: DataFrame, add_tags: str | None = None) -> tuple[DataFram
     """
     keys = ["file", "mux"]
     state = F.when(F.col("kind") == "blank", "closed").when(F.col("kind") != "data", "open")
-    o = Ordered(lines, keys, ["block", "line"]).fill_forward(inclusive=False, _state=state)
+    o = Ordered(lines, keys, ["block", "line"], min(FILE_LINES, max_rows(lines))).fill_forward(inclusive=False, _state=state)
     closed = F.coalesce(F.col("_state") == "closed", F.lit(True))
     o = o.with_columns(kind=F.when((F.col("kind") == "more") & closed, "header").otherwise(F.col("kind")),
                        _bad=(F.col("kind") == "data") & closed)

@@ -91,3 +91,37 @@ def test_asof(spark, limit):
             assert got[n]["l"] == [7.0, 7.0]
         else:  # the series are straight lines, inside and outside
             assert got[n]["l"] == pytest.approx([t * e, 1.0], rel=1e-4, abs=1e-4)
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    from chronotag.plans import ordered
+    from chronotag.operators import features as X
+    from chronotag.operators.features import Observations
+    df = spark.createDataFrame([(f"{i % 50}", float(i), [float(i)]) for i in range(1000)], "instance_id string, time double, x array<float>")
+    want = {(r.instance_id, r.time): r.s for r in X.smoothing("s", "x", 30.0, 0.0).apply(Observations.of(df)).df().collect()}
+    assert Ordered(df, "instance_id", "time").df.rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    monkeypatch.setattr(ordered, "TASK_ROWS", 100)
+    obs = Observations.of(df)
+    assert obs.rows.tasks == 10 and obs.rows.df.rdd.getNumPartitions() == 10
+    got = X.smoothing("s", "x", 30.0, 0.0).apply(obs).df()
+    assert got.rdd.getNumPartitions() == 10 and {(r.instance_id, r.time): r.s for r in got.collect()} == want
+
+
+def test_long_line_files_are_read_in_pieces(spark, monkeypatch, tmp_path):
+    from chronotag.sources import textio
+    text = "".join(f"a={i}\n" + "".join(f"{t},{t * i}\n" for t in range(i % 7)) + f"+b={i % 3}\n\n" for i in range(1, 60))
+    (tmp_path / "one.txt").write_text(text)
+
+    def read():
+        heads, samples = textio.parse_lines(textio.read_lines(spark, str(tmp_path)))
+        return (sorted(map(str, heads.drop("block", "line", "created").collect())), sorted(map(str, samples.collect())))
+    want, sizes = read(), []
+    whole = textio.Ordered
+
+    def seen(*args, **kw):
+        out = whole(*args, **kw)
+        sizes.append(out.df.groupBy("_chunk").count().agg({"count": "max"}).first()[0] if out.split else None)
+        return out
+    monkeypatch.setattr(textio, "Ordered", seen)
+    monkeypatch.setattr(textio, "FILE_LINES", 60)
+    assert read() == want and sizes[0] is not None and sizes[0] <= 60

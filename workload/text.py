@@ -26,11 +26,12 @@ def _lines(spark, folder, mux=False):
     blank = ends.select("user_id", F.col("hi").alias("at"), F.lit(4).alias("place"), F.lit("").alias("text"))
     rows = head.unionByName(more).unionByName(data).unionByName(last)
     path = work_folder(spark, "lines")
+    files = max(3, r.count() // 500_000)  # a task sorts the lines of one file
     if mux:  # the users' lines one among the other, in order of time
-        rows = rows.repartition(3, F.col("user_id") % 3).sortWithinPartitions("at", "user_id", "place", "text")
+        rows = rows.repartition(files, F.col("user_id") % files).sortWithinPartitions("at", "user_id", "place", "text")
         rows = rows.select(F.concat(F.lit("u"), "user_id", F.lit(" "), "text").alias("value"))
     else:
-        rows = rows.unionByName(blank).repartition(3, "user_id").sortWithinPartitions("user_id", "at", "place", "text").select(F.col("text").alias("value"))
+        rows = rows.unionByName(blank).repartition(files, "user_id").sortWithinPartitions("user_id", "at", "place", "text").select(F.col("text").alias("value"))
     rows.write.text(path)
     return path
 
