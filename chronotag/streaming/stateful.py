@@ -11,7 +11,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -203,8 +203,15 @@ def _value(samples: list, time: float) -> list[float] | None:
     return [float(np.float32(x + (y - x) * ((time - t1) / (t2 - t1)))) for x, y in zip(a, b)]
 
 
-#: What is kept of an event: its roles, its span and its last two samples.
-ONLINE_EVENT = "roles array<int>, start_time double, end_time double, t1 double, v1 array<float>, t2 double, v2 array<float>"
+#: What is kept of a key, read and written in one piece: of each event its roles, its span and its last two samples; of each running
+#: instance its ids and start; and the time of the timer that is set.
+ONLINE_EVENT = "struct<id:bigint,roles:array<int>,start_time:double,end_time:double,t1:double,v1:array<float>,t2:double,v2:array<float>>"
+ONLINE_STATE = f"events array<{ONLINE_EVENT}>, instances array<struct<ids:array<bigint>,start_time:double>>, timer double"
+ONLINE_COLUMNS = ["id", "seq", "change", "start_time", "end_time", "time", "value", "roles"]
+
+
+def _numbers(values) -> list[float]:
+    return [np.nan if v is None else v for v in values]
 
 
 class _Online(_Keyed):
@@ -213,28 +220,32 @@ class _Online(_Keyed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getMapState("events", "id bigint", ONLINE_EVENT)
-        self.instances = handle.getMapState("instances", "ids string", "start_time double")
+        self.state = handle.getValueState("online", ONLINE_STATE)
 
     def _load(self):
-        """Events as [roles, start, end, samples] by id and running instances (ids: start), as they were at the end of the last batch."""
-        events = {}
-        for (id_,), (roles, start, end, t1, v1, t2, v2) in self.events.iterator():
-            events[id_] = [list(roles), start, end, [(t, list(v)) for t, v in ((t1, v1), (t2, v2)) if v is not None]]
-        running = {tuple(map(int, k[0].split(","))): v[0] for k, v in self.instances.iterator()}
-        return events, running, set(events), set(running)
-
-    def _save(self, events, running, had, ran, touched):
-        for id_ in had - set(events):
-            self.events.removeKey((id_,))
-        for id_ in touched & set(events):
-            roles, start, end, samples = events[id_]
+        """Events as [roles, start, end, samples] by id, running instances (ids: start) and the timer's time."""
+        state = self.state.get()
+        if state is None:
+            return {}, {}, None
+        events = {id_: [list(roles), start, end, [(t, list(v)) for t, v in ((t1, v1), (t2, v2)) if v is not None]]
+                  for id_, roles, start, end, t1, v1, t2, v2 in state[0]}
+        return events, {tuple(ids): start for ids, start in state[1]}, state[2]
+
+    def _save(self, events, running, timer):
+        """Keeps what goes on; with a bound on lateness one timer waits for the earliest event to end."""
+        if self.timed:
+            first = min((e[2] for e in events.values() if e[2] < MAX_TIME), default=None)
+            if first is not None and (timer is None or first < timer):
+                _timer(self.handle, first)
+                timer = first
+        if not events and not running:
+            self.state.clear()
+            return
+        kept = []
+        for id_, (roles, start, end, samples) in events.items():
             (t1, v1), (t2, v2) = [*samples, (None, None), (None, None)][:2]
-            self.events.updateValue((id_,), (roles, start, end, t1, v1, t2, v2))
-        for ids in ran - set(running):
-            self.instances.removeKey((",".join(map(str, ids)),))
-        for ids in set(running) - ran:
-            self.instances.updateValue((",".join(map(str, ids)),), (running[ids],))
+            kept.append((id_, roles, start, end, t1, v1, t2, v2))
+        self.state.update((kept, [(list(ids), start) for ids, start in running.items()], timer))
 
     @staticmethod
     def _close(running, id_, time, out):
@@ -242,53 +253,49 @@ class _Online(_Keyed):
             out.append(("done", ids, time, [], []))
             del running[ids]
 
-    def _rows(self, key, out):
-        return pd.DataFrame([{
-            "key": key[0], "kind": kind, "instance_id": ",".join(map(str, ids)), "ids": list(ids), "time": time,
-            "values": vals, "members": members} for kind, ids, time, vals, members in out],
-            columns=["key", "kind", "instance_id", "ids", "time", "values", "members"])
+    @staticmethod
+    def _rows(key, out):
+        for kind, ids, time, vals, members in out:
+            yield Row(key=key[0], kind=kind, instance_id=",".join(map(str, ids)), ids=list(ids), time=time, values=vals, members=members)
 
     def handleInputRows(self, key, rows, timerValues):
-        events, running, had, ran = self._load()
-        touched, out = set(), []
+        events, running, timer = self._load()
+        out = []
         leads = {}
         for ids in running:
             leads.setdefault(ids[0], []).append(ids)
-        for r in _ordered(rows, ["seq"]).itertuples():
-            id_ = int(r.id)
-            if r.change in ("added", "modified"):
-                events[id_] = [[int(x) for x in r.roles], float(r.start_time), float(r.end_time), events[id_][3] if id_ in events else []]
-                touched.add(id_)
-                if r.change == "added":
-                    for ids in self._begin(events, running, float(r.start_time)):
-                        running[ids] = float(r.start_time)
+        changes = sorted((tuple(r[c] for c in ONLINE_COLUMNS) for r in rows), key=lambda r: (r[1] is None, r[1] or 0))
+        for id_, _, change, *times, value, roles in changes:
+            start_time, end_time, time = _numbers(times)
+            if change in ("added", "modified"):
+                events[id_] = [list(roles), start_time, end_time, events[id_][3] if id_ in events else []]
+                if change == "added":
+                    for ids in self._begin(events, running, start_time):
+                        running[ids] = start_time
                         leads.setdefault(ids[0], []).append(ids)
-                        out.append(("init", ids, float(r.start_time), [], []))
-                elif r.end_time < MAX_TIME:
-                    self._close(running, id_, float(r.end_time), out)
-                if self.timed and r.end_time < MAX_TIME:
-                    _timer(self.handle, float(r.end_time))
-            elif r.change == "removed" and id_ in events:
-                self._close(running, id_, float(r.end_time), out)
+                        out.append(("init", ids, start_time, [], []))
+                elif end_time < MAX_TIME:
+                    self._close(running, id_, end_time, out)
+            elif change == "removed" and id_ in events:
+                self._close(running, id_, end_time, out)
                 events.pop(id_)
-            elif r.change == "data_added" and id_ in events:
-                events[id_][3] = (events[id_][3] + [(float(r.time), [float(v) for v in r.value])])[-2:]
-                touched.add(id_)
+            elif change == "data_added" and id_ in events:
+                events[id_][3] = (events[id_][3] + [(time, _numbers(value))])[-2:]
                 for ids in leads.get(id_, ()):
                     if ids in running:
-                        self._observe(events, ids, float(r.time), out)
-        self._save(events, running, had, ran, touched)
-        yield self._rows(key, out)
+                        self._observe(events, ids, time, out)
+        self._save(events, running, timer)
+        yield from self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Everything up to the watermark has arrived: events that ended before take part in nothing more."""
-        events, running, had, ran = self._load()
+        events, running, _ = self._load()
         out, until = [], _watermark(timerValues)
         for id_ in sorted((i for i, e in events.items() if e[2] < until), key=lambda i: (events[i][2], i)):
             self._close(running, id_, events[id_][2], out)
             del events[id_]
-        self._save(events, running, had, ran, set())
-        yield self._rows(key, out)
+        self._save(events, running, None)
+        yield from self._rows(key, out)
 
     def _begin(self, events, running, time):
         """Sets of different events, one for each input, that go on at `time` and are not known yet."""
@@ -307,7 +314,7 @@ class _Online(_Keyed):
         for g in range(self.n_groups):
             for i, (roles, start, end, samples) in events.items():
                 if self.n_inputs + g in roles and start <= time <= end and samples:
-                    members.append({"group_no": g, "member_id": i, "value": _value(samples, time)})
+                    members.append((g, i, _value(samples, time)))
         out.append(("observe", ids, time, values, members))
 
 
@@ -336,9 +343,10 @@ def online_instances(changes: DataFrame, inputs: list[Filter], groups: list[Filt
     df = df.where((F.col("change") == "data_added") | (F.size("roles") > 0))
     if lateness:
         df = with_lateness(df, "at", lateness)
-    return _run(df, ["key"], _Online(len(inputs), len(groups), lateness is not None),
-                "key string, kind string, instance_id string, ids array<bigint>, time double, values array<array<float>>, "
-                "members array<struct<group_no:int,member_id:bigint,value:array<float>>>", timed=lateness is not None)
+    use_state_store(df.sparkSession)
+    return df.groupBy("key").transformWithState(
+        _Online(len(inputs), len(groups), lateness is not None), "key string, kind string, instance_id string, ids array<bigint>, time double, values array<array<float>>, "
+                "members array<struct<group_no:int,member_id:bigint,value:array<float>>>", "append", "EventTime" if lateness else "None")
 
 
 # --- patterns as samples arrive ---------------------------------------------------------------------------

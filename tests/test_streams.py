@@ -86,3 +86,55 @@ def test_ended_events_leave_the_state(spark):
         return spark.read.format("statestore").option("stateVarName", name).load(marks)
     assert left("instances").count() == 0
     assert [r[0] for r in left("events").select("user_map_key.id" if "user_map_key" in left("events").columns else "key").collect()] == [99]
+
+
+def test_online_state_takes_few_calls_and_one_timer():
+    from pyspark.sql import Row
+    calls, forever = [], MAX_TIME
+
+    class State:
+        kept = None
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, value):
+            calls.append("update")
+            self.kept = value
+
+        def clear(self):
+            calls.append("clear")
+            self.kept = None
+
+    class Handle:
+        timers = []
+
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Clock:
+        ms = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+    handle, clock, work = Handle(), Clock(), stateful._Online(1, 1, True)
+    work.init(handle)
+
+    def row(id_, seq, change, end=forever, time=None):
+        return Row(id=id_, seq=seq, change=change, start_time=0.0, end_time=end, time=time, value=None if time is None else [time], roles=[int(id_ > 0)])
+    rows = [row(i, i, "added") for i in range(20)] + [row(i, 100 + i, "data_added", time=1.0 + i) for i in range(20)] + [row(0, 200, "data_added", time=50.0)]
+    out = list(work.handleInputRows(("k",), iter(rows), clock))
+    assert calls == ["get", "update"] and [r.kind for r in out].count("observe") == 2 and len(out[-1].members) == 19
+    # all events end: one timer, for the first of them
+    out = list(work.handleInputRows(("k",), iter([row(i, 300 + i, "modified", end=60.0 + i) for i in range(20)]), clock))
+    assert calls == ["get", "update"] * 2 and len(handle.timers) == 1 and [r.kind for r in out] == ["done"]
+    clock.ms = int((65.5 + stateful.AHEAD) * 1000)
+    assert list(work.handleExpiredTimer(("k",), clock, None)) == [] and len(handle.timers) == 2
+    assert sorted(e[0] for e in work.state.kept[0]) == list(range(6, 20))
+    clock.ms = int((1000 + stateful.AHEAD) * 1000)
+    list(work.handleExpiredTimer(("k",), clock, None))
+    assert work.state.kept is None and len(handle.timers) == 2
