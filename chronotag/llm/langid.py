@@ -142,14 +142,20 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None, sharp
 
 
 
-def keep(docs: DataFrame, model: Model, languages: list[str] | None = None) -> DataFrame:
-    """`docs` with a predicted language among `languages` (any learned one if not given), in place: all columns, no shuffle."""
+def keep(docs: DataFrame, model: Model, languages: list[str] | None = None, label: str | None = None) -> DataFrame:
+    """`docs` with a predicted language among `languages` (any learned one if not given), in place: all columns, no shuffle.
+
+    With `label`, a column, documents that read as another language than it says go as well; a null says nothing.
+    """
     wanted = np.array([not languages or x in languages for x in model.languages], bool)
 
     def run(batches):
         for b in batches:
             if model.weights is not None and b.num_rows:
                 best = np.concatenate([(x @ model.weights).argmax(1) for x in unit(b.column("text"))])
-                yield b.filter(pa.array(wanted[best]))
+                kept = wanted[best]
+                if label:
+                    kept &= np.array([x is None or x == model.languages[i] for x, i in zip(b.column(label).to_pylist(), best)], bool)
+                yield b.filter(pa.array(kept))
 
     return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -12,8 +12,8 @@ from chronotag.llm.common import pinned, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the classifier has learned; texts without letters go."""
-    return langid.keep(docs, langid.fit(docs))
+    """Documents that the classifier reads as the language they are labelled with, or without a label; texts without letters go."""
+    return langid.keep(docs, langid.fit(docs), label="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -390,3 +390,14 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in out} <= want and all(0 <= r.shard < 40 for r in out)
     sizes = collections.Counter(r.source for r in out)
     assert set(sizes) == {rows[d].source for d in want}
+
+
+def test_pipeline_language_drops_wrong_labels(spark, tmp_path):
+    words = {"en": "the house and with some water under this old bridge where children think about other things".split(),
+             "de": "das haus und mit etwas wasser unter dieser alten br\u00fccke wo kinder \u00fcber andere sachen nachdenken".split()}
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(words[x], k=30)), x, "web", "u") for i in range(120) for x in [("en", "de")[i % 2]]]
+    odd = [(1000, " ".join(rng.choices(words["en"], k=30)), "de", "web", "u"), (1001, " ".join(rng.choices(words["de"], k=30)), None, "web", "u"), (1002, "12 34 5", "en", "web", "u")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, url string")
+    kept = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} | {1001}
