@@ -32,7 +32,7 @@ from chronotag.llm.common import small_batches, written
 
 LONGEST = 3
 #: Edges in a row of `paths`, rows a task collects before it counts them, salts of hot words.
-STRETCH, GATHER, SALTS = 1000, 1 << 20, 16
+STRETCH, GATHER, SALTS = 1000, 1 << 18, 16
 _READ = np.arange(256, dtype=np.uint8)
 _READ[65:91] += 32
 _READ[list(b".,;:!?\x0b\x0c\r")] = 10
