@@ -255,8 +255,11 @@ class _Online(_Keyed):
 
     @staticmethod
     def _rows(key, out):
+        def told(x):  # what is not known is null
+            return None if x is None or x != x else x
         for kind, ids, time, vals, members in out:
-            yield Row(key=key[0], kind=kind, instance_id=",".join(map(str, ids)), ids=list(ids), time=time, values=vals, members=members)
+            yield Row(key=key[0], kind=kind, instance_id=",".join(map(str, ids)), ids=list(ids), time=told(time),
+                      values=[v and [told(x) for x in v] for v in vals], members=[(g, i, [told(x) for x in v]) for g, i, v in members])
 
     def handleInputRows(self, key, rows, timerValues):
         events, running, timer = self._load()
