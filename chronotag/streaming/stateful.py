@@ -203,10 +203,8 @@ def _value(samples: list, time: float) -> list[float] | None:
     return [float(np.float32(x + (y - x) * ((time - t1) / (t2 - t1)))) for x, y in zip(a, b)]
 
 
-#: What is kept of a key, read and written in one piece: of each event its roles, its span and its last two samples; of each running
-#: instance its ids and start; and the time of the timer that is set.
-ONLINE_EVENT = "struct<id:bigint,roles:array<int>,start_time:double,end_time:double,t1:double,v1:array<float>,t2:double,v2:array<float>>"
-ONLINE_STATE = f"events array<{ONLINE_EVENT}>, instances array<struct<ids:array<bigint>,start_time:double>>, timer double"
+#: What is kept of an event: its roles, its span and its last two samples.
+ONLINE_EVENT = "roles array<int>, start_time double, end_time double, t1 double, v1 array<float>, t2 double, v2 array<float>"
 ONLINE_COLUMNS = ["id", "seq", "change", "start_time", "end_time", "time", "value", "roles"]
 
 
@@ -220,32 +218,40 @@ class _Online(_Keyed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("online", ONLINE_STATE)
+        self.events = handle.getMapState("events", "id bigint", ONLINE_EVENT)
+        self.instances = handle.getMapState("instances", "ids string", "start_time double")
+        self.timer = handle.getValueState("timer", "time double")  # of the one timer that is set
 
     def _load(self):
-        """Events as [roles, start, end, samples] by id, running instances (ids: start) and the timer's time."""
-        state = self.state.get()
-        if state is None:
-            return {}, {}, None
+        """Events as [roles, start, end, samples] by id and running instances (ids: start), as they were at the end of the last batch,
+        and both as they are stored."""
+        stored = {id_: tuple(e) for (id_,), e in self.events.iterator()}
         events = {id_: [list(roles), start, end, [(t, list(v)) for t, v in ((t1, v1), (t2, v2)) if v is not None]]
-                  for id_, roles, start, end, t1, v1, t2, v2 in state[0]}
-        return events, {tuple(ids): start for ids, start in state[1]}, state[2]
-
-    def _save(self, events, running, timer):
-        """Keeps what goes on; with a bound on lateness one timer waits for the earliest event to end."""
-        if self.timed:
-            first = min((e[2] for e in events.values() if e[2] < MAX_TIME), default=None)
-            if first is not None and (timer is None or first < timer):
-                _timer(self.handle, first)
-                timer = first
-        if not events and not running:
-            self.state.clear()
-            return
-        kept = []
+                  for id_, (roles, start, end, t1, v1, t2, v2) in stored.items()}
+        running = {tuple(map(int, k[0].split(","))): v[0] for k, v in self.instances.iterator()}
+        return events, running, stored, set(running)
+
+    def _save(self, events, running, stored, ran, fired=False):
+        """Writes what has changed; with a bound on lateness one timer waits for the earliest event to end."""
+        for id_ in set(stored) - set(events):
+            self.events.removeKey((id_,))
         for id_, (roles, start, end, samples) in events.items():
             (t1, v1), (t2, v2) = [*samples, (None, None), (None, None)][:2]
-            kept.append((id_, roles, start, end, t1, v1, t2, v2))
-        self.state.update((kept, [(list(ids), start) for ids, start in running.items()], timer))
+            kept = (roles, start, end, t1, v1, t2, v2)
+            if stored.get(id_) != kept:
+                self.events.updateValue((id_,), kept)
+        for ids in ran - set(running):
+            self.instances.removeKey((",".join(map(str, ids)),))
+        for ids in set(running) - ran:
+            self.instances.updateValue((",".join(map(str, ids)),), (running[ids],))
+        first = min((e[2] for e in events.values() if e[2] < MAX_TIME), default=None) if self.timed else None
+        if first is not None:
+            waits = None if fired else self.timer.get()
+            if waits is None or first < waits[0]:
+                _timer(self.handle, first)
+                self.timer.update((first,))
+        elif fired:
+            self.timer.clear()
 
     @staticmethod
     def _close(running, id_, time, out):
@@ -262,7 +268,7 @@ class _Online(_Keyed):
                       values=[v and [told(x) for x in v] for v in vals], members=[(g, i, [told(x) for x in v]) for g, i, v in members])
 
     def handleInputRows(self, key, rows, timerValues):
-        events, running, timer = self._load()
+        events, running, stored, ran = self._load()
         out = []
         leads = {}
         for ids in running:
@@ -287,17 +293,17 @@ class _Online(_Keyed):
                 for ids in leads.get(id_, ()):
                     if ids in running:
                         self._observe(events, ids, time, out)
-        self._save(events, running, timer)
+        self._save(events, running, stored, ran)
         yield from self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Everything up to the watermark has arrived: events that ended before take part in nothing more."""
-        events, running, _ = self._load()
+        events, running, stored, ran = self._load()
         out, until = [], _watermark(timerValues)
         for id_ in sorted((i for i, e in events.items() if e[2] < until), key=lambda i: (events[i][2], i)):
             self._close(running, id_, events[id_][2], out)
             del events[id_]
-        self._save(events, running, None)
+        self._save(events, running, stored, ran, fired=True)
         yield from self._rows(key, out)
 
     def _begin(self, events, running, time):

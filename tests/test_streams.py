@@ -88,28 +88,39 @@ def test_ended_events_leave_the_state(spark):
     assert [r[0] for r in left("events").select("user_map_key.id" if "user_map_key" in left("events").columns else "key").collect()] == [99]
 
 
-def test_online_state_takes_few_calls_and_one_timer():
+def test_online_events_share_one_timer():
     from pyspark.sql import Row
-    calls, forever = [], MAX_TIME
+    forever = MAX_TIME
 
     class State:
-        kept = None
+        def __init__(self):
+            self.kept, self.value, self.written = {}, None, 0
+
+        def iterator(self):
+            return iter(list(self.kept.items()))
+
+        def updateValue(self, key, value):
+            self.written += 1
+            self.kept[key] = value
+
+        def removeKey(self, key):
+            del self.kept[key]
 
         def get(self):
-            calls.append("get")
-            return self.kept
+            return self.value
 
         def update(self, value):
-            calls.append("update")
-            self.kept = value
+            self.value = value
 
         def clear(self):
-            calls.append("clear")
-            self.kept = None
+            self.value = None
 
     class Handle:
         timers = []
 
+        def getMapState(self, *_):
+            return State()
+
         def getValueState(self, *_):
             return State()
 
@@ -128,13 +139,17 @@ def test_online_state_takes_few_calls_and_one_timer():
         return Row(id=id_, seq=seq, change=change, start_time=0.0, end_time=end, time=time, value=None if time is None else [time], roles=[int(id_ > 0)])
     rows = [row(i, i, "added") for i in range(20)] + [row(i, 100 + i, "data_added", time=1.0 + i) for i in range(20)] + [row(0, 200, "data_added", time=50.0)]
     out = list(work.handleInputRows(("k",), iter(rows), clock))
-    assert calls == ["get", "update"] and [r.kind for r in out].count("observe") == 2 and len(out[-1].members) == 19
+    assert work.events.written == 20 and [r.kind for r in out].count("observe") == 2 and len(out[-1].members) == 19
     # all events end: one timer, for the first of them
     out = list(work.handleInputRows(("k",), iter([row(i, 300 + i, "modified", end=60.0 + i) for i in range(20)]), clock))
-    assert calls == ["get", "update"] * 2 and len(handle.timers) == 1 and [r.kind for r in out] == ["done"]
+    assert len(handle.timers) == 1 and [r.kind for r in out] == ["done"]
     clock.ms = int((65.5 + stateful.AHEAD) * 1000)
     assert list(work.handleExpiredTimer(("k",), clock, None)) == [] and len(handle.timers) == 2
-    assert sorted(e[0] for e in work.state.kept[0]) == list(range(6, 20))
+    assert sorted(i for i, in work.events.kept) == list(range(6, 20))
+    # an event that does not change is not written again
+    written = work.events.written
+    list(work.handleInputRows(("k",), iter([row(7, 400, "data_added", time=99.0)]), clock))
+    assert work.events.written == written + 1 and len(handle.timers) == 2
     clock.ms = int((1000 + stateful.AHEAD) * 1000)
     list(work.handleExpiredTimer(("k",), clock, None))
-    assert work.state.kept is None and len(handle.timers) == 2
+    assert not work.events.kept and work.timer.value is None and len(handle.timers) == 2
