@@ -1,5 +1,6 @@
 """Tags, filters, events, co-occurrence, catalogue and coordinates on small literal tables."""
 
+import itertools
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from chronotag.functions import tags as T
 from chronotag.model import MAX_TIME, Store, empty, COORDINATES
 from chronotag.operators import attachments, catalog, cooccur, filters, selection, timecoord
 from chronotag.operators import events as E
+from chronotag.plans import intervals
 from chronotag.plans.bounded import small_side
 from chronotag.streaming import feeds
 from tests.conftest import tagged
@@ -503,6 +505,40 @@ def test_sets_are_told_once_without_moving_them(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, twice.collect()))
 
 
+def test_sets_of_three_move_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    inf = float("inf")
+    rows = []
+    for i in range(60):
+        s = rng.choice([rng.uniform(0, 40), float(rng.randrange(40)), 7.0])
+        rows.append((i, s, rng.choice([s, s + rng.uniform(0, 6), s + 30, inf, s - 1]), f"t={rng.choice('abc')}"))
+    rows += [(None, 3.0, 30.0, "t=a"), (200, None, 30.0, "t=b"), (201, 3.0, None, "t=c"), (4, 1.0, 50.0, "t=b"), (5, 5.0, 9.0, "t=a"), (5, 5.0, 9.0, "t=a"), (202, -inf, 2.0, "t=c")]
+    store = Store(tagged(spark, rows))
+    side = [[r for r in rows if r[3] == f"t={x}" and None not in r[:3] and r[1] <= r[2]] for x in "abc"]
+    want = sorted((max(x[1] for x in r), min(x[2] for x in r), *[x[0] for x in r]) for r in itertools.product(*side)
+                  if max(x[1] for x in r) <= min(x[2] for x in r) and len({x[0] for x in r}) == 3)
+    assert len(want) > 100
+
+    def no_checkpoint(df):
+        raise AssertionError("pairs are written")
+
+    with monkeypatch.context() as m:
+        m.setattr(cooccur, "pinned", no_checkpoint)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            got = cooccur.concurrent(store, ["t=a", "t=b", "t=c"])
+            assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3  # one for each filter's events
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        # many cells, and cells in slices
+        for limit in (200_000, 3):
+            m.setattr(intervals, "PER_CELL", 2)
+            m.setattr(intervals, "MAX_PER_CELL", limit)
+            got = cooccur.concurrent(store, ["t=a", "t=b", "t=c"])
+            assert sorted((r.start_time, r.end_time, *r.ids) for r in got.collect()) == want
+    assert cooccur.concurrent(store, ["t=x", "t=y", "t=z"]).count() == 0
+
+
 def test_tagset_order_moves_no_tagsets(spark, monkeypatch):
     rng = random.Random(8)
     texts = [",".join(sorted({f"{rng.choice('abcd')}={rng.choice(['1', '10', '9', 'x'])}" for _ in range(rng.randrange(5))})) for _ in range(60)]
