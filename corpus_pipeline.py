@@ -1,6 +1,7 @@
 """From documents to sharded training data, in five stages that each apply one operator to all its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Stages that send whole texts to Python do so in batches of few rows, and write their result while that holds.
 """
 
 from __future__ import annotations
@@ -8,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronotag.llm import decontam, jaccard, langid, mixing, shards
-from chronotag.llm.common import pinned, table
+from chronotag.llm.common import pinned, small_batches, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier reads as the language they are labelled with, or without a label; texts without letters go."""
-    return langid.keep(docs, langid.fit(docs), label="lang")
+    with small_batches(spark):
+        return written(langid.keep(docs, langid.fit(docs), label="lang"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    with small_batches(spark):
+        return written(decontam.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

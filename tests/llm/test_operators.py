@@ -392,6 +392,15 @@ def test_pipeline(spark, sf_dir):
     assert set(sizes) == {rows[d].source for d in want}
 
 
+def test_pipeline_stages_leave_no_large_batches_to_their_reader(spark, sf_dir):
+    docs, rows = table(spark, sf_dir, "documents").limit(40), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    for stage in (corpus_pipeline.language, corpus_pipeline.decontamination):
+        out = stage(spark, docs, sf_dir)
+        assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.schema.names == docs.schema.names and spark.conf.get(rows) == before
+
+
 def test_pipeline_language_drops_wrong_labels(spark, tmp_path):
     words = {"en": "the house and with some water under this old bridge where children think about other things".split(),
              "de": "das haus und mit etwas wasser unter dieser alten br\u00fccke wo kinder \u00fcber andere sachen nachdenken".split()}
