@@ -1,7 +1,8 @@
 """From documents to sharded training data, in five stages that each apply one operator to all its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Stages that send whole texts to Python do so in batches of few rows, and write their result while that holds.
+Stages that send whole texts to Python lower the session's rows a batch and leave it so, as their result is computed by whoever reads it; `run` brings the
+caller's setting back.
 """
 
 from __future__ import annotations
@@ -9,13 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronotag.llm import decontam, jaccard, langid, mixing, shards
-from chronotag.llm.common import pinned, small_batches, table, written
+from chronotag.llm.common import pinned, small_batches, table
+
+
+def few_rows_a_batch(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most `rows` rows from here on in this session; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier reads as the language they are labelled with, or without a label; texts without letters go."""
-    with small_batches(spark):
-        return written(langid.keep(docs, langid.fit(docs), label="lang"))
+    few_rows_a_batch(spark)
+    return langid.keep(docs, langid.fit(docs), label="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark."""
-    with small_batches(spark):
-        return written(decontam.clean(docs, table(spark, sf_dir, "benchmark")))
+    few_rows_a_batch(spark)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what a stage returns is written to the checkpoint folder before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = pinned(stage(spark, docs, sf_dir))
+    with small_batches(spark):
+        for _, stage in STAGES[:-1]:
+            docs = pinned(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

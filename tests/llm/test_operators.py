@@ -392,13 +392,16 @@ def test_pipeline(spark, sf_dir):
     assert set(sizes) == {rows[d].source for d in want}
 
 
-def test_pipeline_stages_leave_no_large_batches_to_their_reader(spark, sf_dir):
+def test_pipeline_stages_send_few_rows_a_batch(spark, sf_dir):
     docs, rows = table(spark, sf_dir, "documents").limit(40), "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(rows)
-    for stage in (corpus_pipeline.language, corpus_pipeline.decontamination):
-        out = stage(spark, docs, sf_dir)
-        assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
-        assert out.schema.names == docs.schema.names and spark.conf.get(rows) == before
+    try:
+        for stage in (corpus_pipeline.language, corpus_pipeline.decontamination):
+            for given, then in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+                spark.conf.set(rows, given)
+                assert stage(spark, docs, sf_dir).schema.names == docs.schema.names and spark.conf.get(rows) == then
+    finally:
+        spark.conf.set(rows, before)
 
 
 def test_pipeline_language_drops_wrong_labels(spark, tmp_path):
