@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotag.llm import arrays as A
-from chronotag.llm.common import keep_broadcast, pinned, small_batches, spare, tidy, written
+from chronotag.llm.common import keep_broadcast, small_batches, spare, tidy, written
 from chronotag.llm.components import components
 
 BUCKET_BITS, CHUNKS = 17, 64
@@ -105,14 +105,14 @@ def survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     rows = written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, chunk int, counts array<long>"))
     sums = rows.where("chunk is not null").select("chunk", F.posexplode("counts").alias("at", "n")).groupBy("chunk", "at").agg(F.sum("n").alias("n"))
     counts = np.zeros((CHUNKS, wide // CHUNKS), np.uint64)
-    for r in sums.where("n > 0").collect():
-        counts[r.chunk, r.at] = r.n
+    chunk, at, n = (c.to_numpy() for c in sums.where("n > 0").toArrow().columns)  # a row for each bucket costs the driver hundreds of bytes
+    counts[chunk, at] = n
     return rows.where("chunk is null").select("doc_id", "key", "n"), counts.reshape(-1)
 
 
 def _of_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
     """doc_id and text of one document of each class in `members`. Rows that repeat a doc_id come along; they do no harm."""
-    ids = pinned(members.groupBy("key").agg(F.min("doc_id").alias("_only")).select("_only").distinct())
+    ids = written(members.groupBy("key").agg(F.min("doc_id").alias("_only")).select("_only").distinct())
     return docs.select("doc_id", "text").join(keep_broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_only")), "left_semi")
 
 
@@ -375,7 +375,8 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     marked = docs.withColumn(name, mark)
     here = F.col(name)
     kept = kept.select(*[F.col(c).alias(n) for c, n in zip(("none", "id", "hash"), spare([*docs.columns, name], "none", "id", "hash"))])
+    kept = written(kept)
     on = (here["none"] == kept[kept.columns[0]]) & here["id"].eqNullSafe(kept[kept.columns[1]]) & (here["text"] == kept[kept.columns[2]])
-    whole = marked.where(~wordless).join(keep_broadcast(pinned(kept)), on, "left_semi")
+    whole = marked.where(~wordless).join(keep_broadcast(kept), on, "left_semi")
     repeated = members.where("n > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return (whole.dropDuplicates([name]) if repeated else whole).drop(name).union(docs.where(wordless))

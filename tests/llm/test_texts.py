@@ -10,6 +10,7 @@ import pytest
 
 from chronotag.llm import QUERIES, infill, jaccard, licenses, phrases, tokens
 from chronotag.llm.common import table
+from chronotag.llm.components import components
 from tests.llm.test_operators import AWKWARD, DOCS, documents
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -234,3 +235,36 @@ def test_licence_sentences_equal_a_walk_over_words(spark, sf_dir):
     got = {r.doc_id: (r.sentences, r.n_unknown) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = {d: x for d, t in docs for x in [scanned(t or "")] if x != ("", 0)}
     assert got == want and len(want) > 250
+
+
+def test_components_runs_few_tasks_over_few_links(spark):
+    """The driver keeps a record of each task, so a table of a few links is not read again by a task for every shuffle partition."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 9)] + [(20, 21), (22, 21), (30, 30), (21, 20)], "a long, b long")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before, context = [spark.conf.get(n) for n in names], spark.sparkContext
+    try:
+        for name, value in zip(names, ("60", "false")):
+            spark.conf.set(name, value)
+        context.setJobGroup("few-tasks", "components of a few links")
+        got = components(links)
+        status = context.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup("few-tasks") for s in status.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert sorted(map(tuple, got.collect())) == [*((i, 1) for i in range(1, 10)), (20, 20), (21, 20), (22, 20)]
+    assert tasks < 1600  # 1082; pinned half rounds took 2946
+
+
+def test_counts_of_shingles_come_without_a_row_each(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j}" for j in range(30))) for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "collect", lambda self: pytest.fail("a row for each bucket"))
+    _, counts = jaccard.survey(docs, 5)
+    expected = np.zeros(len(counts), np.int64)
+    for i in range(40):
+        text = " ".join(f"w{i * j}" for j in range(30)).encode()
+        hashes, owner = jaccard.shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 5)
+        expected += np.bincount(jaccard._bucket(np.unique(hashes)), minlength=len(counts))
+    assert (counts == expected).all()
