@@ -347,3 +347,12 @@ def test_wrong_labels_meet_entities_that_pass_near(spark):
         assert {r.label_id for r in jobs.wrong_labels(store, df, tracks, ents, within).collect()} == {n for n, *_ in labels} - good
         # what is measured is a small part of all labels with all entities of their type
     assert 0 < len(good) < 200
+
+
+def test_labels_stop_at_the_first_entity_that_is_near(spark):
+    # all entities stand where all labels are: pairs would be 6,000 rows; entities of other types are not cut into pieces
+    labels = spark.createDataFrame([(n, "view", float(n), [1.0, 2.0]) for n in range(20)], "label_id long, label string, time double, here array<float>")
+    entities = spark.createDataFrame([(i, "View" if i else "car", 0.0, 20.0) for i in range(301)], "event_id long, type string, start_time double, end_time double")
+    samples = spark.createDataFrame([(i, t, [1.0, 2.0 + t / 100]) for i in range(301) for t in (0.0, 20.0)], "event_id long, time double, value array<float>")
+    rows = jobs._near_entities(labels, entities, samples, 3.0).select("label_id").collect()
+    assert {r.label_id for r in rows} == set(range(20)) and len(rows) <= 100
