@@ -125,3 +125,16 @@ def test_long_line_files_are_read_in_pieces(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(textio, "Ordered", seen)
     monkeypatch.setattr(textio, "FILE_LINES", 60)
     assert read() == want and sizes[0] is not None and sizes[0] <= 60
+
+
+def test_rows_back_from_python_are_placed_in_bounded_tasks(spark, monkeypatch):
+    from chronotag.operators import features as X
+    from chronotag.plans import ordered
+    # as many tasks as the session's partitions: AQE would merge them again
+    monkeypatch.setattr(ordered, "TASK_ROWS", 1000)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(999 * tasks).select((F.col("id") % 50).alias("instance_id"), F.floor(F.col("id") / 50).cast("double").alias("time"), F.array(F.lit(1.0).cast("float")).alias("v"))
+    o = X.Chain(X.rate("r", "v"), X.smoothing("s", "r", 0.5, 0.0), X.rate("r2", "s")).run(X.Observations.of(df)).rows
+    assert o.tasks == tasks + 1 and o.df.rdd.getNumPartitions() == tasks + 1
+    probes = df.select(F.col("instance_id").alias("event_id"), "time")
+    assert asof(probes, probes.withColumn("value", F.array(F.lit(1.0).cast("float")))).rdd.getNumPartitions() > tasks
