@@ -356,3 +356,27 @@ def test_labels_stop_at_the_first_entity_that_is_near(spark):
     samples = spark.createDataFrame([(i, t, [1.0, 2.0 + t / 100]) for i in range(301) for t in (0.0, 20.0)], "event_id long, time double, value array<float>")
     rows = jobs._near_entities(labels, entities, samples, 3.0).select("label_id").collect()
     assert {r.label_id for r in rows} == set(range(20)) and len(rows) <= 100
+
+
+def test_rows_only_meet_members_that_may_be_nearest(spark, monkeypatch):
+    for name, n in (("ROW_SLICE", 60), ("MEMBER_SLICE", 100), ("CELL_MEMBERS", 40), ("BLOCK", 3000)):
+        monkeypatch.setattr(X, name, n, raising=False)
+    rng = np.random.default_rng(3)
+    # members at two times and one that is nearly alone, many of them at the same places; one row and one member without a place
+    members = [(t, i, [float(np.float32(v)) for v in rng.integers(0, 40, 2)]) for t, n in ((0.0, 1000), (5.0, 150), (7.0, 1)) for i in range(n)]
+    members += [(0.0, 5000, [float("nan"), 1.0]), (7.0, 5001, [1.0, 2.0, 3.0])]
+    rows = [(f"{i}", t, [float(np.float32(v)) for v in rng.uniform(-5, 45, 2)]) for i in range(200) for t in (0.0, 5.0, 7.0, 9.0)]
+    rows += [("far", 0.0, [1e9, -1e9]), ("none", 0.0, [float("nan"), 0.0])]
+    df = spark.createDataFrame(rows, "instance_id string, time double, p array<float>")
+    group = spark.createDataFrame(members, "time double, member_id long, value array<float>")
+    obs = X.Observations.of(df, {"g": group})
+    for k in (1, 3):
+        got = {(r.instance_id, r.time): [b.member_id for b in r.best] for r in X.nearest_members(obs, "g", "p", k).collect()}
+        want = {}
+        for i, t, x in rows:
+            at = [(d if d == d else np.inf, m) for d, m in ((float(np.sqrt(((np.float32(v) - np.float32(x)).astype(float) ** 2).sum())), m)
+                                                            for u, m, v in members if u == t and len(v) == 2)]
+            if at:
+                want[i, t] = [m for _, m in sorted(at)[:k]]
+        assert got == want
+    assert X._shared_nearest(obs.rows, group, "p", 1).count() < 2 * len(rows)
