@@ -6,6 +6,7 @@ state, which Spark keeps, checkpoints and moves between executors.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import product
 from typing import Iterator
 
@@ -49,27 +50,32 @@ class _Keyed(StatefulProcessor):
 
 # --- sequences of states --------------------------------------------------------------------------
 
+@lru_cache(1 << 16)
+def _tags_of(text: str) -> frozenset:
+    return frozenset(T.parse(text))
+
+
 class _States(_Keyed):
+    """Rows of many keys go in and out together; all that is kept for a key is one value, as every access is a message to the executor."""
+
     def __init__(self, timed: bool):
         self.timed = timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "no bigint, info string, start_time double")  # after all settled reports
-        self.waiting = handle.getListState("waiting", "time double, info string")  # reports an earlier one may still overtake
-        self.told = handle.getValueState("told", "no bigint")
+        # the open event after all settled reports, the last one told, and reports that an earlier one may still overtake
+        self.kept = handle.getValueState("kept", "no bigint, info string, start_time double, told bigint, times array<double>, infos array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [(float(r.time), r.info) for df in rows for r in df[["time", "info"]].itertuples()]
-        yield self._tell(key, new, timerValues)
+        yield from self._tell(key, [(np.nan if r["time"] is None else float(r["time"]), r["info"]) for r in rows], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self._tell(key, [], timerValues)
+        yield from self._tell(key, [], timerValues)
 
     @staticmethod
     def _walk(state, reports, out):
         for time, info in reports:
-            if state and set(T.parse(info)) <= set(T.parse(state[1])):
+            if state and _tags_of(info) <= _tags_of(state[1]):
                 continue  # the open state says the same or more
             if state:
                 out.append((*state, time, False))
@@ -77,28 +83,25 @@ class _States(_Keyed):
         return state
 
     def _tell(self, key, new, timerValues):
-        waiting = [(r[0], r[1]) for r in self.waiting.get()] if self.timed and self.waiting.exists() else []
-        waiting = sorted(waiting + new, key=lambda r: r[0])
+        kept = self.kept.get()
+        no, info, start, told, times, infos = kept if kept else (None, None, None, None, None, None)
+        before = list(zip(times or [], infos or []))
+        waiting = sorted(before + new, key=lambda r: r[0])
         until = _watermark(timerValues) if self.timed else np.inf
         settled = sum(t <= until for t, _ in waiting)
         out = []
-        state = self._walk(tuple(self.open.get()) if self.open.exists() else None, waiting[:settled], out)
-        if state:
-            self.open.update(state)
-        if self.timed:
-            if waiting[settled:]:
-                self.waiting.put(waiting[settled:])
-                _timer(self.handle, waiting[settled][0])
-            elif self.waiting.exists():
-                self.waiting.clear()
-        state = self._walk(state, waiting[settled:], out)
+        state = settled_state = self._walk((no, info, start) if no is not None else None, waiting[:settled], out)
+        later = waiting[settled:]
+        if later:
+            _timer(self.handle, later[0][0])
+        state = self._walk(state, later, out)
         if state:
             out.append((*state, MAX_TIME, True))
             # states an overtaking report has made one of are taken back
-            told = self.told.get()[0] if self.told.exists() else -1
-            out += [(no, None, None, None, False) for no in range(state[0] + 1, told + 1)]
-            self.told.update((state[0],))
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["key", "no", "info", "start_time", "end_time", "open"])
+            out += [(n, None, None, None, False) for n in range(state[0] + 1, (-1 if told is None else told) + 1)]
+            self.kept.update((*(settled_state or (None, None, None)), state[0], [t for t, _ in later], [i for _, i in later]))
+        for r in out:
+            yield Row(key=key[0], no=r[0], info=r[1], start_time=r[2], end_time=r[3], open=r[4])
 
 
 def state_sequence(reports: DataFrame, lateness: str | None = None) -> DataFrame:
@@ -113,7 +116,9 @@ def state_sequence(reports: DataFrame, lateness: str | None = None) -> DataFrame
     rows = reports.select("key", "time", "info")
     if lateness:
         rows = with_lateness(rows, "time", lateness)
-    return _run(rows, ["key"], _States(lateness is not None), "key string, no bigint, info string, start_time double, end_time double, open boolean", timed=lateness is not None)
+    use_state_store(rows.sparkSession)
+    return rows.groupBy("key").transformWithState(
+        _States(lateness is not None), "key string, no bigint, info string, start_time double, end_time double, open boolean", "append", "EventTime" if lateness else "None")
 
 
 def current_states(told: DataFrame) -> DataFrame:

@@ -153,3 +153,37 @@ def test_online_events_share_one_timer():
     clock.ms = int((1000 + stateful.AHEAD) * 1000)
     list(work.handleExpiredTimer(("k",), clock, None))
     assert not work.events.kept and work.timer.value is None and len(handle.timers) == 2
+
+
+def test_states_are_read_and_kept_once_per_call():
+    class Value:
+        value, asked = None, 0
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def update(self, value):
+            self.value, self.asked = value, self.asked + 1
+
+    class Handle:
+        made, timers = [], []
+
+        def getValueState(self, name, schema):
+            self.made.append(Value())
+            return self.made[-1]
+
+        def registerTimer(self, time):
+            self.timers.append(time)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    handle, states = Handle(), stateful._States(True)
+    states.init(handle)
+    one = list(states.handleInputRows(("a",), iter([{"time": 3.0, "info": "x=1"}, {"time": 1.0, "info": "x=2"}]), Times()))
+    two = list(states.handleInputRows(("a",), iter([{"time": 2.0, "info": "x=2"}, {"time": 1.0, "info": "x=1"}]), Times()))
+    assert [(r.no, r.info, r.start_time, r.open) for r in one] == [(0, "x=2", 1.0, False), (1, "x=1", 3.0, True)]
+    assert [(r.no, r.info, r.start_time, r.open) for r in two][-1] == (3, "x=1", 3.0, True)
+    assert len(handle.made) == 1 and handle.made[0].asked == 4 and len(handle.timers) == 2
