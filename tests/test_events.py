@@ -550,3 +550,17 @@ def test_tagset_order_moves_no_tagsets(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(catalog, "MAX_NAMES", 0)
             assert got == {r.id: r["rank"] for r in catalog.rank_by_tags(ev, **options).collect()}
+
+
+def test_two_filters_are_joined_by_one_cell(spark, monkeypatch):
+    from chronotag.operators import cooccur
+    rnd = random.Random(4)
+    data = [(i, t, t + rnd.uniform(0, 30), rnd.choice(["type=a", "type=b", "type=a,type=b"])) for i, t in enumerate(rnd.choices(range(60), k=120))]
+    store = Store(tagged(spark, [(i, float(s), float(e), tags) for i, s, e, tags in data]))
+    monkeypatch.setattr(cooccur, "overlap_join", None)
+    got = sorted(tuple(r.ids) for r in cooccur.concurrent(store, ["type=a;type=b", "type=a;type=b"]).collect())
+
+    def rank(d):
+        return 0 if "type=a" in d[3] else 1, float(d[1]), d[2], d[0]
+    want = sorted(tuple(d[0] for d in sorted((x, y), key=rank)) for k, x in enumerate(data) for y in data[:k] if x[1] <= y[2] and y[1] <= x[2])
+    assert got == want
